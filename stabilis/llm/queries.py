@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_topk, mixing, suffix_dedup
+from . import exact_topk, language_id, mixing, suffix_dedup
 from .common import read
 
 
@@ -24,6 +24,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = language_id.identify(docs, docs.filter(~language_id.held_out()))
+    return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return exact_topk.top_k(rows.filter("id % 50 = 0"), rows, 5)
@@ -32,6 +38,7 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
+    "op3_language_id": op3_language_id,
     "op6_exact_topk": op6_exact_topk,
 }
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_exact_topk": exact_topk.ORACLE}
