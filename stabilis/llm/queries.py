@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_topk, language_id, mixing, suffix_dedup
+from . import exact_topk, jaccard_join, language_id, mixing, suffix_dedup
 from .common import read
 
 
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), 75)
+    return jaccard_join.least_ids(members)
+
+
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return exact_topk.top_k(rows.filter("id % 50 = 0"), rows, 5)
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_topk": op6_exact_topk,
 }
-ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_exact_topk": exact_topk.ORACLE}
+ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE}
