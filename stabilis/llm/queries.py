@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_topk, jaccard_join, language_id, mixing, suffix_dedup
+from . import exact_topk, jaccard_join, language_id, lm_score, mixing, pii, suffix_dedup
 from .common import read
 
 
@@ -40,11 +40,23 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(rows.filter("id % 50 = 0"), rows, 5)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_score.score_texts(docs, ~lm_score.held_out())
+    return scored.select("doc_id", lm_score.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_topk": op6_exact_topk,
+    "op8_lm_score": op8_lm_score,
+    "op9_pii": op9_pii,
 }
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE}
