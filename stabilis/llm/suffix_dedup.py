@@ -41,9 +41,10 @@ from .common import U64, Rolling, mix, n_partitions, numbered, slices, utf8
 KGRAM, WINDOW = 24, 128
 #: Widths of the ranges of ``d`` in the recursion; a width of 1 is the merge of single suffixes.
 WIDTHS = (128, 16, 1)
-ROW = "key long, u1 long, u2 long, name long, uid long, pack long, state short"
-#: state of a row: bits for settled before, settled now, and known to go on.
-OLD, NEW, KNOWN = 1, 2, 4
+ROW = "key long, u2 long, name long, uid long, pack long, state short"
+#: state of a row: bits for settled before, settled now, known to go on, and dealt by a key that
+#: is not its name, as its name needs no answer.
+OLD, NEW, KNOWN, DEALT = 1, 2, 4, 8
 
 
 def pack(a, far, near):
@@ -133,13 +134,11 @@ def settle_names(name, uid, packed, state):
         here[order] = some
         many &= here
     key = np.where(many & ~head, spread(uid, packed), name)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key), pa.array(name), pa.array(uid), pa.array(packed), pa.array(np.where(many, state | KNOWN, state).astype(np.int16))],
-        names=["key", "name", "uid", "pack", "state"],
-    )
+    state = np.where(many, state | KNOWN, state) | np.where(many & ~head, DEALT, 0)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(uid), pa.array(packed), pa.array(state.astype(np.int16))], names=["key", "uid", "pack", "state"])
 
 
-NAMED = "key long, name long, uid long, pack long, state short"
+NAMED = "key long, uid long, pack long, state short"
 
 
 def repeated_names(batches):
@@ -148,10 +147,9 @@ def repeated_names(batches):
     if not got:
         return
     t = pa.Table.from_batches(got)
-    key, name, uid, packed, state = (t.column(c).to_numpy() for c in ("key", "name", "uid", "pack", "state"))
+    name, uid, packed, state = (t.column(c).to_numpy() for c in ("key", "uid", "pack", "state"))
     keep = (state & KNOWN) > 0
-    own = key == name
-    at = np.flatnonzero(own)
+    at = np.flatnonzero((state & DEALT) == 0)
     order, first, size = once([name[at]])
     if len(order):
         begin = np.flatnonzero(first)
@@ -192,9 +190,9 @@ def extents(length: int, width: int):
                 twice, head = np.zeros(len(a), bool), np.zeros(len(a), bool)
                 twice[order], head[order] = np.repeat(size > 1, size), first
                 now = np.where(twice, state | NEW, state)
-                now = np.where(twice & ~head, now | KNOWN, now).astype(np.int16)
+                now = np.where(twice & ~head, now | DEALT, now).astype(np.int16)
                 key = np.where(twice & ~head, spread(who, packed), u1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, u1, u2, common, who, packed, now)], names=["key", "u1", "u2", "name", "uid", "pack", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, u2, common, who, packed, now)], names=["key", "u2", "name", "uid", "pack", "state"])
 
     return run
 
@@ -205,9 +203,9 @@ def judged(t: pa.Table):
     Rows that came with a key of their own are settled and have somebody who goes on for them.
     """
     name, uid, packed, state = (t.column(c).to_numpy() for c in ("name", "uid", "pack", "state"))
-    u1, u2 = t.column("u1").to_numpy(), t.column("u2").to_numpy()
+    u1, u2 = t.column("key").to_numpy(), t.column("u2").to_numpy()
     settled, goes = (state & NEW) > 0, np.zeros(len(uid), bool)
-    at = np.flatnonzero((state & KNOWN) == 0)
+    at = np.flatnonzero((state & DEALT) == 0)
     order, first, size = once([u1[at], u2[at]])
     if len(order):
         begin = np.flatnonzero(first)
