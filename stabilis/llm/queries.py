@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import exact_topk, jaccard_join, language_id, lm_score, mixing, pii, suffix_dedup
+from . import decontaminate, exact_topk, jaccard_join, language_id, lm_score, mixing, pii, quality, suffix_dedup
 from .common import read
 
 
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "content_score", "metadata_score", "score", "keep")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard_join.near_duplicates(read(spark, sf_dir, "documents"), 75)
     return jaccard_join.least_ids(members)
@@ -40,6 +45,11 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(rows.filter("id % 50 = 0"), rows, 5)
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.contamination(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "item_id", "coverage", "contaminated")
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm_score.score_texts(docs, ~lm_score.held_out())
@@ -54,8 +64,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
+    "op4_quality": op4_quality,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_topk": op6_exact_topk,
+    "op7_decontaminate": op7_decontaminate,
     "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
 }
