@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, jaccard_join, language_id, lm_score, mixing, pii, quality, suffix_dedup
+from . import decontaminate, exact_topk, jaccard_join, language_id, licenses, lm_score, mixing, pii, quality, suffix_dedup
 from .common import read
 
 
@@ -60,6 +60,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(read(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = licenses.document_paths(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return licenses.scan(files).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "declared_in")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -70,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
+    "op10_licenses": op10_licenses,
 }
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE}
