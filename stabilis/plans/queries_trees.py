@@ -1 +1,125 @@
-"""x"""
+"""Queries on trees, and inference along them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import alignment as A
+from ..operators import clusters as C
+from ..operators import inference as I
+from ..operators import model as M
+from ..operators import trees as T
+from . import views as V
+from .catalog import query
+from .queries_model import mutation_array
+
+# A caterpillar's nodes in closed form: tip i of n hangs on internal node n - i, counted from the root.
+SQL_NODES = (
+    V.SQL_NEWICK
+    + """,
+t AS (SELECT *, split_part(tip, ':', 1) AS name, split_part(tip, ':', 2)::DOUBLE AS branch FROM tips WHERE n > 1),
+every AS (
+  SELECT tree_id, name, TRUE AS is_tip, branch, CASE WHEN i = 1 THEN 'left' ELSE 'right' END AS side,
+    CASE WHEN i = 1 THEN 2 * (n - 1) ELSE 2 * (n - i) + 1 END AS node_id, CASE WHEN i = 1 THEN 2 * (n - 2) ELSE 2 * (n - i) END AS parent_id,
+    n - i AS tip_no, NULL AS internal_no, CASE WHEN i = 1 THEN repeat('left,', (n - 2)::INT) || 'left' ELSE repeat('left,', (n - i)::INT) || 'right' END AS path FROM t
+  UNION ALL
+  SELECT tree_id, NULL, FALSE, CASE WHEN k > 0 THEN 0.05 END, CASE WHEN k > 0 THEN 'left' END, 2 * k, CASE WHEN k > 0 THEN 2 * (k - 1) END,
+    NULL, n - 2 - k, rtrim(repeat('left,', k::INT), ',') FROM (SELECT tree_id, n, unnest(range(0, n - 1)) AS k FROM t WHERE i = 1))"""
+)
+
+
+@query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, node_id::INT AS node_id, parent_id::INT AS parent_id, side, is_tip, name, branch::DOUBLE AS branch FROM every")
+def newick_nodes(spark, d):
+    return T.nodes(V.newicks(spark, d)).select("tree_id", "node_id", "parent_id", "side", "is_tip", "name", "branch")
+
+
+@query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, path, is_tip, name FROM every")
+def tree_paths(spark, d):
+    return T.nodes(V.newicks(spark, d)).select("tree_id", "path", "is_tip", "name")
+
+
+@query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, node_id::INT AS node_id, tip_no::INT AS tip_no, internal_no::INT AS internal_no FROM every")
+def tip_internal_numbers(spark, d):
+    return T.nodes(V.newicks(spark, d)).select("tree_id", "node_id", "tip_no", "internal_no")
+
+
+@query(f"WITH {V.SQL_NEWICK} SELECT tree_id, regexp_replace(replace(newick, ':0.', ':-0.'), ':-[^,);]*', ':0.0', 'g') AS newick FROM newicks")
+def eliminate_negative_branches(spark, d):
+    return V.newicks(spark, d).select("tree_id", T.no_negative_branches(F.replace("newick", F.lit(":0."), F.lit(":-0."))).alias("newick"))
+
+
+SQL_ROOTED = "SELECT tree_id, '(' || substr(newick, 1, length(newick) - position(',' IN reverse(newick))) || '):0.0,' || split_part(reverse(split_part(reverse(newick), ',', 1)), ')', 1) || ');' AS rooted FROM newicks"
+
+
+@query(f"WITH {V.SQL_NEWICK} {SQL_ROOTED}")
+def root_to_outgroup(spark, d):
+    return V.newicks(spark, d).select("tree_id", T.root_to_outgroup(F.col("newick")).alias("rooted"))
+
+
+def digests(spark, d, width=64):
+    """(name, seq): residues from the digest of each document, named as the suppliers are."""
+    docs = V.table(spark, d, "documents").filter("doc_id is not null")
+    seq = F.translate(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "0123456789abcdef", "ACDEFGHIKLMNPQR-")
+    return docs.select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("name"), F.substring(seq, 1, width).alias("seq"))
+
+
+def tip_names(nodes, seqs):
+    """Each tip's sequence: that of the document of its number, or of the documents' first."""
+    n = seqs.agg(F.max(F.substring("name", 2, 20).cast("long")).alias("n"))
+    tips = nodes.filter("is_tip").select("name").distinct().crossJoin(F.broadcast(n))
+    wanted = tips.select(F.col("name").alias("tip"), F.concat(F.lit("S"), (F.substring("name", 2, 20).cast("long") % (F.col("n") + 1)).cast("string")).alias("name"))
+    return wanted.join(seqs, "name").select(F.col("tip").alias("name"), "seq")
+
+
+@query(
+    f"""WITH {SQL_NODES}, m AS (SELECT max(doc_id) + 1 AS m FROM documents),
+s AS (SELECT tree_id, node_id, parent_id, is_tip, translate(sha256(coalesce(text, '')), '0123456789abcdef', 'ACDEFGHIKLMNPQR-') AS seq
+  FROM every, m LEFT JOIN documents ON doc_id = CASE WHEN is_tip THEN substr(name, 2)::BIGINT % m ELSE node_id END),
+p AS (SELECT c.tree_id, unnest(list_zip(range(1, 65), string_split(a.seq, ''), string_split(c.seq, ''))) AS x FROM s c JOIN s a ON a.tree_id = c.tree_id AND a.node_id = c.parent_id)
+SELECT tree_id::BIGINT AS tree_id, x[1]::INT AS site, x[2] AS from_aa, x[3] AS to_aa, count(*) AS n FROM p WHERE x[2] <> x[3] GROUP BY ALL"""
+)
+def site_change_tally(spark, d):
+    nodes = T.nodes(V.newicks(spark, d))
+    seqs = digests(spark, d)
+    tips = nodes.filter("is_tip").join(tip_names(nodes, seqs), "name").select("tree_id", "node_id", "seq")
+    inner = nodes.filter("not is_tip").drop("name").withColumn("name", F.concat(F.lit("S"), F.col("node_id").cast("string"))).join(seqs, "name").select("tree_id", "node_id", "seq")
+    return T.site_changes(nodes, tips.unionByName(inner))
+
+
+def rows(spark, d, width):
+    nodes = T.nodes(V.newicks(spark, d))
+    return I.residue_rows(I.tree_arrays(nodes), nodes, tip_names(nodes, digests(spark, d, width)))
+
+
+def mutations(spark):
+    return mutation_array(M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(4.0)))
+
+
+@query()
+def log_likelihood(spark, d):
+    return I.likelihoods(rows(spark, d, 64), mutations(spark), 10.0, 1.0, 0.0)
+
+
+@query()
+def maximize_posterior(spark, d):
+    return I.maximize(rows(spark, d, 4), mutations(spark), 10.0, 1.0, 0.0)
+
+
+@query()
+def mcmc_trace(spark, d):
+    return I.chains(rows(spark, d, 2), mutations(spark), 10.0, 1.0, 0.0)
+
+
+@query()
+def condense_seqs(spark, d):
+    return C.condense(V.proteins(spark, d), 3, (1,))
+
+
+@query()
+def upgma(spark, d):
+    return C.distance_trees(A.sampled(V.proteins(spark, d), 40))
+
+
+@query()
+def neighbour_joining(spark, d):
+    return C.distance_trees(A.sampled(V.proteins(spark, d), 40), "NJ")
