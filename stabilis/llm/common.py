@@ -8,6 +8,7 @@ single text is the smallest unit of work: a row has to fit in memory, as it has
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task turns into arrays at a time.
-SLICE_BYTES = 1 << 21
+#: Bytes and rows of text that a task turns into arrays at a time.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4000
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,9 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the shared folder as a table and read again, its lineage cut.
+
+    A table is compressed and computed once; checkpoint() keeps rows as they are in memory.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame | None) -> None:
+    """Deletes the table behind a result of checkpoint() that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+        if "/table-" in path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,12 +76,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(off: np.ndarray, limit: int = SLICE_BYTES):
-    """Ranges of rows of about ``limit`` bytes, one row at least."""
+    """Ranges of rows of about ``limit`` bytes, one row at least and ``SLICE_ROWS`` at most."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + SLICE_ROWS)
+        yield i, j
+        i = j
 
 
 def mix(h: np.ndarray) -> np.ndarray:

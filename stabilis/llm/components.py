@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
     while True:
-        edges = checkpoint(_star(_star(edges, True), False))
+        before, edges = edges, checkpoint(_star(_star(edges, True), False))
+        if seen is not None:
+            forget(before)
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == seen:
             break

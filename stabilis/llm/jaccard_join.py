@@ -26,41 +26,51 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, U64, Rolling, checkpoint, mix, n_partitions, slices, utf8, words
+from .common import LOWER, U64, Rolling, checkpoint, forget, mix, n_partitions, numbered, slices, utf8, words
 from .components import components
 
-SHINGLE = 5
+SHINGLE, BITS = 5, 52
 #: Cells of the count sketch, its rows per block, and rounds of centres before all pairs.
 CELLS, BLOCK, ROUNDS = 1 << 17, 1 << 11, 2
+#: Bits of the map of classes that texts are read again for.
+MAP_BITS = 1 << 24
 #: Seeds of the token orders; the first one groups candidates, the others filter them.
 ORDERS = (0, 101, 202)
 KNOWN, DEALT = 1, 2
 
 
 def shingle_sets(off: np.ndarray, data: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle fingerprints, sorted within each row, and where each row's begin."""
+    """Distinct shingle fingerprints of ``BITS`` bits, sorted within each row, and where each
+    row's begin; a slice has fewer than 2 ** (64 - BITS) rows."""
     data = LOWER[data]
     start, end, row = words(off, data)
     n = len(off) - 1
     per = np.bincount(row, minlength=n)
     h = Rolling(data).of(start, end)
     first = np.cumsum(per) - per
-    count = np.where(per >= k, per - k + 1, np.minimum(per, 1))
-    which = np.repeat(np.arange(n), count)
-    at = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    size = np.minimum(per, k)[which]
-    token = mix(size.astype(np.uint64))
-    for i in range(k):
-        inside = size > i
-        token = np.where(inside, mix(token * U64(0x9E3779B97F4A7C15) + h[np.minimum(at + i, max(0, len(h) - 1))]), token) if len(token) else token
-    order = np.lexsort((token, which))
-    token, which = token[order], which[order]
-    new = np.ones(len(token), bool)
-    if len(token):
-        new[1:] = (token[1:] != token[:-1]) | (which[1:] != which[:-1])
-    token, which = token[new], which[new]
-    return token, np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))]).astype(np.int64)
+    count = np.where(per >= k, per - k + 1, 0)
+    which = np.repeat(np.arange(n, dtype=np.uint64), count)
+    at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(which))
+    token = chained([h[at + i] for i in range(k)], len(at))
+    few = np.flatnonzero((per > 0) & (per < k))
+    if len(few):
+        short = np.concatenate([chained([h[first[r] + i : first[r] + i + 1] for i in range(per[r])], 1) for r in few])
+        which, token = np.concatenate([which, few.astype(np.uint64)]), np.concatenate([token, short])
+    both = np.sort(which << U64(BITS) | token >> U64(64 - BITS))
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
+    size = np.bincount((both >> U64(BITS)).astype(np.int64), minlength=n)
+    return both & U64((1 << BITS) - 1), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+def chained(names: list[np.ndarray], n: int) -> np.ndarray:
+    """One fingerprint for the words in a row."""
+    h = np.full(n, U64(len(names)))
+    for name in names:
+        h = mix(h * U64(0x9E3779B97F4A7C15) + name)
+    return h
 
 
 def fingerprints(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +82,7 @@ def fingerprints(token: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def cell(token: np.ndarray) -> np.ndarray:
-    return (token >> U64(40)).astype(np.int64) % CELLS
+    return (token >> U64(BITS - 17)).astype(np.int64) % CELLS
 
 
 def survey(batches):
@@ -115,14 +125,18 @@ def levels(sketch: np.ndarray) -> np.ndarray:
 
 
 def prefix(token: np.ndarray, begin: np.ndarray, level: np.ndarray, seed: int, t: int):
-    """Positions of the prefix tokens under one order, rank of each, and its row."""
+    """The prefix tokens of each row under one order, as ranked names, their ranks and rows.
+
+    A ranked name is the frequency class of a token followed by a hash of it, so that its order
+    is the order of tokens.
+    """
     n = np.diff(begin)
     row = np.repeat(np.arange(len(n)), n)
-    key = (level[cell(token)] << U64(58)) | (mix(token + U64(seed)) >> U64(6))
-    order = np.lexsort((key, row))
+    name = level[cell(token)] << U64(BITS - 6) | mix(token + U64(seed)) >> U64(64 - BITS + 6)
+    name = np.sort(row.astype(np.uint64) << U64(BITS) | name) & U64((1 << BITS) - 1)
     rank = np.arange(len(token)) - begin[row]
     keep = rank < (n - -(-t * n // 100) + 1)[row]
-    return order[keep], rank[keep], row[keep]
+    return name[keep], rank[keep], row[keep]
 
 
 def prefixes(level: np.ndarray, t: int):
@@ -134,11 +148,13 @@ def prefixes(level: np.ndarray, t: int):
             for i, j in slices(off):
                 token, begin = shingle_sets(off[i : j + 1] - off[i], data[off[i] : off[j]])
                 n, h = fingerprints(token, begin)
-                at, rank, row = prefix(token, begin, level, ORDERS[0], t)
+                name, rank, row = prefix(token, begin, level, ORDERS[0], t)
                 _, one = np.unique(h, return_index=True)
-                mine = np.isin(row, one)
-                at, rank, row = at[mine], rank[mine], row[mine]
-                yield company(token[at].view(np.int64), h[row], n[row].astype(np.int32), rank.astype(np.int32))
+                mine = np.zeros(len(n), bool)
+                mine[one] = True
+                mine = mine[row]
+                row = row[mine]
+                yield company(name[mine].view(np.int64), h[row], n[row].astype(np.int32), rank[mine].astype(np.int32))
 
     return run
 
@@ -158,8 +174,16 @@ def company(token, cls, n, rank):
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.where(many & ~head, token, 0)), pa.array(cls), pa.array(n), pa.array(rank), pa.array(state.astype(np.int16))], names=["key", "token", "cls", "n", "rank", "state"])
 
 
-def shared(batches):
-    """Of a partition dealt by token: the rows whose token is in more than one class."""
+def shared(t: int):
+    """Of a partition dealt by token: the rows whose token is in a class of fitting size too."""
+
+    def run(batches):
+        yield from shared_rows(batches, t)
+
+    return run
+
+
+def shared_rows(batches, least: int):
     got = [b for b in batches if b.num_rows]
     if not got:
         return
@@ -169,30 +193,96 @@ def shared(batches):
     token = np.where(own, key, token)
     keep = ~own
     at = np.flatnonzero(own)
-    order = at[np.lexsort((cls[at], token[at]))]
-    if len(order):
-        new = np.ones(len(order), bool)
-        new[1:] = token[order][1:] != token[order][:-1]
-        begin = np.flatnonzero(new)
-        size = np.diff(np.concatenate([begin, [len(order)]]))
-        low, high = np.minimum.reduceat(cls[order], begin), np.maximum.reduceat(cls[order], begin)
-        keep[order] = np.repeat((low != high) | (np.maximum.reduceat(state[order] & KNOWN, begin) > 0), size)
+    at = at[np.lexsort((cls[at], n[at], token[at]))]
+    if len(at):
+        new = np.concatenate([[True], (token[at][1:] != token[at][:-1]) | (cls[at][1:] != cls[at][:-1])])
+        known = np.maximum.reduceat(state[at] & KNOWN, np.flatnonzero(new))
+        at = at[new]  # sizes ascend, so neighbours of a token fit best
+        near = (token[at][1:] == token[at][:-1]) & (n[at][:-1].astype(np.int64) * 100 >= n[at][1:].astype(np.int64) * least)
+        keep[at[1:]] |= near
+        keep[at[:-1]] |= near
+        begin = np.flatnonzero(np.concatenate([[True], token[at][1:] != token[at][:-1]]))
+        size = np.diff(np.concatenate([begin, [len(at)]]))
+        keep[at] |= np.repeat(np.maximum.reduceat(known, begin) > 0, size)
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, cls, n, rank)], names=["token", "cls", "n", "rank"])
 
 
-def token_rows(batches):
-    """Class and tokens of each document, one for the equal sets of a slice."""
-    for b in batches:
-        off, data = utf8(b.column("text"))
-        for i, j in slices(off):
-            token, begin = shingle_sets(off[i : j + 1] - off[i], data[off[i] : off[j]])
-            _, h = fingerprints(token, begin)
-            _, one = np.unique(h, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array([token[begin[r] : begin[r + 1]].tobytes() for r in one], pa.binary())], names=["cls", "tokens"])
+def token_rows(level: np.ndarray, t: int, wanted: np.ndarray):
+    """Class, prefix names under the second order and tokens, for classes that may be wanted;
+    one row for the equal sets of a slice."""
+
+    def run(batches):
+        for b in batches:
+            off, data = utf8(b.column("text"))
+            for i, j in slices(off):
+                token, begin = shingle_sets(off[i : j + 1] - off[i], data[off[i] : off[j]])
+                _, h = fingerprints(token, begin)
+                _, one = np.unique(h, return_index=True)
+                one = one[maybe(wanted, h[one])]
+                heads = [short_names(token[begin[r] : begin[r + 1]], level, t).tobytes() for r in one]
+                yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(heads, pa.binary()), pa.array([token[begin[r] : begin[r + 1]].tobytes() for r in one], pa.binary())], names=["cls", "head", "tokens"])
+
+    return run
+
+
+def short_names(token: np.ndarray, level: np.ndarray, t: int) -> np.ndarray:
+    """Size of the set, then its prefix names under the second order, 32 bits of each."""
+    names = prefix(token, np.array([0, len(token)]), level, ORDERS[1], t)[0] & U64(0xFFFFFFFF)
+    return np.concatenate([np.array([len(token)], np.uint32), names.astype(np.uint32)])
+
+
+def bitmap(classes: DataFrame, column: str) -> np.ndarray:
+    """A bit for each class, in a map of fixed size: what it rules out needn't be shuffled.
+
+    Bits may be set for others too, so an exact join follows wherever it matters.
+    """
+    spot = F.pmod(F.col(column), F.lit(MAP_BITS))
+    words_ = classes.groupBy((spot / 64).cast("long").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int"))).alias("v")).toPandas()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words_["w"].to_numpy(np.int64)] = words_["v"].to_numpy(np.int64)
+    return out
+
+
+def maybe(wanted: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    spot = np.mod(cls, MAP_BITS)
+    return (wanted[spot // 64] >> (spot % 64)) & 1 > 0
+
+
+def in_map(wanted: np.ndarray):
+    def run(batches):
+        for b in batches:
+            keep = maybe(wanted, b.column("cls").to_numpy())
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in b.columns], names=b.schema.names)
+
+    return run
+
+
+def heads_meet(t: int):
+    """Pairs whose prefixes under the second order share as many names as similar sets must.
+
+    What is shared beyond the prefixes is at most what one of the sets has beyond its own.
+    """
+
+    def run(batches):
+        for b in batches:
+            good = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint32) for k in ("x", "y"))
+                nx, ny = int(x[0]), int(y[0])
+                both = int(np.isin(x[1:], y[1:]).sum())
+                good[i] = both > 0 and (100 + t) * (both + max(beyond(nx, t), beyond(ny, t))) >= t * (nx + ny)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def beyond(n, t: int):
+    """Tokens of a set of ``n`` that are not in its prefix."""
+    return -(-t * n // 100) - 1
 
 
 def verify(level: np.ndarray, t: int):
-    """Pairs whose sets pass the prefix filter of every order and then are similar enough."""
+    """Pairs whose sets pass the prefix filter of the orders left and then are similar enough."""
 
     def run(batches):
         for b in batches:
@@ -200,14 +290,14 @@ def verify(level: np.ndarray, t: int):
             good = np.zeros(len(a), bool)
             for i in range(len(a)):
                 x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint64) for k in ("x", "y"))
-                good[i] = all(meet(x, y, level, seed, t) for seed in ORDERS[1:]) and similar(x, y, t)
+                good[i] = all(meet(x, y, level, seed, t) for seed in ORDERS[2:]) and similar(x, y, t)
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(c[good])], names=["u", "v"])
 
     return run
 
 
 def meet(x, y, level, seed, t) -> bool:
-    heads = [z[prefix(z, np.array([0, len(z)]), level, seed, t)[0]] for z in (x, y)]
+    heads = [prefix(z, np.array([0, len(z)]), level, seed, t)[0] for z in (x, y)]
     return bool(np.isin(heads[0], heads[1]).any())
 
 
@@ -222,12 +312,51 @@ def fits(t: int):
     return enough & (F.col("x.n") * 100 >= F.col("y.n") * t) & (F.col("y.n") * 100 >= F.col("x.n") * t)
 
 
+def with_both(pairs: DataFrame, data: DataFrame, column: str) -> DataFrame:
+    """(a, b) with the ``column`` of both classes as x and y."""
+    x, y = (data.select(F.col("cls").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b")
+
+
 def near_duplicates(docs: DataFrame, t: int = 75) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, cls, component) for each row, and the (u, v) links of classes found.
 
     ``component`` is the least class of a group; ``t`` is the similarity in hundredths.  The
     links connect each group, and hold every one that was verified.
     """
+    members, links, label = linked(docs, t)
+    out = members.join(label, members["cls"] == label["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))
+    return out, links
+
+
+def with_class(batches):
+    """All columns with the class of each text and whether it has tokens."""
+    for b in batches:
+        off, data = utf8(b.column("text"))
+        cls, some = [], []
+        for i, j in slices(off):
+            n, h = fingerprints(*shingle_sets(off[i : j + 1] - off[i], data[off[i] : off[j]]))
+            cls.append(h)
+            some.append(n > 0)
+        cls, some = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((cls, np.int64), (some, bool)))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls), pa.array(some)], names=[*b.schema.names, "_cls", "_some"])
+
+
+def keep_one(docs: DataFrame, t: int = 75) -> DataFrame:
+    """``docs`` with one row of each group, that of the least doc_id (null last); rows without
+    tokens all stay.  Rows are numbered, so ``docs`` should be a table as it is read."""
+    _, _, label = linked(docs, t)
+    schema = T.StructType([*docs.schema, T.StructField("_cls", T.LongType()), T.StructField("_some", T.BooleanType())])
+    rows = numbered(docs.mapInArrow(with_class, schema), "_uid")
+    group = F.when(F.col("_some"), F.coalesce("label", "_cls"))
+    group = F.struct(group.alias("g"), F.when(~F.col("_some"), F.col("_uid")).alias("own"))
+    keyed = rows.select("_uid", "_cls", "_some", F.col("doc_id").alias("_id")).join(label, F.col("_cls") == F.col("node"), "left")
+    first = keyed.groupBy(group.alias("k")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid")).alias("m"))
+    return rows.join(first.select(F.col("m._uid").alias("_uid")), "_uid", "left_semi").select(*docs.columns)
+
+
+def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of the rows, links of classes, and (node, label) for the classes that have links."""
     spark = docs.sparkSession
     n = n_partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -238,16 +367,17 @@ def near_duplicates(docs: DataFrame, t: int = 75) -> tuple[DataFrame, DataFrame]
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], np.int64)
     level = levels(sketch)
     texts = docs.select("text")
-    groups = checkpoint(texts.mapInArrow(prefixes(level, t), TOKENS).repartition(n, "key").mapInArrow(shared, "token long, cls long, n int, rank int").distinct())
+    groups = checkpoint(texts.mapInArrow(prefixes(level, t), TOKENS).repartition(n, "key").mapInArrow(shared(t), "token long, cls long, n int, rank int"))
     share = groups.groupBy("cls").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * t / 100) + 1)).alias("share"))
-    groups = groups.join(share, "cls")
-    sets = checkpoint(texts.mapInArrow(token_rows, "cls long, tokens binary").join(share.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.first("tokens").alias("tokens")))
-    links = tested = label = None
+    g = groups.join(share, "cls").withColumn("label", F.col("cls"))
+    links = tested = label = kept = None
     for step in range(ROUNDS + 1):
-        g = groups if label is None else groups.join(label, groups["cls"] == label["node"], "left").select(groups["*"], F.coalesce("label", "cls").alias("label"))
-        g = g.withColumn("label", F.col("cls")) if label is None else g
+        if label is not None:
+            g = g.drop("label").join(label, g["cls"] == label["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
         mixed = g.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-        g = checkpoint(g.join(mixed, "token"))
+        before, kept = kept, checkpoint(g.join(mixed, "token"))
+        forget(before)
+        g = kept
         if g.isEmpty():
             break
         if step < ROUNDS:
@@ -256,20 +386,32 @@ def near_duplicates(docs: DataFrame, t: int = 75) -> tuple[DataFrame, DataFrame]
             pairs = best.alias("x").join(g.alias("y"), "token")
         else:
             pairs = g.alias("x").join(g.alias("y"), "token").filter("x.cls < y.cls")
-        pairs = pairs.filter("x.label <> y.label").filter(fits(t)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        pairs = pairs.filter("x.label <> y.label").filter(fits(t)).groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+        pairs = pairs.agg(F.count("*").alias("c"), F.max("x.n").alias("p"), F.max("y.n").alias("q"))
+        if step == ROUNDS:  # all tokens that both prefixes hold were counted, as in heads_meet()
+            rest = F.greatest(F.ceil(F.col("p") * t / 100), F.ceil(F.col("q") * t / 100)) - 1
+            pairs = pairs.filter((F.col("c") + rest) * (100 + t) >= (F.col("p") + F.col("q")) * t)
+        pairs = pairs.select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
+        if pairs.isEmpty():
+            continue
         tested = pairs if tested is None else tested.union(pairs)
-        with_sets = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y")), "b")
-        found = checkpoint(with_sets.mapInArrow(verify(level, t), "u long, v long"))
+        wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
+        sets = checkpoint(texts.mapInArrow(token_rows(level, t, wanted), "cls long, head binary, tokens binary"))
+        heads = sets.select("cls", "head").groupBy("cls").agg(F.first("head").alias("head"))
+        close = checkpoint(with_both(pairs, heads, "head").mapInArrow(heads_meet(t), "a long, b long"))
+        both = bitmap(close.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
+        full = sets.select("cls", "tokens").mapInArrow(in_map(both), "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        found = checkpoint(with_both(close, full, "tokens").mapInArrow(verify(level, t), "u long, v long"))
+        forget(sets)
         links = found if links is None else links.union(found)
         label = checkpoint(components(links))
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
         label = spark.createDataFrame([], "node long, label long")
-    out = members.join(label, members["cls"] == label["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))
-    return out, links
+    return members, links, label
 
 
 def least_ids(members: DataFrame) -> DataFrame:
