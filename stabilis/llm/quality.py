@@ -200,6 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> CoTrained | None:
     rest = rest.orderBy("o", "doc_id").limit(s.unlabelled).select(F.col("doc_id").alias("l_id"), F.lit(-1).alias("quality"))
     more = docs.join(F.broadcast(rest), F.col("doc_id") == F.col("l_id"))
     rows = mine.unionByName(more).mapInArrow(featured, "o long, quality int, content binary, metadata binary").limit(4 * (s.labelled + s.unlabelled)).toPandas()
+    if rows.empty:
+        return None
     rows = rows.sort_values(["o", "quality", "content"]).drop_duplicates(["o", "quality", "content", "metadata"])
     views = [np.array([np.frombuffer(v, np.float32) for v in rows[c]], np.float64).reshape(len(rows), -1) for c in ("content", "metadata")]
     y = rows["quality"].to_numpy()
