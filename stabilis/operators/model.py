@@ -58,6 +58,14 @@ def mutation_table(spark: SparkSession, kind: str, ratio: Column | None = None)
     return grid.join(c, ["x", "y"], "left").select("x", "y", F.coalesce("c", F.lit(0.0)).alias("c"))
 
 
+def mutation_array(table: DataFrame) -> np.ndarray:
+    """The 400 rows of a mutation table as c[x, y]."""
+    out = np.zeros((20, 20))
+    for r in table.collect():
+        out[R.AMINO_ACIDS.index(r["x"]), R.AMINO_ACIDS.index(r["y"])] = r["c"]
+    return out
+
+
 def fixation(ddg_x: Column, ddg_y: Column) -> Column:
     """Probability that a mutation from y to x is fixed."""
     shift = float(np.log(GAMMA / (1 - GAMMA)) / 2)

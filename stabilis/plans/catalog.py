@@ -1,25 +1,6 @@
 """The registered queries of the library and their SQL for DuckDB."""
 
-from __future__ import annotations
+from . import queries_ddg, queries_model, queries_sequences, queries_statistics, queries_trees  # noqa: F401
+from .registry import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) under its name, with its SQL if there is one."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-from . import queries_ddg, queries_model, queries_sequences, queries_statistics, queries_trees  # noqa: E402, F401
+__all__ = ["ORACLE", "QUERIES"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import alignment as A
 from ..operators import ddg as D
 from . import views as V
-from .catalog import query
+from .registry import query
 
 KEYS = "family, r::INT AS r, wt, mut"
 

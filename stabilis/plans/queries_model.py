@@ -12,7 +12,7 @@ from ..functions import residues as R
 from ..operators import alignment as A
 from ..operators import model as M
 from . import views as V
-from .catalog import query
+from .registry import query
 from .queries_sequences import SQL_KD, SQL_TABLE
 
 # Shares of the residues over all families, and the ratio of purines to pyrimidines in nucleotides.
@@ -92,18 +92,10 @@ def prior_centers_kd(spark, d):
     return p.select("family", F.col("site").alias("r"), "wt", "mut", F.round("center", 9).alias("center"), F.round("beta.alpha", 9).alias("alpha"), F.round("beta.beta", 9).alias("beta"))
 
 
-def mutation_array(table) -> np.ndarray:
-    """The 400 rows of a mutation table as c[x, y]."""
-    out = np.zeros((20, 20))
-    for r in table.collect():
-        out[R.AMINO_ACIDS.index(r["x"]), R.AMINO_ACIDS.index(r["y"])] = r["c"]
-    return out
-
-
 @query()
 def stationary_distribution(spark, d):
     """Equilibrium shares of the residues at each site, from the stability table."""
-    c = mutation_array(M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(4.0)))
+    c = M.mutation_array(M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(4.0)))
     wt = F.map_from_arrays(F.array(F.first("wt")), F.array(F.lit(0.0)))
     per = V.stabilities(spark, d).filter("method = 'P20'").groupBy("family", "r").agg(F.map_concat(F.map_from_entries(F.collect_list(F.struct("mut", F.coalesce("ddg", F.lit(5.0))))), wt).alias("m"))
     rows = per.select("family", "r", F.array(*[F.coalesce(F.try_element_at("m", F.lit(a)), F.lit(5.0)) for a in R.AMINO_ACIDS]).alias("ddg"))

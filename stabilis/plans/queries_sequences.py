@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import residues as R
 from ..operators import alignment as A
 from . import views as V
-from .catalog import query
+from .registry import query
 
 SQL_TABLE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.codon_table().items()) + "}"
 SQL_THREE = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.THREE_LETTERS.items()) + "}"

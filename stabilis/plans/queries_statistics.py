@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics as S
 from . import views as V
-from .catalog import query
+from .registry import query
 
 FLAGS = ["l_returnflag", "l_linestatus"]
 C = S.ERFC_FIT

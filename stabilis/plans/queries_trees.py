@@ -10,8 +10,7 @@ from ..operators import inference as I
 from ..operators import model as M
 from ..operators import trees as T
 from . import views as V
-from .catalog import query
-from .queries_model import mutation_array
+from .registry import query
 
 # A caterpillar's nodes in closed form: tip i of n hangs on internal node n - i, counted from the root.
 SQL_NODES = (
@@ -92,7 +91,7 @@ def rows(spark, d, width):
 
 
 def mutations(spark):
-    return mutation_array(M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(4.0)))
+    return M.mutation_array(M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(4.0)))
 
 
 @query()
