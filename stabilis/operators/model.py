@@ -111,7 +111,23 @@ def equilibrium_slope(g: np.ndarray, dg: np.ndarray) -> np.ndarray:
 
 
 def exponential(g: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """exp(t G) for each t, shape (..., times, n, n), by scaling, a series and squaring."""
+    """exp(t G) for each t, shape (..., times, n, n): one diagonalization serves all times.
+
+    Where it doesn't give G back, as with defective matrices, a series takes its place.
+    """
+    w, v = np.linalg.eig(g)
+    try:
+        inverse = np.linalg.inv(v)
+    except np.linalg.LinAlgError:
+        return by_series(g, t)
+    if not np.allclose((v * w[..., None, :]) @ inverse, g, rtol=1e-9, atol=1e-11 * max(1.0, np.abs(g).max())):
+        return by_series(g, t)
+    scaled = v[..., None, :, :] * np.exp(w[..., None, :] * t[:, None])[..., None, :]
+    return (scaled @ inverse[..., None, :, :]).real
+
+
+def by_series(g: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """exp(t G) by scaling, a series and squaring."""
     a = g[..., None, :, :] * t[:, None, None]
     size = np.abs(a).sum(-2).max(initial=1e-9)
     k = max(0, int(np.ceil(np.log2(size))) + 4)

@@ -111,6 +111,9 @@ def test_markov():
     assert np.allclose(g @ p, 0) and p.sum() == pytest.approx(1)
     w, v = np.linalg.eig(g)
     assert np.allclose(M.exponential(g, np.array([0.1, 3.0]))[1], (v @ np.diag(np.exp(3 * w)) @ np.linalg.inv(v)).real)
+    assert np.allclose(M.by_series(g, np.array([0.1, 3.0])), M.exponential(g, np.array([0.1, 3.0])))
+    defective = np.array([[-1.0, 0, 0], [1, -1, 0], [0, 1, 0]])
+    assert np.allclose(M.exponential(defective, np.array([2.0]))[0][:, 0], [np.exp(-2), 2 * np.exp(-2), 1 - 3 * np.exp(-2)])
     a, b = -g, M.group_inverse(-g)
     assert np.allclose(a @ b @ a, a) and np.allclose(b @ a @ b, b) and np.allclose(a @ b, b @ a)
     dg = np.zeros_like(g)
