@@ -55,8 +55,10 @@ SPACED = re.compile(
     r"(?<![A-Za-z0-9._%+-])(?P<user>[A-Za-z0-9._%+-]{1,64})(?P<at>[ ]{1,3}(?:at|arroba)[ ]{1,3}|[ ]{0,3}@[ ]{0,3})(?P<host>[A-Za-z0-9-]{1,63}(?:(?:[ ]{1,3}(?:dot|punkt|punto)[ ]{1,3}|[ ]{0,3}\.[ ]{0,3}(?=[a-z]))[A-Za-z0-9-]{1,63}){1,8})", re.I
 )
 DOT = re.compile(r"[ ]{1,3}(?:dot|punkt|punto)[ ]{1,3}|[ ]{0,3}\.[ ]{0,3}", re.I)
-INNER = re.compile(r"(?<=[0-9])[OoIl](?=[0-9])")
-HINT = re.compile(r"[\[({<] {0,3}(?:at|dot|@|\.|punkt|punto|arroba) {0,3}[\])}>]| (?:dot|punkt|punto) | @|@ |[0-9][OoIl][0-9]", re.I)
+#: Letters among digits that look like them, in runs that are digits for the greater part.
+MIXED = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl]{2,19}(?:[ .-][0-9OoIl]{1,19}){0,8}(?![A-Za-z0-9])")
+LETTER = re.compile("[OoIl]")
+HINT = re.compile(r"[\[({<] {0,3}(?:at|dot|@|\.|punkt|punto|arroba) {0,3}[\])}>]| (?:dot|punkt|punto) | @|@ |[0-9][OoIl]|[OoIl][0-9]", re.I)
 
 
 def emails(text: str):
@@ -177,8 +179,14 @@ def spelled(tape: Tape) -> Tape:
                 yield b, e, "+" if w == "plus" else "." if w in ("dot", "point", "punkt", "punto", ".") else DIGIT_WORDS.get(w, w)
                 at = e
 
+    def letters():
+        for m in MIXED.finditer(tape.text):
+            found = list(LETTER.finditer(m[0]))
+            if 0 < len(found) <= len(DIGITS.findall(m[0])):
+                yield from ((m.start() + x.start(), m.start() + x.end(), "0" if x[0] in "Oo" else "1") for x in found)
+
     tape = tape.rewritten(digits())
-    return tape.rewritten((m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in INNER.finditer(tape.text))
+    return tape.rewritten(letters())
 
 
 def find(text: str) -> tuple[dict, dict]:
