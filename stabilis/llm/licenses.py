@@ -44,23 +44,22 @@ LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 THRESHOLD, SHARE = 0.75, 0.2
 #: Directories with a licence beyond which their table is joined by shuffle.
 BROADCAST_DIRS = 10_000
-TERM = "[^a-z0-9.-]+|[.-]+(?![a-z0-9])"
-LINE = "\\n|(?<=[.!?])[ \\t]+"
+TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+SENTENCE_END = r"([.!?])[ \t]+"
 MADE = ("license", "cosine", "origin", "declared_in")
 
 
 def terms(text: Column) -> Column:
     """Lower-case terms of letters, digits and inner dots and hyphens."""
-    return F.array_remove(F.split(F.lower(text), TERM), "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
 def template_terms() -> dict[str, dict[str, int]]:
     out = {}
     for name, text in TEMPLATES.items():
         tf: dict[str, int] = {}
-        for x in re.split(TERM, text.lower()):
-            if x:
-                tf[x] = tf.get(x, 0) + 1
+        for x in re.findall(TERM, text.lower()):
+            tf[x] = tf.get(x, 0) + 1
         out[name] = tf
     return out
 
@@ -109,7 +108,7 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
     hint = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed(v, threshold))) + ")"
     weight = F.create_map(*[F.lit(x) for k, c in sorted(df.items()) for x in (k, idf(n, c))])
     rare = F.lit(idf(n, 0))
-    lines = F.filter(F.split("text", LINE), lambda x: x.rlike(hint))
+    lines = F.filter(F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(hint))
     held = F.transform(lines, terms)
     told = F.array(*[F.struct(F.lit(k).alias("name"), F.create_map(*[F.lit(x) for p in sorted(w.items()) for x in p]).alias("w")) for k, w in sorted(v.items())])
 
@@ -164,3 +163,34 @@ def document_paths(docs: DataFrame) -> DataFrame:
     """Documents as files: source/lang/doc_id.txt."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     return docs.withColumn("path", F.concat_ws("/", part("source"), part("lang"), F.concat(part("doc_id"), F.lit(".txt"))))
+
+
+ORACLE = (
+    "WITH template(name, text) AS (VALUES "
+    + ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    + r"""),
+known AS (SELECT name, term, count(*) AS k FROM (SELECT name, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM template) GROUP BY ALL),
+files AS (SELECT row_number() OVER () AS id, doc_id, text, coalesce(source, '_') || '/' || coalesce(lang, '_') AS dir, coalesce(doc_id::VARCHAR, '_') || '.txt' AS base FROM documents),
+bags AS (SELECT id, regexp_extract_all(lower(text), '{TERM}') AS bag FROM files),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(bag) AS term FROM bags) WHERE term IN (SELECT term FROM known) GROUP BY term),
+total AS (SELECT count(*) AS n FROM files),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM known) LEFT JOIN df USING (term), total),
+told AS (SELECT name, term, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY name)) AS w FROM known JOIN idf USING (term)),
+lines AS (SELECT id, line, unnest(regexp_extract_all(lower(t), '{TERM}')) AS term FROM (
+  SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS line FROM (SELECT id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM files))),
+tf AS (SELECT id, line, term, count(*) AS k FROM lines GROUP BY ALL),
+weighed AS (SELECT id, line, term, k, k * coalesce(idf, ln(1 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), total),
+norms AS (SELECT id, line, sqrt(sum(w * w)) AS norm, sum(k) AS terms FROM weighed GROUP BY ALL),
+cosines AS (SELECT id, line, name, round(sum(x.w * told.w) / any_value(norm), 9) AS c, any_value(terms) AS terms FROM weighed x JOIN told USING (term) JOIN norms USING (id, line) GROUP BY ALL),
+best AS (SELECT id, line, name, c, terms FROM cosines QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY c DESC, name) = 1),
+notice AS (SELECT id, sum(terms) AS told, arg_min(name, (-c, name)) AS own, max(c) AS cosine FROM best WHERE c >= {THRESHOLD} GROUP BY id),
+marked AS (SELECT f.id, doc_id, dir, base, own, cosine, own IS NOT NULL AND (regexp_matches(base, '(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$') OR told >= {SHARE}::DOUBLE * len(bag)) AS file
+  FROM files f LEFT JOIN notice USING (id) LEFT JOIN bags USING (id)),
+dirs AS (SELECT dir AS source_dir, arg_min(own, (-cosine, dir || '/' || base)) AS name FROM marked WHERE file GROUP BY dir),
+above AS (SELECT DISTINCT dir, unnest([dir, split_part(dir, '/', 1), '']) AS source_dir FROM marked WHERE own IS NULL),
+nearest AS (SELECT dir, arg_max(source_dir, length(source_dir)) AS source_dir, arg_max(name, length(source_dir)) AS name FROM above JOIN dirs USING (source_dir) GROUP BY dir)
+SELECT doc_id, marked.dir || '/' || base AS path, coalesce(own, name) AS license, round(cosine, 6) AS cosine,
+  CASE WHEN own IS NOT NULL THEN 'notice' WHEN name IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own IS NULL THEN source_dir END AS declared_in
+FROM marked LEFT JOIN nearest ON own IS NULL AND nearest.dir = marked.dir
+""".replace("{TERM}", TERM).replace("{THRESHOLD}", str(THRESHOLD)).replace("{SHARE}", str(SHARE))
+)
