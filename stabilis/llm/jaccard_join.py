@@ -306,10 +306,17 @@ def similar(x, y, t) -> bool:
     return 100 * both >= t * (len(x) + len(y) - both)
 
 
-def fits(t: int):
-    """Sizes and ranks of a shared token that leave enough tokens to share."""
-    enough = F.lit(100 + t) * (F.lit(1) + F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) - 1) >= F.lit(t) * (F.col("x.n") + F.col("y.n"))
-    return enough & (F.col("x.n") * 100 >= F.col("y.n") * t) & (F.col("y.n") * 100 >= F.col("x.n") * t)
+def sizes_fit(t: int):
+    """Sizes of two sets that can be similar enough."""
+    return (F.col("x.n") * 100 >= F.col("y.n") * t) & (F.col("y.n") * 100 >= F.col("x.n") * t)
+
+
+def rank_fits(t: int):
+    """Ranks of a shared token that leave enough tokens to share, if it is the first shared one.
+
+    A pair needs one such token; tokens after the first may fail this.
+    """
+    return F.lit(100 + t) * F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) >= F.lit(t) * (F.col("x.n") + F.col("y.n"))
 
 
 def with_both(pairs: DataFrame, data: DataFrame, column: str) -> DataFrame:
@@ -386,8 +393,8 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
             pairs = best.alias("x").join(g.alias("y"), "token")
         else:
             pairs = g.alias("x").join(g.alias("y"), "token").filter("x.cls < y.cls")
-        pairs = pairs.filter("x.label <> y.label").filter(fits(t)).groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        pairs = pairs.agg(F.count("*").alias("c"), F.max("x.n").alias("p"), F.max("y.n").alias("q"))
+        pairs = pairs.filter("x.label <> y.label").filter(sizes_fit(t)).groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+        pairs = pairs.agg(F.count("*").alias("c"), F.max("x.n").alias("p"), F.max("y.n").alias("q"), F.max(rank_fits(t)).alias("fit")).filter("fit")
         if step == ROUNDS:  # all tokens that both prefixes hold were counted, as in heads_meet()
             rest = F.greatest(F.ceil(F.col("p") * t / 100), F.ceil(F.col("q") * t / 100)) - 1
             pairs = pairs.filter((F.col("c") + rest) * (100 + t) >= (F.col("p") + F.col("q")) * t)

@@ -225,6 +225,18 @@ def test_jaccard_join(spark, docs):
     assert jaccard_join.near_duplicates(no_rows(spark), 75)[0].count() == 0
 
 
+def test_jaccard_chains(spark):
+    """Sliding windows: each text is similar to its neighbours only, so no centre links them all."""
+    rng = random.Random(9)
+    rows = []
+    for k, step in enumerate((2, 3, 4, 5)):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(700)]
+        rows += [(1000 * k + i, " ".join(w[i * step : i * step + 60 + i % 3])) for i in range(100)]
+    members, _ = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 75)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.least_ids(members).collect()]
+    assert sorted(got) == sorted(groups(rows))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (3, 10), (7, 7)] + [(100, i) for i in range(101, 160)] + [(i, i + 1) for i in range(200, 240)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
