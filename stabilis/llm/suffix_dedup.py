@@ -184,7 +184,9 @@ def extents(length: int, width: int):
                 g = a + o[row]
                 one, two = Rolling(d), Rolling(d, 1)
                 u1, u2 = (r.of(g - hi, g - lo + length).view(np.int64) for r in (one, two))
-                common = mix(one.of(g - block * width, g - block * width - width + 1 + length) + block.astype(np.uint64)).view(np.int64)
+                common = np.zeros(len(a), np.int64)  # single suffixes don't go on
+                if width > 1:
+                    common = mix(one.of(g - block * width, g - block * width - width + 1 + length) + block.astype(np.uint64)).view(np.int64)
                 packed, who = pack(a, hi, lo), uid[i:j][row]
                 order, first, size = once([u1, u2])
                 twice, head = np.zeros(len(a), bool), np.zeros(len(a), bool)
