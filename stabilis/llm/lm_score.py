@@ -7,10 +7,13 @@ different byte seen) times its share in the next shorter context, where the byte
 already ruled out are excluded; below the empty context all bytes left are alike.  A sign that
 no text holds marks begin and end, so probabilities are of whole texts.
 
-The trie has at most ``CONTEXTS`` contexts, the most frequent ones of all lengths by counts over
-all training texts; this is the size of the model and bounds what is broadcast.  A context's
-suffixes are at least as frequent, so they are in the trie too, and shares of each context, with
-all escapes and exclusions, are worked out once.
+The trie has all contexts of the training texts and stays a table.  The share of each byte after
+each context that any text has is worked out once, length by length: a context's bytes follow its
+suffix too, so what is excluded there is what the longer context has, and a step needs only the
+rows of one shorter context (256 contexts of 256 bytes at most) in one place.  The parts of the
+table are handed the shares that their texts need by a shuffle.  Parts are blocks of rows as they
+are read, so ``docs`` should be a table as it is read; a text without its shares is an error.
+With a number of ``contexts``, the trie has the most frequent ones only and is broadcast.
 
 The baseline adds the logarithms of smoothed word frequencies; counts of all words are gathered
 by a shuffle and handed back to the parts of the table that hold the words.
@@ -21,15 +24,19 @@ equal rows get equal scores; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, Rolling, checkpoint, crc_mod, n_partitions, numbered, slices, utf8, words
+from .common import LOWER, U64, Rolling, checkpoint, crc_mod, forget, n_partitions, numbered, slices, utf8, words
 
-ORDER, CONTEXTS = 5, 32768
+ORDER = 5
+#: Bits of the number of rows in a part, and bytes of text that are sorted at a time.
+PART_BITS, SORTED = 14, 1 << 23
 EDGE = 0xFF
 #: The name of the end that follows the last word of a text.
 END = np.int64(-6148914691236517206)
@@ -75,8 +82,8 @@ def count_grams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int64)), pa.array(count)], names=["gram", "c"])
 
 
-def train(texts: DataFrame, contexts: int = CONTEXTS) -> Model:
-    """The model of the column ``text``."""
+def train(texts: DataFrame, contexts: int) -> Model:
+    """The model of the column ``text`` with the most frequent contexts."""
     grams = texts.select("text").mapInArrow(count_grams, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     kept = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.expr(f"shiftright(gram, 8) & {(1 << 8 * k) - 1}L").alias("ctx"), F.expr("gram & 255L").alias("byte")) for k in range(ORDER + 1)))).alias("x")
     seen = checkpoint(grams.select(kept, "c").groupBy("x.k", "x.ctx", "x.byte").agg(F.sum("c").alias("c")))
@@ -136,6 +143,169 @@ class Model:
         return np.bincount(row, self.share[self.nodes(code), byte], len(off) - 1)
 
 
+# ---- the byte model as a table
+
+#: Rows of a length: the context and the byte, its count, the sum and number of the bytes after the
+#: context, the share of the byte when the context has escaped, and its share.
+LEVEL = "gram long, c long, total long, kinds long, escaped double, share double"
+
+
+def part_grams(batches):
+    """The distinct bytes with their contexts of each part, with their counts in training texts."""
+    part_now, held, size = None, [], 0
+    have, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def merged():
+        if not held:
+            return have, count
+        key = np.sort(np.concatenate(held))
+        gram = key >> 1
+        begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        c = np.add.reduceat(key & 1, begin)
+        if not len(have):
+            return gram[begin], c
+        new, at = np.unique(np.concatenate([have, gram[begin]]), return_inverse=True)
+        return new, np.bincount(at, np.concatenate([count, c]), len(new)).astype(np.int64)
+
+    def rows():
+        gram, c = merged()
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.full(len(gram), part_now, np.int64)), pa.array(c)], names=["gram", "part", "c"])
+
+    for b in batches:
+        off, data = utf8(b.column("text"))
+        part = b.column("part").to_numpy()
+        learn = np.array(b.column("learn").to_pylist(), bool)
+        for i, j in slices(off):
+            code, byte, row = edged(off[i : j + 1] - off[i], data[off[i] : off[j]])
+            key = ((code << U64(8) | byte) << U64(1) | learn[i:j][row]).astype(np.int64)
+            for p in np.unique(part[i:j]):  # parts ascend within a task
+                if p != part_now:
+                    if part_now is not None:
+                        yield rows()
+                    part_now, held, size = p, [], 0
+                    have, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                mine = key[part[i:j][row] == p]
+                held.append(mine)
+                size += len(mine)
+                if size > SORTED:
+                    have, count = merged()
+                    held, size = [], 0
+    if part_now is not None:
+        yield rows()
+
+
+def total_grams(batches):
+    """Of a partition dealt by gram: the counts over all parts and the parts that need it."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        t = pa.Table.from_batches(got)
+        gram, part, c = (t.column(x).to_numpy() for x in ("gram", "part", "c"))
+        order = np.argsort(gram, kind="stable")
+        gram, part, c = gram[order], part[order], c[order]
+        begin = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        parts = pa.ListArray.from_arrays(pa.array(np.append(begin, len(gram)).astype(np.int32)), pa.array(part))
+        yield pa.RecordBatch.from_arrays([pa.array(gram[begin]), pa.array(np.add.reduceat(c, begin)), parts], names=["gram", "c", "parts"])
+
+
+def shorter(k: int) -> str:
+    """The context of ``k`` bytes of a gram, as SQL."""
+    return f"shiftright(gram, 8) & {(1 << 8 * k) - 1}L"
+
+
+def deepen(gram, c, up_gram, up_c, up_total, up_kinds, up_escaped, up_share, k):
+    """The columns of ``LEVEL`` for sorted grams of ``k`` bytes of context from those of one less."""
+    ctx = gram >> 8
+    begin = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
+    spread = np.diff(np.append(begin, len(ctx)))
+    every = lambda x: np.repeat(np.add.reduceat(x, begin), spread)
+    total, kinds = every(c), every((c > 0).astype(np.int64))
+    if k:
+        at = np.searchsorted(up_gram, gram & ((1 << 8 * k) - 1))
+        n, d = up_c[at], up_kinds[at]
+        left = up_total[at] - every(np.where(c > 0, n, 0))  # counts of the shorter context that aren't excluded
+        new = d - kinds
+        escape = np.where(d < 256, 0.5, 0.0)
+        some = np.maximum(left, 1)
+        escaped = np.where(n > 0, (n - escape) / some, np.where(new > 0, escape * new / some, 1.0) * up_escaped[at])
+        below = up_share[at]
+    else:
+        escaped = 1 / np.maximum(256 - kinds, 1)
+        below = escaped
+    known = np.maximum(total, 1)
+    share = np.where(c > 0, (c - np.where(kinds < 256, 0.5, 0.0)) / known, 0.5 * kinds / known * escaped)
+    return total, kinds, escaped, np.where(total > 0, share, below)
+
+
+def columns_of(batches, names):
+    """Columns of a partition in order of gram, those of the shorter contexts first."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return None
+    t = pa.Table.from_batches(got)
+    up = np.array(t.column("up").to_pylist(), bool)
+    out = []
+    for mask in (up, ~up):
+        s = t.filter(pa.array(mask))
+        out.append(s.take(pa.array(np.argsort(s.column("gram").to_numpy()))))
+    above = [out[0].column(x).to_numpy() for x in names]
+    return above, out[1]
+
+
+NAMES = [x.split()[0] for x in LEVEL.split(", ")]
+
+
+def lengthened(k: int):
+    def run(batches):
+        got = columns_of(batches, NAMES)
+        if got is not None and got[1].num_rows:
+            above, rows = got
+            gram, c = rows.column("gram").to_numpy(), rows.column("c").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram, c, *deepen(gram, c, *above, k))], names=NAMES)
+
+    return run
+
+
+def handed(batches):
+    """For each part, the sorted grams that it needs and the log10 shares, as bytes."""
+    got = columns_of(batches, NAMES)
+    if got is None or not got[1].num_rows:
+        return
+    above, rows = got
+    gram, c = rows.column("gram").to_numpy(), rows.column("c").to_numpy()
+    share = np.log10(deepen(gram, c, *above, ORDER)[3]).astype(np.float32)
+    parts = rows.column("parts").combine_chunks()
+    which = np.repeat(np.arange(len(gram)), parts.value_lengths().to_numpy())
+    part = parts.flatten().to_numpy()
+    order = np.argsort(part, kind="stable")
+    part, which = part[order], which[order]
+    begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for i, j in zip(begin, np.append(begin[1:], len(part)), strict=True):
+        g = gram[which[i:j]]
+        yield pa.RecordBatch.from_arrays([pa.array([part[i]], pa.int64()), pa.array([np.diff(g, prepend=0).tobytes()], pa.binary()), pa.array([share[which[i:j]].tobytes()], pa.binary())], names=["part", "grams", "shares"])
+
+
+def shares(texts: DataFrame) -> DataFrame:
+    """(part, grams, shares) of all grams of texts by the model of the training texts."""
+    n = n_partitions(texts.sparkSession)
+    counted = texts.select("text", "part", "learn").mapInArrow(part_grams, "gram long, part long, c long").repartition(n, "gram")
+    levels = [checkpoint(counted.mapInArrow(total_grams, "gram long, c long, parts array<long>"))]
+    for k in range(ORDER - 1, -1, -1):
+        levels.insert(0, checkpoint(levels[0].groupBy(F.expr(f"gram & {(1 << 8 * (k + 1)) - 1}L").alias("gram")).agg(F.sum("c").alias("c"))))
+    known = None
+    for k, rows in enumerate(levels):
+        rows = rows.withColumn("up", F.lit(False))
+        if known is not None:
+            rows = rows.unionByName(known.withColumn("up", F.lit(True)), allowMissingColumns=True)
+        else:
+            rows = rows.select("*", *(F.lit(None).cast(t).alias(x) for x, t in (y.split() for y in LEVEL.split(", ")[2:])))
+        dealt = rows.repartition(n, F.expr(shorter(max(0, k - 1))))
+        if k == ORDER:
+            return dealt.mapInArrow(handed, "part long, grams binary, shares binary")
+        before, known = known, checkpoint(dealt.mapInArrow(lengthened(k), LEVEL))
+        forget(before)
+        forget(levels[k])
+
+
 # ---- the word baseline
 
 
@@ -185,13 +355,35 @@ def total_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[known]) for x in (word, part, every, first)], names=["word", "part", "c", "first"])
 
 
-def scored(model: Model):
-    """Sums for the texts of a part, with the word counts handed back to it."""
+def table_of(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams of a part and their log10 shares."""
+    packed = counts.filter(counts.column("grams").is_valid())
+    gram = [np.cumsum(np.frombuffer(x, np.int64)) for x in packed.column("grams").to_pylist()]
+    share = [np.frombuffer(x, np.float32) for x in packed.column("shares").to_pylist()]
+    gram, share = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((gram, np.int64), (share, np.float32)))
+    order = np.argsort(gram)
+    return gram[order], share[order]
+
+
+def looked_up(gram: np.ndarray, share: np.ndarray, off: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from the shares of its part."""
+    code, byte, row = edged(off, data)
+    name = (code << U64(8) | byte).astype(np.int64)
+    at = np.minimum(np.searchsorted(gram, name), len(gram) - 1)
+    if not len(gram) or (gram[at] != name).any():
+        raise ValueError("texts were read in another order")
+    return np.bincount(row, share[at], len(off) - 1)
+
+
+def scored(model: Model | None):
+    """Sums for the texts of a part, with the word counts and the shares handed back to it."""
 
     def run(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
-        word, c = counts.column("word").to_numpy(), counts.column("c").to_numpy()
+        known = counts.filter(counts.column("grams").is_null())
+        word, c = known.column("word").to_numpy(), known.column("c").to_numpy()
         order = np.argsort(word)
         word, c = word[order], c[order]
+        score = model.score if model else partial(looked_up, *table_of(counts))
         out = []
         for b in texts.combine_chunks().to_batches():
             off, data = utf8(b.column("text"))
@@ -200,9 +392,9 @@ def scored(model: Model):
                 name, row = tokens(o, d)
                 at = np.minimum(np.searchsorted(word, name), max(0, len(word) - 1))
                 n = np.where(word[at] == name, c[at], 0) if len(word) else np.zeros(len(name), np.int64)
-                cols = [np.bincount(row, minlength=j - i), np.bincount(row, n > 0, j - i).astype(np.int64), np.bincount(row, np.log10(n + 0.1), j - i), model.score(o, d)]
-                out.append(pa.Table.from_arrays([b.column("rest").slice(i, j - i), *map(pa.array, cols)], names=["rest", "n_tokens", "n_known", "logs", "score"]))
-        return pa.concat_tables(out) if out else pa.table({"rest": texts.column("rest"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+                cols = [np.bincount(row, minlength=j - i), np.bincount(row, n > 0, j - i).astype(np.int64), np.bincount(row, np.log10(n + 0.1), j - i), score(o, d)]
+                out.append(pa.Table.from_arrays([*(b.column(x).slice(i, j - i) for x in ("rest", "text")), *map(pa.array, cols)], names=["rest", "text", "n_tokens", "n_known", "logs", "score"]))
+        return pa.concat_tables(out) if out else pa.table({"rest": texts.column("rest"), "text": texts.column("text"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
     return run
 
@@ -210,19 +402,24 @@ def scored(model: Model):
 MADE = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def score_texts(docs: DataFrame, learn, contexts: int = CONTEXTS) -> DataFrame:
+def score_texts(docs: DataFrame, learn, contexts: int | None = None) -> DataFrame:
     """``docs`` with n_tokens, n_known, train_tokens, base_score and score; ``learn`` is the
-    condition of training rows."""
+    condition of training rows.  All contexts are kept unless a number is given."""
     n = n_partitions(docs.sparkSession)
-    model = train(docs.filter(learn), contexts)
-    rest = [c for c in docs.columns if c not in MADE]
+    model = train(docs.filter(learn), contexts) if contexts else None
+    names = [c for c in docs.columns if c not in MADE]
+    rest = [F.col(c) for c in names if c != "text"] or [F.lit(None).cast("int").alias("nothing")]
     texts = numbered(docs.select(F.struct(*rest).alias("rest"), "text", learn.alias("learn")))
-    texts = texts.withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(n))).repartition(n, "part")
-    counts = texts.mapInArrow(part_words, "word long, part long, c long").repartition(n, "word").mapInArrow(total_words, "word long, part long, c long, first boolean")
+    texts = texts.withColumn("part", F.shiftright("uid", PART_BITS))
+    counts = texts.select("text", "part", "learn").mapInArrow(part_words, "word long, part long, c long").repartition(n, "word").mapInArrow(total_words, "word long, part long, c long, first boolean")
     total = counts.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count("*").alias("types"))
+    back = counts.select("word", "part", "c", *(F.lit(None).cast("binary").alias(x) for x in ("grams", "shares")))
+    if model is None:
+        back = back.unionByName(shares(texts), allowMissingColumns=True)
+    text = T.StructField("text", T.StringType())
     longs = [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")]
     doubles = [T.StructField(c, T.DoubleType()) for c in ("logs", "score")]
-    out = texts.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(scored(model), T.StructType([*texts.select("rest").schema, *longs, *doubles]))
+    out = texts.select("rest", "text", "part").groupBy("part").cogroup(back.groupBy("part")).applyInArrow(scored(model), T.StructType([*texts.select("rest").schema, text, *longs, *doubles]))
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.1 * (F.col("types") + 1))
-    return out.crossJoin(F.broadcast(total)).select("rest.*", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
-
+    kept = ["text" if c == "text" else f"rest.`{c}`" for c in names]
+    return out.crossJoin(F.broadcast(total)).select(*kept, "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")

@@ -346,6 +346,34 @@ def test_model_by_hand():
     assert p[m.nodes(np.array([97], np.uint64))[0], 99] == pytest.approx(0.25 * 0.25 / 254)
 
 
+def test_model_has_all_contexts(spark):
+    rng = random.Random(8)
+    made = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz é") for _ in range(rng.randint(0, 800))) for _ in range(100)] + [None, "", "ab" * 40, "\n\x00"]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    counts = [{} for _ in range(6)]
+    coded = [[b"\xff" * 5 + (t or "").encode() + b"\xff", i % 4 > 0] for i, t in enumerate(made)]
+    for x, learn in coded:
+        for at in range(5, len(x) if learn else 0):
+            for k in range(6):
+                counts[k].setdefault(x[at - k : at], Counter())[x[at]] += 1
+    assert sum(map(len, counts)) > 32768
+
+    def share(ctx, byte):
+        out, left, gone = 1.0, 256, set()
+        for k in range(5, -1, -1):
+            c = {b: n for b, n in counts[k].get(ctx[5 - k :], {}).items() if b not in gone}
+            if c:
+                n, escape = sum(c.values()), 0.5 if len(c) < left else 0.0
+                if byte in c:
+                    return out * (c[byte] - escape) / n
+                out, left, gone = out * escape * len(c) / n, left - len(c), gone | set(c)
+        return out / left
+
+    got = {r.doc_id: r.score for r in lm_score.score_texts(docs, F.col("doc_id") % 4 > 0).collect()}
+    for i, (x, _) in enumerate(coded):
+        assert got[i] == pytest.approx(sum(math.log10(share(x[at - 5 : at], x[at])) for at in range(5, len(x))), rel=1e-4)
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
