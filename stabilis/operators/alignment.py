@@ -137,11 +137,17 @@ def contained(aln: DataFrame) -> DataFrame:
     """Rows whose letters, gaps left out, aren't part of a longer kept row of the family.
 
     An order-free form of the containment filter: a row goes if its letters are a proper part of
-    another row's, or equal an earlier row's.
+    another row's, or equal an earlier row's.  Rows of ``w`` letters and more are looked for by
+    their first ``w``, shorter ones among all shorter substrings, those of ``w - 1`` letters first.
     """
     u = aln.withColumn("letters", F.regexp_replace("seq", "-", "")).groupBy("family", "letters").agg(F.min(F.struct("pos", "header", "seq")).alias("x"))
     w = 12
     words = u.filter(F.length("letters") >= w).withColumn("k", F.explode(F.transform(F.sequence(F.lit(1), F.length("letters") - w + 1), lambda i: F.substring("letters", i, F.lit(w)))))
     head = u.filter(F.length("letters") >= w).select("family", F.col("letters").alias("part"), F.substring("letters", 1, w).alias("k"))
     gone = head.join(words.select("family", "letters", "k").distinct(), ["family", "k"]).filter(F.col("letters").contains(F.col("part")) & (F.col("letters") != F.col("part")))
-    return u.join(gone.select("family", F.col("part").alias("letters")).distinct(), ["family", "letters"], "left_anti").select("family", "x.pos", "x.header", "x.seq")
+    start = lambda i: F.substring("letters", i, F.when(i == 1, F.least(F.lit(w - 1), F.length("letters") - 1)).otherwise(w - 1))
+    tails = u.filter("letters <> ''").select("family", F.explode(F.transform(F.sequence(F.lit(1), F.length("letters")), start)).alias("k")).distinct()
+    parts = tails.select("family", F.explode(F.transform(F.sequence(F.lit(0), F.length("k")), lambda n: F.substring("k", F.lit(1), n))).alias("letters")).distinct()
+    short = u.filter(F.length("letters") < w).select("family", "letters").join(parts, ["family", "letters"], "left_semi")
+    gone = gone.select("family", F.col("part").alias("letters")).distinct().unionByName(short)
+    return u.join(gone, ["family", "letters"], "left_anti").select("family", "x.pos", "x.header", "x.seq")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -67,6 +68,18 @@ def test_contained(spark):
     assert sorted(r.pos for r in A.contained(aln).collect()) == [1, 3]
 
 
+def test_contained_at_all_lengths(spark):
+    rng = random.Random(3)
+    made = {f: [(i, "".join(rng.choice("AC-") for _ in range(rng.randint(0, 30)))) for i in range(40)] for f in "xy"}
+    made["x"] += [(50 + n, "ACDEFGHIKLMNPQRSTVWY"[3 : 3 + n]) for n in range(17)] + [(80, "ACDEFGHIKLMNPQRSTVWY"), (81, "W"), (82, "WW"), (83, "YYYYYYYYYYY")]
+    made["z"], made["e"] = [(0, "-"), (1, "")], [(0, ""), (1, "A")]
+    rows = [(f, i, f"h{i}", s) for f, x in made.items() for i, s in x]
+    bare = {(f, i): s.replace("-", "") for f, i, _, s in rows}
+    out = lambda f, i, s: any(g == f and (s != o and s in o or s == o and j < i) for (g, j), o in bare.items())
+    got = A.contained(spark.createDataFrame(rows, "family string, pos long, header string, seq string"))
+    assert sorted((r.family, r.pos) for r in got.collect()) == sorted((f, i) for (f, i), s in bare.items() if not out(f, i, s))
+
+
 def test_ddg(spark):
     schema = "method string, family string, r int, wt string, mut string, ddg double"
     t = spark.createDataFrame([("m", "f", 1, "A", "C", 1.0), ("m", "f", 1, "A", "D", None), ("m", "f", 2, "K", "A", -1.0), ("m", "f", 2, "K", "C", 1.0)], schema)
