@@ -101,12 +101,12 @@ def log_likelihood(spark, d):
 
 @query()
 def maximize_posterior(spark, d):
-    return I.maximize(rows(spark, d, 4), mutations(spark), 10.0, 1.0, 0.0)
+    return I.maximize(rows(spark, d, 64), mutations(spark), 10.0, 1.0, 0.0)
 
 
 @query()
 def mcmc_trace(spark, d):
-    return I.chains(rows(spark, d, 2), mutations(spark), 10.0, 1.0, 0.0)
+    return I.chains(rows(spark, d, 64), mutations(spark), 10.0, 1.0, 0.0)
 
 
 @query()

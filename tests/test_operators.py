@@ -16,6 +16,7 @@ from stabilis.operators import ddg as D
 from stabilis.operators import inference as I
 from stabilis.operators import model as M
 from stabilis.operators import trees as T
+from stabilis.plans import queries_trees
 from stabilis.sources import text
 
 
@@ -226,3 +227,11 @@ def test_files(spark, tmp_path):
     for bad in ("SEED 1 2\nPRIORS x", "SEED 1", "OTHER 1", "SEED 1\nSEED 1\nPRIORS x"):
         with pytest.raises(ValueError):
             job.parse(bad)
+
+
+def test_inference_queries_cover_all_sites(spark, sf, monkeypatch):
+    monkeypatch.setattr(queries_trees, "rows", lambda spark, d, width: width)
+    monkeypatch.setattr(queries_trees, "mutations", lambda spark: None)
+    for name, run in (("maximize", queries_trees.maximize_posterior), ("chains", queries_trees.mcmc_trace)):
+        monkeypatch.setattr(I, name, lambda width, *_: width)
+        assert run(spark, sf) == 64
