@@ -43,11 +43,13 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿᠎]")
-ODD = re.compile("[^\u0000-¬®-ɏ]")
+ODD = re.compile("[^\u0000-\u009f¡-¬®-ɏ]")
 WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 ONE = rf"(?:(?:{WORD})\b|[0-9]+)"
-#: Digits in words: four at least in a row, of them three words, with a plus or dots between.
-SPELLED = re.compile(rf"(?:\bplus[ -]+)?\b{ONE}(?:(?:[ ,-]{{1,3}}|[ ]?(?:\.|\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b)[ ]?){ONE}){{3,}}", re.I)
+#: Digits in a row, in words or not, with a plus before or dots between.
+SPELLED = re.compile(rf"(?:\bplus[ -]+)?\b{ONE}(?:(?:[ ,-]{{1,3}}|[ ]?(?:\.|\bdot\b|\bpoint\b|\bpunkt\b|\bpunto\b)[ ]?){ONE}){{1,}}", re.I)
+#: Few words beside a dot with a space are the end of a sentence.
+LOOSE_DOT = re.compile(r" \.|\. ")
 DIGIT_WORD = re.compile(rf"\b(?:{WORD})\b", re.I)
 PIECE = re.compile(rf"\b(?:plus|dot|point|punkt|punto)\b|\b(?:{WORD})\b|[0-9]+|\.", re.I)
 BRACKET = re.compile(r"[ ]{0,3}[\[({<][ ]{0,3}(at|@|dot|\.|punkt|punto|arroba)[ ]{0,3}[\])}>][ ]{0,3}", re.I)
@@ -139,6 +141,8 @@ def ascii_like(c: str) -> str:
     digit = unicodedata.digit(c, None)
     if digit is not None:
         return str(digit)
+    if unicodedata.category(c) == "Zs":
+        return " "
     folded = unicodedata.normalize("NFKC", c)
     return folded if len(folded) == 1 and folded.isascii() and not folded.isspace() else c
 
@@ -168,7 +172,8 @@ def disguises(tape: Tape) -> Tape:
 def spelled(tape: Tape) -> Tape:
     def digits():
         for m in SPELLED.finditer(tape.text):
-            if len(DIGIT_WORD.findall(m[0])) < 3:
+            n = len(DIGIT_WORD.findall(m[0]))
+            if not n or n < 3 and LOOSE_DOT.search(m[0]):
                 continue
             at = m.start()
             for x in PIECE.finditer(m[0]):
@@ -193,7 +198,7 @@ def find(text: str) -> tuple[dict, dict]:
     """Plain spans, and those with what the disguises hid added."""
     base = plain(text)
     odd = ODD.search(text) or INVISIBLE.search(text)
-    if not (odd or HINT.search(text) or SPELLED.search(text)):
+    if not (odd or HINT.search(text) or any(DIGIT_WORD.search(m[0]) for m in SPELLED.finditer(text))):
         return base, base
     tape = spelled(disguises(lookalikes(Tape(text)) if odd else Tape(text)))
     if tape.text == text:

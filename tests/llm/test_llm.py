@@ -425,6 +425,22 @@ def test_pii_table(spark):
     assert masked[2].text == "<email>, look at example.com" and masked[0].text is None
 
 
+def test_pii_fewer_disguises():
+    for kind, text in (
+        ("ip", "192.168.zero.one"),
+        ("ip", "192.168.0.one"),
+        ("phone", "+49 151 2345 six 78"),
+        ("phone", "+491512345 seven"),
+        *(("card", f"4111{c}1111{c}1111{c}1111") for c in "\u00a0\u2009\u202f\u3000"),
+        *(("phone", f"+49{c}151{c}2345678") for c in "\u00a0\u2009\u202f"),
+    ):
+        base, every = pii.find(f"see {text}")
+        assert len(every[kind]) == 1 and every[kind][0][0] == 4, text
+        assert not base[kind] or kind == "phone"
+    for text in ("They met at noon. Then", "Version 1.2.3. One of them", "at one, two"):
+        assert not any(pii.find(text)[1].values()), text
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
