@@ -26,10 +26,14 @@ LOWER[0x41:0x5B] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where none is."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, a temporary one, in local mode
+    only, as other executors don't see it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -60,6 +64,38 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ... so that none clashes with a working column, and their
+    new names; ``df.columns`` in place of these gives the old names back."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new, strict=True))
+
+
+#: Keys that may count as hot at most, the least rows of one, and over how many salts its rows go.
+HOT_KEYS, HOT_ROWS, SALTS = 200, 200, 32
+
+
+def hot_keys(many: DataFrame, key: str) -> list:
+    """Keys with more than one in ``HOT_KEYS`` of the rows, so fewer than ``HOT_KEYS`` of them."""
+    per = many.groupBy(key).count()
+    least = max(HOT_ROWS, many.count() // HOT_KEYS)
+    return [r[0] for r in per.filter((F.col("count") > least) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``many.join(few, key, how)`` with the rows of hot keys dealt over several tasks; ``few``
+    has the rows of such a key once for each salt."""
+    if hot is None:
+        hot = hot_keys(many, key)
+    if not hot:
+        return many.join(few, key, how)
+    is_hot = F.col(key).isin(hot)
+    zero = F.lit(0).cast("long")
+    a = many.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(SALTS))).otherwise(zero))
+    b = few.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(zero, F.lit(SALTS - 1).cast("long"))).otherwise(F.array(zero))))
+    return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
 def numbered(df: DataFrame, uid: str = "uid") -> DataFrame:
     """A number for each row, as doc_id may be null or repeated."""
     return df.withColumn(uid, F.monotonically_increasing_id())
