@@ -91,7 +91,7 @@ def plain(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = list(emails(text))
     if DIGITS.search(text):
-        out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m[0].replace(" ", "").replace("-", "")
