@@ -4,22 +4,25 @@ The network is trained in numpy by backpropagation through time on windows of la
 and then reads every text, window by window: each byte gets language probabilities from the
 states of both directions, and a text's probabilities are the mean over its letters.
 
-Training fits on at most ``Settings.train_docs`` labelled texts, those whose ids have the least
-hashes, with ``Settings.train_windows`` windows of ``Settings.span`` bytes dealt evenly over the
-languages; this is the documented bound of the sample.  Prediction reads every byte of every
-text and nothing but the text.  Null texts and texts without a letter are ``und`` with score 0;
+Training fits on at most ``Settings.train_docs`` labelled texts, dealt evenly over the languages
+by the hashes of their ids, and ``Settings.train_windows`` windows of ``Settings.span`` bytes of
+them; this is the documented bound of the sample, and only windows reach the driver.  Prediction reads every byte of every
+text and nothing but the text.  Null texts and texts without a letter (a code point of Unicode category L) are ``und`` with score 0;
 texts longer than a slice are read in pieces and pooled as one; repeated rows get equal results;
-without any labelled row all predictions are ``und``.
+without any labelled row all predictions are ``und``; ties go to the lesser language; an empty
+table gives an empty result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, slices, utf8
@@ -151,35 +154,62 @@ class ByteGRU:
         return losses
 
 
-#: Bytes that count as letters: ASCII letters and all bytes of longer code points.
-LETTER = np.zeros(256, bool)
-LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = LETTER[0x80:] = True
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Which code points are letters: Unicode categories Lu, Ll, Lt, Lm and Lo."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts, one after the other, belong to letters."""
+    code = data
+    if len(data) and data.max() >= 0x80:
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    letter = letter_table()[code]
+    return letter if code is data else np.repeat(letter, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
 
 
 def fit(docs: DataFrame, s: Settings) -> tuple[ByteGRU | None, list[str]]:
     """The network and its languages, from rows (doc_id, text, lang) that may be learned from."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    rows = rows.withColumn("_o", F.xxhash64(F.lit(s.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lang"))
+    rows = rows.select("text", "lang", F.xxhash64(F.lit(s.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lang").alias("o"))
     per = rows.groupBy("lang").count().orderBy("lang").collect()
     langs = [r["lang"] for r in per]
     if not langs:
         return None, []
     share = max(1, s.train_docs // len(langs))
-    bound = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * share / r["count"] + 20 / r["count"]))) for r in per])
-    some = rows.filter((F.pmod("_o", F.lit(1 << 20)) / float(1 << 20)) < bound).select("lang", "text")
-    return fit_windows([(r["lang"], r["text"].encode()) for r in some.orderBy("_o").limit(2 * s.train_docs + 100).toLocalIterator()], langs, s)
+    bound = F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(1.2 * share / r["count"] + 20 / r["count"]))])
+    some = rows.filter((F.pmod("o", F.lit(1 << 20)) / float(1 << 20)) < F.element_at(bound, F.col("lang")))
+    each = -(-2 * s.train_windows // sum(min(share, r["count"]) for r in per))
+    cut = some.mapInArrow(windows(s.span, each), "lang string, o long, spans array<binary>")
+    least = cut.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "spans"))).filter(F.col("r") <= share)
+    return fit_windows([(r["lang"], list(map(bytes, r["spans"]))) for r in least.orderBy("lang", "o", "spans").toLocalIterator()], langs, s)
+
+
+def windows(span: int, n: int):
+    """``n`` stretches of ``span`` bytes from places of each text that its hash sets."""
+
+    def run(batches):
+        for b in batches:
+            spans = []
+            for text, o in zip(b.column("text"), b.column("o").to_pylist(), strict=True):
+                data = text.as_buffer()
+                at = np.random.default_rng(o & 0xFFFFFFFF).integers(max(1, data.size - span + 1), size=n)
+                spans.append([data[int(a) : int(a) + span].to_pybytes() for a in at])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("o"), pa.array(spans, pa.list_(pa.binary()))], names=["lang", "o", "spans"])
+
+    return run
 
 
-def fit_windows(texts: list[tuple[str, bytes]], langs: list[str], s: Settings) -> tuple[ByteGRU, list[str]]:
-    """Windows from random places of the texts, as many for each language."""
+def fit_windows(texts: list[tuple[str, list[bytes]]], langs: list[str], s: Settings) -> tuple[ByteGRU, list[str]]:
+    """A network trained on windows of the texts, as many for each language."""
     rng = np.random.default_rng(s.seed)
     x, y = [], []
     for k, lang in enumerate(langs):
-        mine = [np.frombuffer(t, np.uint8) for name, t in texts if name == lang]
-        for _ in range(max(1, s.train_windows // len(langs)) if mine else 0):
-            t = mine[rng.integers(len(mine))]
-            at = int(rng.integers(max(1, len(t) - s.span + 1)))
-            x.append(np.pad(t[at : at + s.span], (0, max(0, s.span - len(t[at : at + s.span]))), constant_values=32))
+        mine = [w for name, spans in texts if name == lang for w in spans]
+        want = max(1, s.train_windows // len(langs)) if mine else 0
+        for i in rng.permutation(len(mine))[:want] if len(mine) >= want else rng.integers(len(mine), size=want):
+            x.append(np.frombuffer(mine[i].ljust(s.span), np.uint8))
             y.append(k)
     net = ByteGRU(s.hidden, len(langs), s.seed)
     if len(langs) > 1:
@@ -191,8 +221,9 @@ def pooled(net: ByteGRU, off: np.ndarray, data: np.ndarray, span: int, at_once:
     """Sums over letters of the positions' probabilities for each text, and its letters."""
     classes = len(net.p["c"])
     total = np.zeros((len(off) - 1, classes))
-    letters = np.add.reduceat(np.concatenate([LETTER[data], [False]]).astype(np.int64), np.minimum(off[:-1], len(data))) if len(off) > 1 else np.zeros(0, np.int64)
-    letters[np.diff(off) == 0] = 0
+    letter = letters_of(data)
+    so_far = np.concatenate([[0], np.cumsum(letter)])
+    letters = so_far[off[1:]] - so_far[off[:-1]]
     n = -(-np.diff(off) // span)
     row = np.repeat(np.arange(len(n)), n)
     begin = off[row] + span * (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n))
@@ -200,9 +231,10 @@ def pooled(net: ByteGRU, off: np.ndarray, data: np.ndarray, span: int, at_once:
         rows, b = row[i : i + at_once], begin[i : i + at_once]
         place = b[:, None] + np.arange(span)
         inside = place < off[rows + 1][:, None]
-        x = np.where(inside, data[np.minimum(place, len(data) - 1)], 32).astype(np.uint8)
+        place = np.minimum(place, len(data) - 1)
+        x = np.where(inside, data[place], 32).astype(np.uint8)
         prob, _ = net.outputs(np.ascontiguousarray(x.T))
-        prob *= (inside & LETTER[x]).T[:, :, None]
+        prob *= (inside & letter[place]).T[:, :, None]
         np.add.at(total, rows, prob.sum(0))
     return total, letters
 
