@@ -1,6 +1,6 @@
 """Licence scan with DataFrame functions only: notices by TF-IDF cosine, then inheritance.
 
-Each line or sentence of a text is a possible header.  Its terms and those of the templates are
+Each line or sentence of a text, one that is wrapped over lines too, is a possible header.  Its terms and those of the templates are
 weighed by TF-IDF, with document frequencies counted over all texts, and the line gets the
 template of the highest cosine if that reaches ``threshold``; a file gets that of its best line.
 A line without any of a template's heaviest terms, whose removal leaves too little for the
@@ -13,39 +13,62 @@ directory above it that declares one, by joining its ancestor paths with the dec
 
 Null or empty texts have no notice; null parts of a path are ``_``; files of equal paths get
 equal inheritance; ties between templates go to the lesser name; an empty table gives an empty
-result; columns named as the new ones are replaced.
+result; very long texts are read whole; columns named as the new ones are replaced, and columns
+of any other names stay as they are.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-
-# Notices of common licences.
-TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+from .common import checkpoint, renamed
+
+# Notices of common licences, their headers and the sentences that grant them.
+TEMPLATES = [
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")),
+]
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 THRESHOLD, SHARE = 0.75, 0.2
 #: Directories with a licence beyond which their table is joined by shuffle.
 BROADCAST_DIRS = 10_000
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 SENTENCE_END = r"([.!?])[ \t]+"
+#: A line that is whole by itself.
+TAG = r"(SPDX-License-Identifier:[^\n]*)\n"
+#: A sentence that goes on in the next line: after comment signs, with a small letter or a digit.
+WRAP = r"([^.!?\n])[ \t]*\n[ \t#*/;%-]*([a-z0-9(])"
 MADE = ("license", "cosine", "origin", "declared_in")
 
 
@@ -54,14 +77,9 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def template_terms() -> dict[str, dict[str, int]]:
-    out = {}
-    for name, text in TEMPLATES.items():
-        tf: dict[str, int] = {}
-        for x in re.findall(TERM, text.lower()):
-            tf[x] = tf.get(x, 0) + 1
-        out[name] = tf
-    return out
+def template_terms() -> dict[tuple[str, int], dict[str, int]]:
+    """Counts of the terms of each template, by name and number."""
+    return {(name, i): Counter(re.findall(TERM, text.lower())) for i, (name, text) in enumerate(TEMPLATES)}
 
 
 def frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
@@ -77,20 +95,20 @@ def idf(n: int, df: int) -> float:
     return math.log((1 + n) / (1 + df)) + 1
 
 
-def vectors(n: int, df: dict[str, int]) -> dict[str, dict[str, float]]:
+def vectors(n: int, df: dict[str, int]) -> list[tuple[str, dict[str, float]]]:
     """Templates as unit vectors."""
-    out = {}
-    for name, tf in template_terms().items():
+    out = []
+    for (name, _), tf in template_terms().items():
         v = {x: k * idf(n, df[x]) for x, k in tf.items()}
         norm = math.sqrt(sum(w * w for w in v.values()))
-        out[name] = {x: w / norm for x, w in v.items()}
+        out.append((name, {x: w / norm for x, w in v.items()}))
     return out
 
 
-def needed(v: dict[str, dict[str, float]], threshold: float) -> list[str]:
+def needed(v: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
     """Terms of which a line that reaches the threshold with any template must have one."""
     out = set()
-    for weights in v.values():
+    for _, weights in v:
         left = 1.0
         for x, w in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
             if math.sqrt(max(left, 0.0)) < threshold:
@@ -102,15 +120,19 @@ def needed(v: dict[str, dict[str, float]], threshold: float) -> list[str]:
 
 def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
     """``files`` with license, cosine, origin (notice, inherited or null) and declared_in."""
-    files = files.select(*[c for c in files.columns if c not in MADE])
+    given = files.select(*[c for c in files.columns if c not in MADE])
+    files, names = renamed(given)
+    files = files.withColumn("text", F.col(names["text"])).withColumn("path", F.col(names[path]))
+    path = "path"
     n, df = frequencies(files)
     v = vectors(n, df)
     hint = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed(v, threshold))) + ")"
     weight = F.create_map(*[F.lit(x) for k, c in sorted(df.items()) for x in (k, idf(n, c))])
     rare = F.lit(idf(n, 0))
-    lines = F.filter(F.split(F.regexp_replace("text", SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(hint))
+    joined = F.regexp_replace(F.regexp_replace("text", TAG, "$1.\n"), WRAP, "$1 $2")
+    lines = F.filter(F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(hint))
     held = F.transform(lines, terms)
-    told = F.array(*[F.struct(F.lit(k).alias("name"), F.create_map(*[F.lit(x) for p in sorted(w.items()) for x in p]).alias("w")) for k, w in sorted(v.items())])
+    told = F.array(*[F.struct(F.lit(k).alias("name"), F.create_map(*[F.lit(x) for p in sorted(w.items()) for x in p]).alias("w")) for k, w in v])
 
     def total(xs: Column, f) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
@@ -139,7 +161,7 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
         inherited = F.broadcast(inherited)
     out = marked.join(inherited.withColumnRenamed("_dir", "_of"), F.col("_own").isNull() & (F.col("_dir") == F.col("_of")), "left")
     return out.select(
-        *files.columns,
+        *(F.col(names[c]).alias(c) for c in given.columns),
         F.coalesce("_own", "_name").alias("license"),
         F.col("_cosine").alias("cosine"),
         F.when(F.col("_own").isNotNull(), "notice").when(F.col("_name").isNotNull(), "inherited").alias("origin"),
@@ -166,22 +188,22 @@ def document_paths(docs: DataFrame) -> DataFrame:
 
 
 ORACLE = (
-    "WITH template(name, text) AS (VALUES "
-    + ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    "WITH template(name, number, text) AS (VALUES "
+    + ", ".join(f"('{k}', {i}, '{v}')" for i, (k, v) in enumerate(TEMPLATES))
     + r"""),
-known AS (SELECT name, term, count(*) AS k FROM (SELECT name, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM template) GROUP BY ALL),
+known AS (SELECT name, number, term, count(*) AS k FROM (SELECT name, number, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM template) GROUP BY ALL),
 files AS (SELECT row_number() OVER () AS id, doc_id, text, coalesce(source, '_') || '/' || coalesce(lang, '_') AS dir, coalesce(doc_id::VARCHAR, '_') || '.txt' AS base FROM documents),
 bags AS (SELECT id, regexp_extract_all(lower(text), '{TERM}') AS bag FROM files),
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest(bag) AS term FROM bags) WHERE term IN (SELECT term FROM known) GROUP BY term),
 total AS (SELECT count(*) AS n FROM files),
 idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM known) LEFT JOIN df USING (term), total),
-told AS (SELECT name, term, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY name)) AS w FROM known JOIN idf USING (term)),
+told AS (SELECT name, number, term, k * idf / sqrt(sum(k * idf * k * idf) OVER (PARTITION BY number)) AS w FROM known JOIN idf USING (term)),
 lines AS (SELECT id, line, unnest(regexp_extract_all(lower(t), '{TERM}')) AS term FROM (
-  SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS line FROM (SELECT id, string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM files))),
+  SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS line FROM (SELECT id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '{TAG}', '\1.' || chr(10), 'g'), '{WRAP}', '\1 \2', 'g'), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS l FROM files))),
 tf AS (SELECT id, line, term, count(*) AS k FROM lines GROUP BY ALL),
 weighed AS (SELECT id, line, term, k, k * coalesce(idf, ln(1 + n) + 1) AS w FROM tf LEFT JOIN idf USING (term), total),
 norms AS (SELECT id, line, sqrt(sum(w * w)) AS norm, sum(k) AS terms FROM weighed GROUP BY ALL),
-cosines AS (SELECT id, line, name, round(sum(x.w * told.w) / any_value(norm), 9) AS c, any_value(terms) AS terms FROM weighed x JOIN told USING (term) JOIN norms USING (id, line) GROUP BY ALL),
+cosines AS (SELECT id, line, name, number, round(sum(x.w * told.w) / any_value(norm), 9) AS c, any_value(terms) AS terms FROM weighed x JOIN told USING (term) JOIN norms USING (id, line) GROUP BY ALL),
 best AS (SELECT id, line, name, c, terms FROM cosines QUALIFY row_number() OVER (PARTITION BY id, line ORDER BY c DESC, name) = 1),
 notice AS (SELECT id, sum(terms) AS told, arg_min(name, (-c, name)) AS own, max(c) AS cosine FROM best WHERE c >= {THRESHOLD} GROUP BY id),
 marked AS (SELECT f.id, doc_id, dir, base, own, cosine, own IS NOT NULL AND (regexp_matches(base, '(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$') OR told >= {SHARE}::DOUBLE * len(bag)) AS file
@@ -192,5 +214,5 @@ nearest AS (SELECT dir, arg_max(source_dir, length(source_dir)) AS source_dir, a
 SELECT doc_id, marked.dir || '/' || base AS path, coalesce(own, name) AS license, round(cosine, 6) AS cosine,
   CASE WHEN own IS NOT NULL THEN 'notice' WHEN name IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own IS NULL THEN source_dir END AS declared_in
 FROM marked LEFT JOIN nearest ON own IS NULL AND nearest.dir = marked.dir
-""".replace("{TERM}", TERM).replace("{THRESHOLD}", str(THRESHOLD)).replace("{SHARE}", str(SHARE))
+""".replace("{TERM}", TERM).replace("{WRAP}", WRAP).replace("{TAG}", TAG).replace("{THRESHOLD}", str(THRESHOLD)).replace("{SHARE}", str(SHARE))
 )
