@@ -12,7 +12,9 @@ letters), so punctuation doesn't hide a passage.  Items are handled in blocks of
 tokens, which bounds what is sent to the tasks, and each block updates the best item of each
 text.  Null or empty texts and items match nothing; items of fewer than ``TILE`` tokens only
 match texts that hold all their tokens in a row; ties between items go to the smaller id; rows
-that repeat get equal results; without items nothing is contaminated; columns named as the new
+that repeat get equal results; very long texts are tiled whole, and a seed that stands in many
+places of an item is held once; without items nothing is contaminated, and an empty table gives
+an empty result; columns named as the new
 ones are replaced.
 """
 
@@ -76,12 +78,15 @@ class Items:
         h = seeds(name, row, np.minimum(n, TILE)[row])
         place = np.arange(len(name)) - self.begin[row]
         keep = h != 0
-        order = np.argsort(h[keep], kind="stable")
-        self.seed, self.item, self.place = h[keep][order], row[keep][order], place[keep][order]
+        order = np.lexsort((place[keep], row[keep], h[keep]))
+        seed, item, self.place = h[keep][order], row[keep][order], place[keep][order]
+        new = np.flatnonzero(np.concatenate([[True], (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])])) if len(seed) else np.zeros(0, np.int64)
+        #: each seed of an item once, with where its places are
+        self.seed, self.item, self.at = seed[new], item[new], np.append(new, len(seed))
         self.short = np.unique(n[(n > 0) & (n < TILE)])
 
     def hits(self, name: np.ndarray, row: np.ndarray):
-        """(row, item, place in the item, token) of every shared seed."""
+        """(row, number of the item's seed, token) of every shared seed."""
         out = []
         for size in [TILE, *self.short]:
             h = seeds(name, row, np.full(len(name), size))
@@ -90,7 +95,7 @@ class Items:
             count = np.searchsorted(self.seed, h[found], "right") - low[found]
             at = np.repeat(low[found], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             token = np.repeat(found, count)
-            out.append((row[token], self.item[at], self.place[at], token))
+            out.append((row[token], at, token))
         return [np.concatenate(x) for x in zip(*out, strict=True)]
 
     def best(self, off: np.ndarray, data: np.ndarray, threshold: float) -> dict[int, tuple[float, int]]:
@@ -98,12 +103,13 @@ class Items:
         name, row = tokens(off, data)
         if not len(name):
             return {}
-        r, item, place, token = self.hits(name, row)
+        r, seed, token = self.hits(name, row)
+        item = self.item[seed]
         pair = r * len(self.ids) + item
-        n = self.n[item]
         # what distinct shared seeds can cover at most, then what they do cover
-        seen, at = np.unique(pair * (1 << 20) + place % (1 << 20), return_index=True) if self.n.max(initial=0) < 1 << 20 else (None, np.arange(len(pair)))
-        pairs, inverse, count = np.unique(pair[at], return_inverse=True, return_counts=True)
+        every = np.unique(np.stack([pair, seed]), axis=1)
+        pairs, inverse = np.unique(every[0], return_inverse=True)
+        count = np.bincount(inverse, (self.at[every[1] + 1] - self.at[every[1]]), len(pairs))
         could = count * TILE >= threshold * self.n[pairs % len(self.ids)]
         out: dict[int, tuple[float, int]] = {}
         chosen = np.flatnonzero(np.isin(pair, pairs[could]))
@@ -112,8 +118,10 @@ class Items:
             k = int(item[group[0]])
             size, width = int(self.n[k]), min(TILE, int(self.n[k]))
             held = np.zeros(size, bool)
-            for i in range(width):
-                held[place[group] + i] = True
+            for x in np.unique(seed[group]):
+                place = self.place[self.at[x] : self.at[x + 1]]
+                for i in range(width):
+                    held[place + i] = True
             if held.sum() < threshold * size:
                 continue
             mine = np.unique((token[group][:, None] + np.arange(width)).ravel())
