@@ -7,8 +7,9 @@ document is taken ``floor(rate)`` times, and once more if its hash, seen as a nu
 1, is below the fraction of its source's rate.
 
 A null source is a source of its own, null or empty texts have size 0 and are taken 0 times in
-words, rows with the same doc_id share their draw, and an empty table gives an empty result.
-Input columns named as the new ones are replaced.
+words, rows with the same doc_id share their draw, equal caps go in the order of their sources,
+very long texts are read whole, and an empty table gives an empty result.  Input columns named as
+the new ones are replaced in the plan; emit_mix() gives back all columns as they are.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, renamed
 
 #: Sources beyond which their table is joined by shuffle and not broadcast.
 BROADCAST_SOURCES = 10_000
@@ -62,9 +63,12 @@ def plan_mix(docs: DataFrame, weights=(5, 2, 1), total: float = 1.5, most: float
 
 
 def emit_mix(docs: DataFrame, **how) -> DataFrame:
-    """Every document as often as the mix takes it, in its own columns."""
-    mixed = plan_mix(docs, **how).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*[c for c in docs.columns if c in mixed.columns])
+    """Every document as often as the mix takes it, in its own columns, whatever their names."""
+    plain, names = renamed(docs)
+    used = ("doc_id", "text", "source")
+    mixed = plan_mix(plain.withColumnsRenamed({names[c]: c for c in used}), **how).filter("copies > 0")
+    copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return copies.select(*(c if c in used else names[c] for c in docs.columns)).toDF(*docs.columns)
 
 
 ORACLE_TARGETS = """

@@ -8,9 +8,11 @@ documents that neither has learned from, and a regression on the two calibrated
 them.  A document is kept if the combined probability of quality is at least one half.
 
 Learning fits on at most ``Settings.labelled`` labelled documents and ``Settings.unlabelled``
-others, those with the least hashes of their ids; this is the documented bound of the sample.
+others, those with the least hashes of their ids, one row of each id (that of the least text);
+this is the documented bound of the sample.
 Scores are of whole texts of all documents.  Null and empty texts get score 0 and are not kept;
-null metadata counts as a value of its own; rows that repeat get equal scores; without labels of
+null metadata counts as a value of its own; rows that repeat get equal scores; an empty table
+gives an empty result; without labels of
 both kinds all other documents get score 1; very long texts count whole; columns named as the
 new ones are replaced.
 """
@@ -199,10 +201,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings) -> CoTrained | None:
     rest = docs.join(told.select(F.col("doc_id").alias("l_id")), F.col("doc_id") == F.col("l_id"), "left_anti").select("doc_id", "o")
     rest = rest.orderBy("o", "doc_id").limit(s.unlabelled).select(F.col("doc_id").alias("l_id"), F.lit(-1).alias("quality"))
     more = docs.join(F.broadcast(rest), F.col("doc_id") == F.col("l_id"))
-    rows = mine.unionByName(more).mapInArrow(featured, "o long, quality int, content binary, metadata binary").limit(4 * (s.labelled + s.unlabelled)).toPandas()
+    one = F.min(F.struct("text", "source", "lang", "n_chars")).alias("d")
+    some = mine.unionByName(more).groupBy("l_id", "o", "quality").agg(one).select("o", "quality", "d.*")
+    rows = some.mapInArrow(featured, "o long, quality int, content binary, metadata binary").toPandas()
     if rows.empty:
         return None
-    rows = rows.sort_values(["o", "quality", "content"]).drop_duplicates(["o", "quality", "content", "metadata"])
+    rows = rows.sort_values(["o", "quality", "content"])
     views = [np.array([np.frombuffer(v, np.float32) for v in rows[c]], np.float64).reshape(len(rows), -1) for c in ("content", "metadata")]
     y = rows["quality"].to_numpy()
     labelled = y >= 0
