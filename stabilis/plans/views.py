@@ -87,18 +87,18 @@ aas(aa) AS (VALUES {AA_VALUES}),
 sites AS (SELECT family, pos, unnest(range(1, 61)) AS site, unnest(string_split(seq, '')) AS aa FROM prot),
 seen AS (SELECT family, site, aa, count(*) AS n FROM sites WHERE aa <> '-' GROUP BY ALL),
 grid AS (SELECT family, site, aa FROM (SELECT DISTINCT family FROM prot), (SELECT unnest(range(1, 61)) AS site), aas),
-counts AS (SELECT family, site, aa, coalesce(n, 0) AS n FROM grid LEFT JOIN seen USING (family, site, aa)),
-refsites AS (SELECT family, unnest(range(1, 61)) AS site, unnest(string_split(ref, '')) AS wt FROM ref)"""
+counts AS MATERIALIZED (SELECT family, site, aa, coalesce(n, 0) AS n FROM grid LEFT JOIN seen USING (family, site, aa)),
+refsites AS MATERIALIZED (SELECT family, unnest(range(1, 61)) AS site, unnest(string_split(ref, '')) AS wt FROM ref)"""
 )
 SQL_DDG = (
     SQL_SITES
     + """,
 methods(method, pc) AS (VALUES ('P1', 1), ('P5', 5), ('P20', 20)),
-ddg AS (
+ddg AS MATERIALIZED (
   SELECT method, m.family, m.site AS r, wt, m.aa AS mut,
     CASE WHEN m.n + pc >= 3 + pc AND w.n + pc >= 3 + pc THEN ln((w.n + pc)::DOUBLE / (m.n + pc)) END AS ddg
-  FROM methods, refsites JOIN counts w ON w.family = refsites.family AND w.site = refsites.site AND w.aa = wt
-  JOIN counts m ON m.family = w.family AND m.site = w.site AND m.aa <> wt)"""
+  FROM refsites JOIN counts w ON w.family = refsites.family AND w.site = refsites.site AND w.aa = wt
+  JOIN counts m ON m.family = refsites.family AND m.site = refsites.site AND m.aa <> wt CROSS JOIN methods)"""
 )
 SQL_NT = "nts AS (SELECT doc_id AS id, translate(md5(coalesce(text, '')) || md5(coalesce(text, '') || '1') || md5(coalesce(text, '') || '2'), '0123456789abcdef', 'ATGCATGCATGCATGC') AS nt FROM documents)"
 IUPAC_CODES = "ATGCATGCATGCRYN-"
