@@ -110,22 +110,58 @@ def equilibrium_slope(g: np.ndarray, dg: np.ndarray) -> np.ndarray:
     return np.einsum("...xy,...y->...x", group_inverse(-g), np.einsum("...xy,...y->...x", dg, equilibrium(g)))
 
 
-def exponential(g: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """exp(t G) for each t, shape (..., times, n, n): one diagonalization serves all times.
+def rates_slope(ddg: np.ndarray, c: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The slope in each stability, from the ``slope`` in each entry of the generator.
 
-    Where it doesn't give G back, as with defective matrices, a series takes its place.
+    An entry off the diagonal also counts, with its sign turned, in the diagonal of its column.
     """
+    f = fixation_array(ddg)
+    change = 2 * BETA * f * (1 - f) * c * (slope - np.diagonal(slope))
+    np.fill_diagonal(change, 0)
+    return change.sum(0) - change.sum(1)
+
+
+def diagonalized(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Eigenvalues and vectors of generators with the inverse, or None if they don't give ``g`` back."""
     w, v = np.linalg.eig(g)
     try:
         inverse = np.linalg.inv(v)
     except np.linalg.LinAlgError:
-        return by_series(g, t)
+        return None
     if not np.allclose((v * w[..., None, :]) @ inverse, g, rtol=1e-9, atol=1e-11 * max(1.0, np.abs(g).max())):
+        return None
+    return w, v, inverse
+
+
+def exponential(g: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """exp(t G) for each t, shape (..., times, n, n): one diagonalization serves all times.
+
+    Where there is none, as with defective matrices, a series takes its place.
+    """
+    parts = diagonalized(g)
+    if parts is None:
         return by_series(g, t)
+    w, v, inverse = parts
     scaled = v[..., None, :, :] * np.exp(w[..., None, :] * t[:, None])[..., None, :]
     return (scaled @ inverse[..., None, :, :]).real
 
 
+def exponential_slope(parts, t: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The slope in each entry of G, from the ``slope`` (times, n, n) in those of each exp(t G).
+
+    In the eigenvectors' frame a change of G acts on the exponential entry by entry, by divided
+    differences of exp; equal eigenvalues have the limit.
+    """
+    w, v, inverse = parts
+    e = np.exp(w * t[:, None])
+    gap = w[:, None] - w
+    near = np.abs(gap) < 1e-9
+    middle = t[:, None, None] * (e[:, :, None] + e[:, None, :]) / 2
+    divided = np.where(near, middle, (e[:, :, None] - e[:, None, :]) / np.where(near, 1, gap))
+    frame = inverse @ np.swapaxes(slope, -1, -2) @ v
+    return (inverse.T @ (divided * np.swapaxes(frame, -1, -2)).sum(0) @ v.T).real
+
+
 def by_series(g: np.ndarray, t: np.ndarray) -> np.ndarray:
     """exp(t G) by scaling, a series and squaring."""
     a = g[..., None, :, :] * t[:, None, None]

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -235,3 +236,37 @@ def test_inference_queries_cover_all_sites(spark, sf, monkeypatch):
     for name, run in (("maximize", queries_trees.maximize_posterior), ("chains", queries_trees.mcmc_trace)):
         monkeypatch.setattr(I, name, lambda width, *_: width)
         assert run(spark, sf) == 64
+
+
+def test_slopes_against_differences():
+    rng = np.random.default_rng(3)
+    c = rng.random((20, 20))
+    c /= c.sum(0)
+    row = SimpleNamespace(letters="AC-DA")
+    row.left, row.right, row.lengths = [0, 2, -1, -3], [1, 3, -2, 4], [0.1, 0.25, 0.4, 0.1, 0.2, 0.3, 0.15, 0.5]
+    f = I.Posterior(row, c, 10.0, 1.0, 0.0)
+    for _ in range(3):
+        x = rng.normal(0, 3, 19)
+        assert np.allclose(f.gradient(x), f.differences(x), rtol=1e-4, atol=1e-5)
+        value, _ = I.log_likelihood_slope(f.full(x[None])[0], row.letters, row.left, row.right, row.lengths, c, 10.0)
+        assert abs(value - I.log_likelihood(f.full(x[None]), row.letters, row.left, row.right, row.lengths, c, 10.0)[0]) < 1e-9
+
+
+def test_equilibrium_slope_of_rates():
+    rng = np.random.default_rng(4)
+    c = rng.random((20, 20)) / 20
+    x, weight = rng.normal(0, 2, 20), rng.random(20)
+    g = M.rates(x, c)
+    slope = M.rates_slope(x, c, np.outer(M.group_inverse(-g).T @ weight, M.equilibrium(g)))
+    for k in range(20):
+        e = np.eye(20)[k] * 1e-5
+        up, down = (weight @ M.equilibrium(M.rates(y, c)) for y in (x + e, x - e))
+        assert abs((up - down) / 2e-5 - slope[k]) < 1e-7
+
+
+def test_trees_of_all_rows(spark):
+    rows = [("f", i, f"s{i}", "A" * (i // 2) + "C" * (40 - i // 2)) for i in range(80)] + [("g", 1, "one", "AC")]
+    aln = spark.createDataFrame(rows, "family string, pos long, header string, seq string")
+    for kind in ("UPGMA", "NJ"):
+        got = {r.family: r.newick for r in C.distance_trees(aln, kind).collect()}
+        assert all(f"s{i}:" in got["f"] for i in range(80)) and got["g"] == "one;"
