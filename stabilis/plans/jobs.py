@@ -66,11 +66,12 @@ def rank_job(spark: SparkSession, selected: str, files: dict[str, str]) -> tuple
     return each, mean
 
 
-def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, identity: float, gaps: float, out: str, kind: str = "UPGMA", most: int = 500) -> tuple[DataFrame, str]:
+def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, identity: float, gaps: float, out: str, kind: str = "UPGMA") -> tuple[DataFrame, str]:
     """Homologs of a reference, screened, renamed and joined to a tree.
 
     ``homologs`` are aligned to the reference already, which is the first record of ``alignment``.
-    Distances are shares of differing columns and the tree is built of ``most`` sequences at most.
+    Distances are shares of differing columns; the tree is built of all sequences, in one task.
+    The names given to the sequences are written beside the alignment, as ``SEQn header`` lines.
     """
     ref = one_family(text.read_fasta(spark, alignment))
     first = A.reference(ref).select("family", F.col("ref_pos").alias("pos"), F.lit("PROTSEQ").alias("header"), F.col("ref").alias("seq"))
@@ -81,10 +82,12 @@ def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, iden
     s = A.pair_statistics(F.col("seq"), F.col("ref"))
     good = fresh.join(first.select("family", F.col("seq").alias("ref")), "family").withColumn("s", s).filter((F.col("s.identity") >= identity) & (F.col("s.gaps") <= gaps))
     place = F.row_number().over(Window.partitionBy("family").orderBy("pos"))
-    named = good.withColumn("pos", place.cast("long")).withColumn("header", F.concat(F.lit("SEQ"), F.col("pos").cast("string"))).select("family", "pos", "header", "seq")
+    named = good.withColumn("pos", place.cast("long")).withColumn("name", F.concat(F.lit("SEQ"), F.col("pos").cast("string")))
+    named.orderBy("pos").select(F.concat_ws(" ", "name", "header")).coalesce(1).write.mode("overwrite").text(out + ".names")
+    named = named.select("family", "pos", F.col("name").alias("header"), "seq")
     aln = first.withColumn("pos", F.lit(0).cast("long")).unionByName(named)
     text.write_fasta(aln, out, "overwrite")
-    newick = C.distance_trees(A.sampled(aln, most), kind).first()["newick"]
+    newick = C.distance_trees(aln, kind).first()["newick"]
     return aln, newick
 
 

@@ -114,11 +114,16 @@ def condense_seqs(spark, d):
     return C.condense(V.proteins(spark, d), 3, (1,))
 
 
+def of_documents(spark, d):
+    """Every block of every document; a document is a family."""
+    return V.proteins(spark, d).withColumn("family", F.floor(F.col("pos") / 1000000).cast("string"))
+
+
 @query()
 def upgma(spark, d):
-    return C.distance_trees(A.sampled(V.proteins(spark, d), 40))
+    return C.distance_trees(of_documents(spark, d))
 
 
 @query()
 def neighbour_joining(spark, d):
-    return C.distance_trees(A.sampled(V.proteins(spark, d), 40), "NJ")
+    return C.distance_trees(of_documents(spark, d), "NJ")
