@@ -24,11 +24,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, Rolling, checkpoint, forget, mix, n_partitions, numbered, slices, utf8, words
+from .common import LOWER, U64, Rolling, checkpoint, forget, hot_keys, mix, n_partitions, numbered, renamed, slices, spread_join, utf8, words
 from .components import components
 
 SHINGLE, BITS = 5, 52
@@ -226,9 +226,28 @@ def token_rows(level: np.ndarray, t: int, wanted: np.ndarray):
 
 
 def short_names(token: np.ndarray, level: np.ndarray, t: int) -> np.ndarray:
-    """Size of the set, then its prefix names under the second order, 32 bits of each."""
+    """Size of the set, the length of its parity sketch, the sketch, and its prefix names under
+    the second order, 32 bits of each."""
     names = prefix(token, np.array([0, len(token)]), level, ORDERS[1], t)[0] & U64(0xFFFFFFFF)
-    return np.concatenate([np.array([len(token)], np.uint32), names.astype(np.uint32)])
+    odd = parity(token)
+    return np.concatenate([np.array([len(token), len(odd)], np.uint32), odd, names.astype(np.uint32)])
+
+
+def parity(token: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens fall in each of some cells, a power of two that is about
+    four a token, as bits; two sets differ in as many tokens as cells at least."""
+    m = max(32, 1 << int(4 * len(token) - 1).bit_length())
+    odd = np.bincount((mix(token + U64(404)) & U64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint32)
+
+
+def differ(x: np.ndarray, y: np.ndarray) -> int:
+    """Cells in which two parity sketches differ; the longer one is folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def bitmap(classes: DataFrame, column: str) -> np.ndarray:
@@ -258,7 +277,8 @@ def in_map(wanted: np.ndarray):
 
 
 def heads_meet(t: int):
-    """Pairs whose prefixes under the second order share as many names as similar sets must.
+    """Pairs whose prefixes under the second order share as many names as similar sets must and
+    whose parity sketches don't show too many differences.
 
     What is shared beyond the prefixes is at most what one of the sets has beyond its own.
     """
@@ -268,8 +288,10 @@ def heads_meet(t: int):
             good = np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
                 x, y = (np.frombuffer(b.column(k)[i].as_buffer(), np.uint32) for k in ("x", "y"))
-                nx, ny = int(x[0]), int(y[0])
-                both = int(np.isin(x[1:], y[1:]).sum())
+                nx, ny, ox, oy = int(x[0]), int(y[0]), 2 + int(x[1]), 2 + int(y[1])
+                if (100 + t) * differ(x[2:ox], y[2:oy]) > (100 - t) * (nx + ny):
+                    continue
+                both = int(np.isin(x[ox:], y[oy:]).sum())
                 good[i] = both > 0 and (100 + t) * (both + max(beyond(nx, t), beyond(ny, t))) >= t * (nx + ny)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
 
@@ -319,10 +341,16 @@ def rank_fits(t: int):
     return F.lit(100 + t) * F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) >= F.lit(t) * (F.col("x.n") + F.col("y.n"))
 
 
+def smaller_fits(t: int):
+    """Rows that can be the smaller set's in ``rank_fits``, whatever the size of the larger one."""
+    return (F.lit(100 + t) * (F.col("n") - F.col("rank"))) >= F.lit(2 * t) * F.col("n")
+
+
 def with_both(pairs: DataFrame, data: DataFrame, column: str) -> DataFrame:
     """(a, b) with the ``column`` of both classes as x and y."""
     x, y = (data.select(F.col("cls").alias(k), F.col(column).alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b")
+    hot = {k: hot_keys(pairs, k) for k in "ab"}
+    return spread_join(spread_join(pairs, x, "a", hot=hot["a"]), y, "b", hot=hot["b"])
 
 
 def near_duplicates(docs: DataFrame, t: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -332,34 +360,46 @@ def near_duplicates(docs: DataFrame, t: int = 75) -> tuple[DataFrame, DataFrame]
     links connect each group, and hold every one that was verified.
     """
     members, links, label = linked(docs, t)
-    out = members.join(label, members["cls"] == label["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))
+    out = spread_join(members, label.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("component"))
     return out, links
 
 
-def with_class(batches):
+def counts_fit(t: int):
+    """Sets that can share as many prefix tokens as similar ones must, by the reckoning of
+    ``heads_meet``, if the token is the first shared one: ``left`` counts those from there on."""
+    rest = F.greatest(F.ceil(F.col("x.n") * t / 100), F.ceil(F.col("y.n") * t / 100)) - 1
+    return (F.least("x.left", "y.left") + rest) * (100 + t) >= (F.col("x.n") + F.col("y.n")) * t
+
+
+def with_class(column: str):
     """All columns with the class of each text and whether it has tokens."""
-    for b in batches:
-        off, data = utf8(b.column("text"))
-        cls, some = [], []
-        for i, j in slices(off):
-            n, h = fingerprints(*shingle_sets(off[i : j + 1] - off[i], data[off[i] : off[j]]))
-            cls.append(h)
-            some.append(n > 0)
-        cls, some = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((cls, np.int64), (some, bool)))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls), pa.array(some)], names=[*b.schema.names, "_cls", "_some"])
+
+    def run(batches):
+        for b in batches:
+            off, data = utf8(b.column(column))
+            cls, some = [], []
+            for i, j in slices(off):
+                n, h = fingerprints(*shingle_sets(off[i : j + 1] - off[i], data[off[i] : off[j]]))
+                cls.append(h)
+                some.append(n > 0)
+            cls, some = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((cls, np.int64), (some, bool)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cls), pa.array(some)], names=[*b.schema.names, "cls", "some"])
+
+    return run
 
 
 def keep_one(docs: DataFrame, t: int = 75) -> DataFrame:
     """``docs`` with one row of each group, that of the least doc_id (null last); rows without
-    tokens all stay.  Rows are numbered, so ``docs`` should be a table as it is read."""
+    tokens all stay.  Rows are numbered, so ``docs`` should be a table as it is read.  Columns
+    of any names stay as they are."""
     _, _, label = linked(docs, t)
-    schema = T.StructType([*docs.schema, T.StructField("_cls", T.LongType()), T.StructField("_some", T.BooleanType())])
-    rows = numbered(docs.mapInArrow(with_class, schema), "_uid")
-    group = F.when(F.col("_some"), F.coalesce("label", "_cls"))
-    group = F.struct(group.alias("g"), F.when(~F.col("_some"), F.col("_uid")).alias("own"))
-    keyed = rows.select("_uid", "_cls", "_some", F.col("doc_id").alias("_id")).join(label, F.col("_cls") == F.col("node"), "left")
-    first = keyed.groupBy(group.alias("k")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_uid")).alias("m"))
-    return rows.join(first.select(F.col("m._uid").alias("_uid")), "_uid", "left_semi").select(*docs.columns)
+    plain, names = renamed(docs)
+    schema = T.StructType([*plain.schema, T.StructField("cls", T.LongType()), T.StructField("some", T.BooleanType())])
+    rows = numbered(plain.mapInArrow(with_class(names["text"]), schema), "uid")
+    group = F.struct(F.when(F.col("some"), F.coalesce("label", "cls")).alias("g"), F.when(~F.col("some"), F.col("uid")).alias("own"))
+    keyed = spread_join(rows.select("uid", "cls", "some", F.col(names["doc_id"]).alias("id")), label.withColumnRenamed("node", "cls"), "cls", "left")
+    first = keyed.groupBy(group.alias("k")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("m"))
+    return rows.join(first.select(F.col("m.uid").alias("uid")), "uid", "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -390,15 +430,11 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         if step < ROUNDS:
             order = F.struct("share", F.xxhash64("cls", F.lit(step))) if step else F.struct("share", -F.col("n"), "cls")
             best = g.groupBy("token").agg(F.max_by(F.struct("cls", "n", "rank", "label"), order).alias("c")).select("token", "c.*")
-            pairs = best.alias("x").join(g.alias("y"), "token")
+            pairs = best.alias("x").join(g.alias("y"), "token").filter(sizes_fit(t))
         else:
-            pairs = g.alias("x").join(g.alias("y"), "token").filter("x.cls < y.cls")
-        pairs = pairs.filter("x.label <> y.label").filter(sizes_fit(t)).groupBy(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-        pairs = pairs.agg(F.count("*").alias("c"), F.max("x.n").alias("p"), F.max("y.n").alias("q"), F.max(rank_fits(t)).alias("fit")).filter("fit")
-        if step == ROUNDS:  # all tokens that both prefixes hold were counted, as in heads_meet()
-            rest = F.greatest(F.ceil(F.col("p") * t / 100), F.ceil(F.col("q") * t / 100)) - 1
-            pairs = pairs.filter((F.col("c") + rest) * (100 + t) >= (F.col("p") + F.col("q")) * t)
-        pairs = pairs.select("a", "b")
+            g = checkpoint(g.withColumn("left", F.count("*").over(Window.partitionBy("cls").orderBy(F.desc("rank")))))
+            pairs = g.alias("x").join(g.filter(smaller_fits(t)).alias("y"), "token").filter("x.n > y.n or x.n = y.n and x.cls < y.cls").filter(counts_fit(t))
+        pairs = pairs.filter("x.label <> y.label").filter(rank_fits(t)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpoint(pairs)
@@ -423,8 +459,10 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def least_ids(members: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id): the least doc_id of the group, or the row's own."""
-    least = members.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return members.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = members.filter("n_shingles > 0")
+    least = some.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return spread_join(members, least, "component", "left").select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 ORACLE = r"""
