@@ -422,7 +422,7 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         if label is not None:
             g = g.drop("label").join(label, g["cls"] == label["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
         mixed = g.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-        before, kept = kept, checkpoint(g.join(mixed, "token"))
+        before, kept = kept or groups, checkpoint(g.join(mixed, "token"))
         forget(before)
         g = kept
         if g.isEmpty():
@@ -432,7 +432,10 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
             best = g.groupBy("token").agg(F.max_by(F.struct("cls", "n", "rank", "label"), order).alias("c")).select("token", "c.*")
             pairs = best.alias("x").join(g.alias("y"), "token").filter(sizes_fit(t))
         else:
-            g = checkpoint(g.withColumn("left", F.count("*").over(Window.partitionBy("cls").orderBy(F.desc("rank")))))
+            left = F.count("*").over(Window.partitionBy("cls").orderBy(F.desc("rank")))
+            g = checkpoint(g.select("token", "cls", "n", "rank", "label", left.alias("left")))
+            forget(kept)
+            kept = g
             pairs = g.alias("x").join(g.filter(smaller_fits(t)).alias("y"), "token").filter("x.n > y.n or x.n = y.n and x.cls < y.cls").filter(counts_fit(t))
         pairs = pairs.filter("x.label <> y.label").filter(rank_fits(t)).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         if tested is not None:
@@ -451,6 +454,7 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         forget(sets)
         links = found if links is None else links.union(found)
         label = checkpoint(components(links))
+    forget(kept)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
         label = spark.createDataFrame([], "node long, label long")
