@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,5 +115,9 @@ def two_sided(t: float | None, df: float | None) -> float | None:
 
 
 def welch_p(t: Column, df: Column) -> Column:
-    """Two-sided P-value of Welch's t; for the few rows that an aggregation leaves."""
-    return F.udf(two_sided, "double")(t, df)
+    """Two-sided P-value of Welch's t; null where t or the degrees of freedom are undefined."""
+
+    def values(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(n) else two_sided(x, n) for x, n in zip(t, df, strict=True)], dtype="float64")
+
+    return F.pandas_udf(values, "double")(t, df)

@@ -92,7 +92,18 @@ def prior_centers_kd(spark, d):
     return p.select("family", F.col("site").alias("r"), "wt", "mut", F.round("center", 9).alias("center"), F.round("beta.alpha", 9).alias("alpha"), F.round("beta.beta", 9).alias("beta"))
 
 
-@query()
+# Powers of the matrix of one step, squared until all its columns are the distribution.
+@query(
+    f"""WITH RECURSIVE {V.SQL_DDG}, {SQL_CODONS},
+c AS (SELECT x, y, sum(CASE WHEN ts THEN 4 / 15.0::DOUBLE ELSE 1 / 30.0::DOUBLE END / n) AS c FROM told GROUP BY ALL),
+v AS MATERIALIZED (SELECT family, r, mut AS aa, coalesce(ddg, 5.0) AS v FROM ddg WHERE method = 'P20' UNION ALL SELECT DISTINCT family, r, wt, 0.0 FROM ddg WHERE method = 'P20'),
+g AS MATERIALIZED (SELECT a.family, a.r, a.aa AS x, b.aa AS y, c * (0.5 - 0.5 * (2 / (1 + exp(-2 * (0.265::DOUBLE * (a.v - b.v) - {SHIFT!r}::DOUBLE))) - 1)) AS p
+  FROM v a JOIN v b ON a.family = b.family AND a.r = b.r AND a.aa <> b.aa JOIN c ON c.x = a.aa AND c.y = b.aa),
+power(k, family, r, x, y, p) AS (
+  SELECT 0, * FROM (SELECT * FROM g UNION ALL SELECT family, r, y, y, 1 - sum(p) FROM g GROUP BY ALL)
+  UNION ALL SELECT a.k + 1, a.family, a.r, a.x, b.y, sum(a.p * b.p) FROM power a JOIN power b ON a.family = b.family AND a.r = b.r AND a.y = b.x WHERE a.k < 18 GROUP BY ALL)
+SELECT family, r::INT AS r, x AS aa, round(p / sum(p) OVER (PARTITION BY family, r), 9) AS p FROM power WHERE k = 18 AND y = 'A'"""
+)
 def stationary_distribution(spark, d):
     """Equilibrium shares of the residues at each site, from the stability table."""
     c = M.mutation_array(M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(4.0)))

@@ -214,6 +214,12 @@ def length_filter(spark, d):
     return n.join(ref, "family").filter(F.col("n") >= F.floor(F.col("ref") * F.lit(0.9))).select("family", "doc_id", "n")
 
 
-@query()
+@query(
+    f"""WITH {V.SQL_PROTEINS}, u AS (SELECT family, replace(seq, '-', '') AS letters, min(struct_pack(pos := pos, header := header, seq := seq)) AS x FROM prot GROUP BY ALL),
+i AS (SELECT family, letters, unnest(range(1, length(letters) + 1)) AS i FROM u),
+p AS (SELECT family, letters AS whole, i, unnest(range(0, length(letters) - i + 2)) AS n FROM i),
+gone AS (SELECT DISTINCT u.family, u.letters FROM p JOIN u ON u.family = p.family AND u.letters = substr(whole, i::INT, n::INT) AND u.letters <> whole)
+SELECT family, x.pos AS pos, x.header AS header, x.seq AS seq FROM u ANTI JOIN gone USING (family, letters)"""
+)
 def contained_sequences(spark, d):
     return A.contained(V.proteins(spark, d))
