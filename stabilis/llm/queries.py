@@ -77,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
 }
-ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op10_licenses": licenses.ORACLE}
+ORACLE: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op10_licenses": licenses.ORACLE}

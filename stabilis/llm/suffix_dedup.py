@@ -293,3 +293,16 @@ def digest(batches):
         cols = [b.column(c) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
         sha = [hashlib.sha256(x.as_py()).hexdigest() for x in b.column("kept")]
         yield pa.RecordBatch.from_arrays([*cols, pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+#: SQL for DuckDB: every string of 200 bytes, in hexadecimal, named by its digest and grouped.
+ORACLE = """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, c, substr(h, 256 * c + 1, 654) AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 256 + 1)) AS c FROM d)),
+s AS MATERIALIZED (SELECT doc_id, 128 * c + j AS i, md5_number(substr(h, 2 * j + 1, 400)) AS k FROM (SELECT doc_id, c, h, unnest(range(0, least(128, length(h) // 2 - 199))) AS j FROM c)),
+r AS (SELECT doc_id, i FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(*) > 1)),
+e AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, TRUE)::INT AS fresh FROM r),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, b FROM runs UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+parts AS (SELECT doc_id, a, b, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS z FROM ends),
+kept AS (SELECT doc_id, any_value(length(h) // 2) AS n, sum(b - a) AS removed, count(b) AS spans, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a, b NULLS LAST) AS k FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, spans::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept"""
