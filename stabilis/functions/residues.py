@@ -98,10 +98,18 @@ def motif_pattern(motif: str) -> str:
 
 def find_motifs(seq: Column, motif: str) -> Column:
     """0-based starts of the leftmost matches of a motif that don't overlap."""
-    gaps = F.transform(F.split(seq, motif_pattern(motif), -1), F.length)
+    parts = F.split(seq, motif_pattern(motif), -1)
     size = len(motif)
-    starts = F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda k: F.aggregate(F.slice(gaps, F.lit(1), k), F.lit(0), lambda a, x: a + x) + (k - 1) * size)
-    return F.slice(starts, F.lit(1), F.size(gaps) - 1)
+    found = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, x: F.struct((a["at"] + F.length(x) + size).alias("at"), F.concat(a["starts"], F.array(a["at"] + F.length(x))).alias("starts"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), found, step)["starts"]
+
+
+def random_sequence(length: Column, seed: int = 0) -> Column:
+    """Residues drawn alike, as many as ``length``; each row has its own draws."""
+    letters = F.lit("".join(AMINO_ACIDS))
+    draw = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(letters, (F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id(), i), F.lit(20)) + 1).cast("int"), F.lit(1)))
+    return F.when(length > 0, F.array_join(draw, "")).when(length == 0, "")
 
 
 def add_dots(seq: Column, ref: Column) -> Column:

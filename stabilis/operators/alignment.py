@@ -95,6 +95,11 @@ def screen(aln: DataFrame, least_identity: float, most_gaps: float) -> DataFrame
     return with_reference(aln).withColumn("s", s).filter((F.col("s.identity") >= least_identity) & (F.col("s.gaps") <= most_gaps)).drop("s", "ref", "ref_pos")
 
 
+def without(aln: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows whose (family, header) is not among ``names``: an outgroup, say."""
+    return aln.join(names, ["family", "header"], "left_anti")
+
+
 def merge_sources(first: DataFrame, second: DataFrame) -> DataFrame:
     """Distinct sequences of two sources: the first wins, in it the last header, else the first."""
     one = first.groupBy("family", "seq").agg(F.max(F.struct("pos", "header")).alias("x"), F.lit(0).alias("source"))

@@ -74,6 +74,33 @@ def lookup(ddg: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame
     return out.drop("have")
 
 
+def of_residues(ddg: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All values of requested (family, place, r) residues; one that isn't there gives no row."""
+    return wanted.join(ddg.select(*KEY, "ddg"), ["family", "r"]).select("family", "place", "r", "wt", "mut", "ddg")
+
+
+def listed(ddg: DataFrame) -> DataFrame:
+    """All values of each family, their place that of residue and mutation."""
+    w = Window.partitionBy("family").orderBy("r", "mut")
+    return ddg.select("family", (F.row_number().over(w)).alias("place"), "ddg")
+
+
+def sorted_lines(ddg: DataFrame) -> DataFrame:
+    """(method, family, rank, value): the lines of sorted lists, for a text sink."""
+    value = F.when(F.col("ddg").isNull(), F.lit("None")).otherwise(F.format_string("%.4f", "ddg"))
+    return ranked(ddg).select("method", "family", "rank", F.concat("mutation", F.lit("\t"), value).alias("value"))
+
+
+def structure_residues(refs: DataFrame, offset: int, chain: str) -> DataFrame:
+    """(family, r, wt, chain, structure_r): residues numbered on a structure by an offset.
+
+    Residues of the reference are numbered from 1, gaps left out.
+    """
+    w = Window.partitionBy("family").orderBy("site")
+    own = refs.filter("wt <> '-'").withColumn("r", F.row_number().over(w))
+    return own.select("family", "r", "wt", F.lit(chain).alias("chain"), (F.col("r") + offset).cast("string").alias("structure_r"))
+
+
 def filled(ddg: DataFrame, refs: DataFrame, value: float | str | None = None) -> DataFrame:
     """All 19 mutations of each reference residue; undefined ones get a constant or the mean."""
     aas = F.explode(F.array(*map(F.lit, R.AMINO_ACIDS))).alias("mut")

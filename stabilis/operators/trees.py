@@ -98,6 +98,42 @@ def root_to_outgroup(newick: Column) -> Column:
     return F.when(last_is_tip, F.concat(F.lit("("), F.substring(body, F.lit(1), cut - 1), F.lit("):0.0,"), F.substring_index(body, ",", -1), F.lit(");")))
 
 
+def remove_outgroup(newick: Column) -> Column:
+    """The tree without its last child, a tip: what is left at the top stays or becomes the root.
+
+    Null if the last child is no tip, or if fewer than two tips are left.
+    """
+    body = F.regexp_replace(F.trim(newick), r"\)\s*;?\s*$", "")
+    last = F.substring_index(body, ",", -1)
+    rest = F.substring(body, F.lit(2), F.length(body) - F.length(last) - 2)
+    count = lambda c: F.length(rest) - F.length(F.replace(rest, F.lit(c), F.lit("")))
+    # nodes have two children, so one clade has as many commas as parentheses, and two have one more
+    tree = F.when(count("(") == count(","), F.regexp_replace(rest, r"\)[^)]*$", ")")).otherwise(F.concat(F.lit("("), rest, F.lit(")")))
+    return F.when(~last.contains(")") & (count(",") > 0), F.concat(tree, F.lit(";")))
+
+
+def dumped(tree: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(tree_id, path, value): the FASTA record of every node; left before right by ``path``.
+
+    ``seqs``: (tree_id, node_id, seq); a node without a name or sequence says None.
+    """
+    place = F.coalesce(F.nullif(F.upper("path"), F.lit("")), F.lit("ROOT"))
+    head = F.concat_ws(" ", place, F.when(F.col("is_tip"), "TIP").otherwise("INTERIOR"), F.coalesce("name", F.lit("None")))
+    value = F.concat(F.lit(">"), head, F.lit("\n"), F.coalesce("seq", F.lit("None")))
+    return tree.join(seqs, ["tree_id", "node_id"], "left").select("tree_id", "path", value.alias("value"))
+
+
+def site_totals(changes: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(tree_id, site, n): changes at each site, 0 where there are none.
+
+    ``changes`` as of ``site_changes``, ``seqs`` as given to it.
+    """
+    width = seqs.groupBy("tree_id").agg(F.max(F.length("seq")).alias("w")).filter("w > 0")
+    every = width.select("tree_id", F.explode(F.sequence(F.lit(1), "w")).alias("site"))
+    n = changes.groupBy("tree_id", "site").agg(F.sum("n").alias("n"))
+    return every.join(n, ["tree_id", "site"], "left").select("tree_id", "site", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def site_changes(tree: DataFrame, seqs: DataFrame) -> DataFrame:
     """(tree_id, site, from_aa, to_aa, n): differences along the branches of trees.
 

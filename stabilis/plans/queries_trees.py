@@ -55,6 +55,14 @@ def root_to_outgroup(spark, d):
     return V.newicks(spark, d).select("tree_id", T.root_to_outgroup(F.col("newick")).alias("rooted"))
 
 
+@query(
+    f"""WITH {V.SQL_NEWICK} SELECT tree_id, CASE WHEN max(n) > 2 THEN repeat('(', (max(n) - 2)::INT) || any_value(tip) FILTER (WHERE i = 1) || string_agg(',' || tip || ')', ':0.05' ORDER BY i) FILTER (WHERE i > 1 AND i < n) || ';' END AS rooted
+FROM tips WHERE n > 1 GROUP BY tree_id"""
+)
+def root_by_removing_outgroup(spark, d):
+    return V.newicks(spark, d).select("tree_id", T.remove_outgroup(F.col("newick")).alias("rooted"))
+
+
 def digests(spark, d, width=64):
     """(name, seq): residues from the digest of each document, named as the suppliers are."""
     docs = V.table(spark, d, "documents").filter("doc_id is not null")
@@ -70,19 +78,40 @@ def tip_names(nodes, seqs):
     return wanted.join(seqs, "name").select(F.col("tip").alias("name"), "seq")
 
 
-@query(
-    f"""WITH {SQL_NODES}, m AS (SELECT max(doc_id) + 1 AS m FROM documents),
+SQL_CHANGES = f"""WITH {SQL_NODES}, m AS (SELECT max(doc_id) + 1 AS m FROM documents),
 s AS (SELECT tree_id, node_id, parent_id, is_tip, translate(sha256(coalesce(text, '')), '0123456789abcdef', 'ACDEFGHIKLMNPQR-') AS seq
   FROM every, m LEFT JOIN documents ON doc_id = CASE WHEN is_tip THEN substr(name, 2)::BIGINT % m ELSE node_id END),
-p AS (SELECT c.tree_id, unnest(list_zip(range(1, 65), string_split(a.seq, ''), string_split(c.seq, ''))) AS x FROM s c JOIN s a ON a.tree_id = c.tree_id AND a.node_id = c.parent_id)
-SELECT tree_id::BIGINT AS tree_id, x[1]::INT AS site, x[2] AS from_aa, x[3] AS to_aa, count(*) AS n FROM p WHERE x[2] <> x[3] GROUP BY ALL"""
-)
-def site_change_tally(spark, d):
-    nodes = T.nodes(V.newicks(spark, d))
+p AS (SELECT c.tree_id, unnest(list_zip(range(1, 65), string_split(a.seq, ''), string_split(c.seq, ''))) AS x FROM s c JOIN s a ON a.tree_id = c.tree_id AND a.node_id = c.parent_id)"""
+
+
+def node_sequences(spark, d, nodes):
+    """(tree_id, node_id, seq): a document's digest for each node."""
     seqs = digests(spark, d)
     tips = nodes.filter("is_tip").join(tip_names(nodes, seqs), "name").select("tree_id", "node_id", "seq")
     inner = nodes.filter("not is_tip").drop("name").withColumn("name", F.concat(F.lit("S"), F.col("node_id").cast("string"))).join(seqs, "name").select("tree_id", "node_id", "seq")
-    return T.site_changes(nodes, tips.unionByName(inner))
+    return tips.unionByName(inner)
+
+
+@query(f"{SQL_CHANGES} SELECT tree_id::BIGINT AS tree_id, x[1]::INT AS site, x[2] AS from_aa, x[3] AS to_aa, count(*) AS n FROM p WHERE x[2] <> x[3] GROUP BY ALL")
+def site_change_tally(spark, d):
+    nodes = T.nodes(V.newicks(spark, d))
+    return T.site_changes(nodes, node_sequences(spark, d, nodes))
+
+
+@query(f"{SQL_CHANGES} SELECT tree_id::BIGINT AS tree_id, x[1]::INT AS site, count(*) FILTER (WHERE x[2] <> x[3]) AS n FROM p GROUP BY ALL")
+def site_change_totals(spark, d):
+    nodes = T.nodes(V.newicks(spark, d))
+    seqs = node_sequences(spark, d, nodes)
+    return T.site_totals(T.site_changes(nodes, seqs), seqs)
+
+
+@query(
+    f"""{SQL_CHANGES} SELECT e.tree_id::BIGINT AS tree_id, e.path, '>' || CASE WHEN e.path = '' THEN 'ROOT' ELSE upper(e.path) END || CASE WHEN e.is_tip THEN ' TIP ' || name ELSE ' INTERIOR None' END || chr(10) || seq AS value
+FROM every e JOIN s USING (tree_id, node_id)"""
+)
+def tree_dump(spark, d):
+    nodes = T.nodes(V.newicks(spark, d))
+    return T.dumped(nodes, node_sequences(spark, d, nodes))
 
 
 def rows(spark, d, width):

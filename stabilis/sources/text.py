@@ -52,6 +52,16 @@ def entries(seqs: DataFrame, wanted: DataFrame, substring: bool = False) -> Data
     return count.select("place", "name", "header", ok.alias("seq"))
 
 
+def by_header(seqs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(place, header, seq): the first record of each requested (place, header), or an error.
+
+    With the headers of an input as requests, this puts an aligner's output into their order.
+    """
+    first = seqs.groupBy("header").agg(F.min(F.struct("pos", "seq")).alias("x"))
+    seq = F.when(F.col("x").isNotNull(), F.col("x.seq")).otherwise(F.raise_error(F.concat(F.lit("no record: "), "header")).cast("string"))
+    return wanted.join(first, "header", "left").select("place", "header", seq.alias("seq"))
+
+
 def read_phylip(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, header, seq) of sequential files: names in the first ten columns."""
     r = records(spark, path, "\n").filter(F.trim("value") != "")
@@ -61,19 +71,23 @@ def read_phylip(spark: SparkSession, path: str) -> DataFrame:
 
 
 def phylip_lines(aln: DataFrame) -> DataFrame:
-    """The lines of one alignment, for a text sink."""
+    """The lines of one alignment, for a text sink; a name of over ten letters is an error."""
+    name = F.when(F.length("header") <= 10, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("name too long: "), "header")).cast("string"))
     head = aln.agg(F.format_string("%d %d", F.count("*"), F.max(F.length("seq"))).alias("value"), F.lit(-1).cast("long").alias("pos"))
-    body = aln.select(F.concat(F.rpad("header", 10, " "), "seq").alias("value"), F.col("pos").cast("long"))
+    body = aln.select(F.concat(F.rpad(name, 10, " "), "seq").alias("value"), F.col("pos").cast("long"))
     return head.unionByName(body).orderBy("pos").select("value")
 
 
 def read_ddgs(spark: SparkSession, path: str) -> DataFrame:
     """(file, r, wt, mut, ddg) of stability files: two lines of heading, then code and value.
 
-    Two wild types of a residue, or two values of a mutation, are an error.
+    Two wild types of a residue, two values of a mutation, or a line that is no code and value
+    (a number or None) are an error; empty lines are passed over.
     """
-    r = records(spark, path, "\n").withColumn("p", F.split(F.trim("value"), r"\s+"))
-    r = r.filter((F.size("p") == 2) & F.col("p")[0].rlike(r"^[A-Z]-?\d+[A-Z]$"))
+    first = F.min("pos").over(Window.partitionBy("file"))
+    r = records(spark, path, "\n").withColumn("_first", first).filter("pos > _first + 1 and trim(value) <> ''").withColumn("p", F.split(F.trim("value"), r"\s+"))
+    good = (F.size("p") == 2) & F.col("p")[0].rlike(r"^[A-Z]-?\d+[A-Z]$") & ((F.col("p")[1] == "None") | F.expr("try_cast(p[1] as double)").isNotNull())
+    r = r.withColumn("p", F.when(good, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a mutation and its value: "), "value")).cast("array<string>")))
     code = lambda i: F.regexp_extract(F.col("p")[0], r"^([A-Z])(-?\d+)([A-Z])$", i)
     out = r.select("file", code(2).cast("int").alias("r"), code(1).alias("wt"), code(3).alias("mut"), F.expr("try_cast(p[1] as double)").alias("ddg"))
     one = Window.partitionBy("file", "r")
@@ -90,6 +104,26 @@ def ddg_lines(ddg: DataFrame, heading: str) -> DataFrame:
     return head.unionByName(body).orderBy("k", "r", "mut").select("value")
 
 
+def write_ddgs(ddg: DataFrame, path: str, heading: str) -> None:
+    """One stability file for each family, in a folder ``family=...`` of ``path``."""
+    value = F.when(F.col("ddg").isNull(), F.lit("None")).otherwise(F.format_string("%.6f", "ddg"))
+    body = ddg.select("family", F.lit(1).alias("k"), "r", "mut", F.concat("wt", F.col("r").cast("string"), "mut", F.lit("\t"), value).alias("value"))
+    titles = F.posexplode(F.array(F.lit(heading), F.lit("MUTATION\tDDG"))).alias("r", "value")
+    head = ddg.select("family").distinct().select("family", F.lit(0).alias("k"), titles).select("family", "k", "r", F.lit("").alias("mut"), "value")
+    lines = head.unionByName(body).repartition("family").sortWithinPartitions("family", "k", "r", "mut")
+    lines.select("family", "value").write.partitionBy("family").text(path)
+
+
+def read_residue_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """(r, chain, structure_r) of ``PDB_RES_MAPPING r residue chain`` lines between
+    START_RESIDUE_LIST and END_RESIDUE_LIST; two lines for a residue, or a malformed one, are an
+    error."""
+    p = records(spark, path, "\n").select(F.split(F.trim("value"), r"\s+").alias("p")).filter("p[0] = 'PDB_RES_MAPPING' and p[1] not in ('START_RESIDUE_LIST', 'END_RESIDUE_LIST')")
+    good = (F.size("p") == 4) & F.col("p")[1].rlike(r"^-?\d+$") & (F.count("*").over(Window.partitionBy(F.col("p")[1])) == 1)
+    r = F.when(good, F.col("p")[1]).otherwise(F.raise_error(F.concat(F.lit("bad residue: "), F.array_join("p", " "))).cast("string"))
+    return p.select(r.cast("int").alias("r"), F.try_element_at("p", F.lit(4)).alias("chain"), F.try_element_at("p", F.lit(3)).alias("structure_r"))
+
+
 def read_mutations(spark: SparkSession, path: str) -> DataFrame:
     """(file, pos, wt, r, mut, ddg) of lists of codes, with values or without; ``#`` comments."""
     r = records(spark, path, "\n").withColumn("p", F.split(F.trim(F.regexp_replace("value", "#.*", "")), r"\s+")).filter(F.col("p")[0] != "")
