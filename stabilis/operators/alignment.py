@@ -53,16 +53,19 @@ def frequencies(aln: DataFrame, pseudocount: float = 0.0) -> DataFrame:
 
 def pair_statistics(a, b, double_gaps: bool = True):
     """Struct (identity, gaps) of two aligned strings; null if nothing can be compared."""
-    pairs = F.arrays_zip(R.chars(F.upper(a)).alias("a"), R.chars(F.upper(b)).alias("b"))
-    gap = lambda x: (x["a"] == "-") | (x["b"] == "-")
-    n = F.size(pairs)
-    gaps = F.size(F.filter(pairs, gap))
-    same = F.size(F.filter(pairs, lambda x: ~gap(x) & (x["a"] == x["b"])))
-    out = F.struct((same / F.nullif(n - gaps, F.lit(0))).alias("identity"), (gaps / F.nullif(n, F.lit(0))).alias("gaps"))
-    if double_gaps:
-        return F.when(F.length(a) == F.length(b), out)
-    both = F.exists(pairs, lambda x: (x["a"] == "-") & (x["b"] == "-"))
-    return F.when(both, F.raise_error(F.lit("both sequences have a gap")).cast("struct<identity:double,gaps:double>")).otherwise(F.when(F.length(a) == F.length(b), out))
+    # one letter for each column, made once and bound by the transform of a single element
+    kind = lambda x, y: F.when((x == "-") & (y == "-"), "2").when((x == "-") | (y == "-"), "1").when(x == y, "=").otherwise("/")
+    columns = F.array_join(F.zip_with(R.chars(F.upper(a)), R.chars(F.upper(b)), kind), "")
+    count = lambda c, of: F.length(c) - F.length(F.translate(c, of, ""))
+
+    def shares(c):
+        gaps = count(c, "12")
+        out = F.struct((count(c, "=") / F.nullif(F.length(c) - gaps, F.lit(0))).alias("identity"), (gaps / F.nullif(F.length(c), F.lit(0))).alias("gaps"))
+        if double_gaps:
+            return out
+        return F.when(c.contains("2"), F.raise_error(F.lit("both sequences have a gap")).cast("struct<identity:double,gaps:double>")).otherwise(out)
+
+    return F.when(F.length(a) == F.length(b), F.transform(F.array(columns), shares)[0])
 
 
 def glycan_sites(aln: DataFrame) -> DataFrame:

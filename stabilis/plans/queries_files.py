@@ -50,8 +50,10 @@ def realigned_order(spark, d):
 
 @query(f"WITH {V.SQL_PROTEINS} SELECT to_hex(pos) AS header, seq FROM prot")
 def phylip_files(spark, d):
+    """Alignments of up to a thousand documents each."""
     path = fresh_folder(spark)
-    text.phylip_lines(V.proteins(spark, d).withColumn("header", F.hex("pos"))).coalesce(1).write.text(path)
+    family = F.concat_ws("_", "family", F.floor(F.col("pos") / 1000000000).cast("string"))
+    text.write_phylip(V.proteins(spark, d).withColumn("header", F.hex("pos")).withColumn("family", family), path)
     return text.read_phylip(spark, path).select("header", "seq")
 
 

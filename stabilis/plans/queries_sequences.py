@@ -156,7 +156,7 @@ def aa_frequencies(spark, d):
 @query(f"WITH {V.SQL_PROTEINS}, {SQL_PAIR} SELECT family, pos, round(same / nullif(n - g, 0), 9) AS identity, round(g / n, 9) AS gaps FROM stats")
 def pairwise_statistics(spark, d):
     s = A.pair_statistics(F.col("seq"), F.col("ref"))
-    return A.with_reference(V.proteins(spark, d)).select("family", "pos", F.round(s["identity"], 9).alias("identity"), F.round(s["gaps"], 9).alias("gaps"))
+    return A.with_reference(V.proteins(spark, d)).select("family", "pos", s.alias("s")).select("family", "pos", F.round("s.identity", 9).alias("identity"), F.round("s.gaps", 9).alias("gaps"))
 
 
 @query(f"WITH {V.SQL_PROTEINS}, {SQL_PAIR} SELECT prot.family, prot.pos, header, seq FROM prot JOIN stats USING (family, pos) WHERE same / nullif(n - g, 0) >= 0.08 AND g / n <= 0.5")

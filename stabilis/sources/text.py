@@ -70,12 +70,23 @@ def read_phylip(spark: SparkSession, path: str) -> DataFrame:
     return r.select("file", "pos", F.trim(F.substring("value", 1, 10)).alias("header"), F.regexp_replace(F.substring(F.col("value"), F.lit(11), F.length("value")), r"\s", "").alias("seq"))
 
 
-def phylip_lines(aln: DataFrame) -> DataFrame:
-    """The lines of one alignment, for a text sink; a name of over ten letters is an error."""
+def phylip_records(aln: DataFrame, *by: str) -> DataFrame:
+    """(*by, k, pos, value): heading and rows of the alignment of each group; a name of over ten
+    letters is an error."""
     name = F.when(F.length("header") <= 10, F.col("header")).otherwise(F.raise_error(F.concat(F.lit("name too long: "), "header")).cast("string"))
-    head = aln.agg(F.format_string("%d %d", F.count("*"), F.max(F.length("seq"))).alias("value"), F.lit(-1).cast("long").alias("pos"))
-    body = aln.select(F.concat(F.rpad(name, 10, " "), "seq").alias("value"), F.col("pos").cast("long"))
-    return head.unionByName(body).orderBy("pos").select("value")
+    head = aln.groupBy(*by).agg(F.lit(0).alias("k"), F.lit(0).cast("long").alias("pos"), F.format_string("%d %d", F.count("*"), F.max(F.length("seq"))).alias("value"))
+    return head.unionByName(aln.select(*by, F.lit(1).alias("k"), F.col("pos").cast("long"), F.concat(F.rpad(name, 10, " "), "seq").alias("value")))
+
+
+def phylip_lines(aln: DataFrame) -> DataFrame:
+    """The lines of one alignment, for a text sink."""
+    return phylip_records(aln).orderBy("k", "pos").select("value")
+
+
+def write_phylip(aln: DataFrame, path: str) -> None:
+    """One PHYLIP file for each family, in a folder ``family=...`` of ``path``."""
+    lines = phylip_records(aln, "family").repartition("family").sortWithinPartitions("family", "k", "pos")
+    lines.select("family", "value").write.partitionBy("family").text(path)
 
 
 def read_ddgs(spark: SparkSession, path: str) -> DataFrame:
@@ -86,7 +97,7 @@ def read_ddgs(spark: SparkSession, path: str) -> DataFrame:
     """
     first = F.min("pos").over(Window.partitionBy("file"))
     r = records(spark, path, "\n").withColumn("_first", first).filter("pos > _first + 1 and trim(value) <> ''").withColumn("p", F.split(F.trim("value"), r"\s+"))
-    good = (F.size("p") == 2) & F.col("p")[0].rlike(r"^[A-Z]-?\d+[A-Z]$") & ((F.col("p")[1] == "None") | F.expr("try_cast(p[1] as double)").isNotNull())
+    good = (F.size("p") == 2) & F.col("p")[0].rlike(r"^[A-Z]-?\d+[A-Z]$") & ((F.get("p", F.lit(1)) == "None") | F.expr("try_cast(get(p, 1) as double)").isNotNull())
     r = r.withColumn("p", F.when(good, F.col("p")).otherwise(F.raise_error(F.concat(F.lit("not a mutation and its value: "), "value")).cast("array<string>")))
     code = lambda i: F.regexp_extract(F.col("p")[0], r"^([A-Z])(-?\d+)([A-Z])$", i)
     out = r.select("file", code(2).cast("int").alias("r"), code(1).alias("wt"), code(3).alias("mut"), F.expr("try_cast(p[1] as double)").alias("ddg"))
@@ -118,9 +129,10 @@ def read_residue_mapping(spark: SparkSession, path: str) -> DataFrame:
     """(r, chain, structure_r) of ``PDB_RES_MAPPING r residue chain`` lines between
     START_RESIDUE_LIST and END_RESIDUE_LIST; two lines for a residue, or a malformed one, are an
     error."""
-    p = records(spark, path, "\n").select(F.split(F.trim("value"), r"\s+").alias("p")).filter("p[0] = 'PDB_RES_MAPPING' and p[1] not in ('START_RESIDUE_LIST', 'END_RESIDUE_LIST')")
-    good = (F.size("p") == 4) & F.col("p")[1].rlike(r"^-?\d+$") & (F.count("*").over(Window.partitionBy(F.col("p")[1])) == 1)
-    r = F.when(good, F.col("p")[1]).otherwise(F.raise_error(F.concat(F.lit("bad residue: "), F.array_join("p", " "))).cast("string"))
+    p = records(spark, path, "\n").select(F.split(F.trim("value"), r"\s+").alias("p")).filter("p[0] = 'PDB_RES_MAPPING' and coalesce(get(p, 1), '') not in ('START_RESIDUE_LIST', 'END_RESIDUE_LIST')")
+    own = F.get("p", F.lit(1))
+    good = (F.size("p") == 4) & own.rlike(r"^-?\d+$") & (F.count("*").over(Window.partitionBy(own)) == 1)
+    r = F.when(good, own).otherwise(F.raise_error(F.concat(F.lit("bad residue: "), F.array_join("p", " "))).cast("string"))
     return p.select(r.cast("int").alias("r"), F.try_element_at("p", F.lit(4)).alias("chain"), F.try_element_at("p", F.lit(3)).alias("structure_r"))
 
 
