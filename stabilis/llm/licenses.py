@@ -132,7 +132,7 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
     joined = F.regexp_replace(F.regexp_replace("text", TAG, "$1.\n"), WRAP, "$1 $2")
     lines = F.filter(F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(hint))
     held = F.transform(lines, terms)
-    told = F.array(*[F.struct(F.lit(k).alias("name"), F.create_map(*[F.lit(x) for p in sorted(w.items()) for x in p]).alias("w")) for k, w in v])
+    known = F.array(*[F.struct(F.lit(k).alias("name"), F.create_map(*[F.lit(x) for p in sorted(w.items()) for x in p]).alias("w")) for k, w in v])
 
     def total(xs: Column, f) -> Column:
         return F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
@@ -143,7 +143,7 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
     def best(line: Column) -> Column:
         distinct = F.array_distinct(line)
         norm = F.sqrt(total(distinct, lambda x: F.pow(count(line, x) * F.coalesce(F.element_at(weight, x), rare), F.lit(2.0))))
-        dot = F.transform(told, lambda t: F.struct(F.round(-total(distinct, lambda x: count(line, x) * F.coalesce(F.element_at(weight, x), rare) * F.coalesce(F.element_at(t["w"], x), F.lit(0.0))) / norm, 9).alias("cosine"), t["name"].alias("name")))
+        dot = F.transform(known, lambda t: F.struct(F.round(-total(distinct, lambda x: count(line, x) * F.coalesce(F.element_at(weight, x), rare) * F.coalesce(F.element_at(t["w"], x), F.lit(0.0))) / norm, 9).alias("cosine"), t["name"].alias("name")))
         top = F.array_min(dot)
         return F.struct((-top["cosine"]).alias("cosine"), top["name"].alias("name"), F.size(line).alias("terms"))
 
@@ -154,9 +154,10 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
     mostly = F.when(F.size("_found") > 0, in_notices >= F.lit(share) * F.size(terms(F.col("text")))).otherwise(False)
     marked = marked.withColumn("_own", top["name"]).withColumn("_cosine", -top["c"]).withColumn("_dir", F.regexp_replace(path, "/?[^/]*$", ""))
     marked = marked.withColumn("_file", F.col("_own").isNotNull() & (F.element_at(F.split(path, "/"), -1).rlike(LICENCE_FILE) | mostly)).drop("_found")
-    dirs = marked.filter("_file").groupBy(F.col("_dir").alias("_from")).agg(F.min(F.struct((-F.col("_cosine")).alias("c"), F.col(path).alias("p"), F.col("_own").alias("name"))).alias("_t"))
-    dirs = checkpoint(dirs.select("_from", F.col("_t.name").alias("_name")))
-    inherited = nearest(marked.filter("_own is null").select("_dir").distinct(), dirs)
+    declares = F.when(F.col("_file"), F.struct((-F.col("_cosine")).alias("c"), F.col(path).alias("p"), F.col("_own").alias("name")))
+    dirs = checkpoint(marked.groupBy("_dir").agg(F.min(declares).alias("_t"), F.max(F.col("_own").isNull()).alias("_bare")))
+    declared = dirs.filter("_t is not null").select(F.col("_dir").alias("_from"), F.col("_t.name").alias("_name"))
+    inherited = nearest(dirs.filter("_bare").select("_dir"), declared)
     if inherited.count() <= BROADCAST_DIRS:
         inherited = F.broadcast(inherited)
     out = marked.join(inherited.withColumnRenamed("_dir", "_of"), F.col("_own").isNull() & (F.col("_dir") == F.col("_of")), "left")
