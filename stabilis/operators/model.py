@@ -141,9 +141,16 @@ def exponential(g: np.ndarray, t: np.ndarray) -> np.ndarray:
     parts = diagonalized(g)
     if parts is None:
         return by_series(g, t)
+    return of_diagonalization(parts, t)
+
+
+def of_diagonalization(parts, t: np.ndarray) -> np.ndarray:
+    """exp(t G) for each t from the eigenvectors of G, all times in one product."""
     w, v, inverse = parts
+    n = w.shape[-1]
     scaled = v[..., None, :, :] * np.exp(w[..., None, :] * t[:, None])[..., None, :]
-    return (scaled @ inverse[..., None, :, :]).real
+    out = scaled.reshape(*w.shape[:-1], len(t) * n, n) @ inverse
+    return out.real.reshape(*w.shape[:-1], len(t), n, n)
 
 
 def exponential_slope(parts, t: np.ndarray, slope: np.ndarray) -> np.ndarray:

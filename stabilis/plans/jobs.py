@@ -91,11 +91,18 @@ def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, iden
     return aln, newick
 
 
-def inference_job(spark: SparkSession, alignment: str, newick: str, out: str, mutrate: float = 5.0, ratio: float = 4.0, scale: float = 1.0, shift: float = 0.0, starts: int = 5) -> DataFrame:
-    """Posterior stabilities of the first sequence of an alignment, along a tree of its headers."""
+def inference_job(spark: SparkSession, alignment: str, newick: str, out: str, mutrate: float = 5.0, ratio: float = 4.0, scale: float = 1.0, shift: float = 0.0, starts: int = 5, priors: str | None = None, initial: str | None = None) -> DataFrame:
+    """Posterior stabilities of the first sequence of an alignment, along a tree of its headers.
+
+    Prior centres come from hydropathies or from a stability file ``priors``; the first start is the
+    centre or that of a stability file ``initial``.
+    """
     aln = stripped(one_family(text.read_fasta(spark, alignment)))
     nodes = T.nodes(spark.createDataFrame([(0, newick)], "tree_id long, newick string"))
     rows = I.residue_rows(I.tree_arrays(nodes), nodes, aln.select(F.col("header").alias("name"), "seq"))
+    for name, path in (("center", priors), ("initial", initial)):
+        if path:
+            rows = I.with_stabilities(rows, text.read_ddgs(spark, path).select(F.col("r").alias("site"), "mut", "ddg"), name)
     table = M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(float(ratio)))
     best = I.maximize(rows, M.mutation_array(table), mutrate, scale, shift, starts)
     aas = F.array(*map(F.lit, R.AMINO_ACIDS))

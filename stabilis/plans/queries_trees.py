@@ -9,6 +9,7 @@ from ..operators import clusters as C
 from ..operators import inference as I
 from ..operators import model as M
 from ..operators import trees as T
+from ..operators.tables import stored
 from . import views as V
 from .registry import query
 
@@ -133,11 +134,38 @@ def maximize_posterior(spark, d):
     return I.maximize(rows(spark, d, 64), mutations(spark), 10.0, 1.0, 0.0)
 
 
+def family_posterior(spark, d, tips, width, starts):
+    """Optima along a balanced tree of the first ``tips`` documents, as large as a protein family."""
+    docs = V.table(spark, d, "documents").filter("doc_id is not null").orderBy("doc_id").limit(tips)
+    bits = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 512)
+    seqs = docs.select(F.concat(F.lit("S"), F.col("doc_id").cast("string")).alias("name"), F.substring(F.translate(bits, "0123456789abcdef", "VVVVVVVIIIILLLA-"), 1, width).alias("seq"))
+    parts = [f"{r['name']}:0.{i % 89 + 11:03d}" for i, r in enumerate(seqs.select("name").orderBy("name").collect())]
+    while len(parts) > 1:
+        pairs = [f"({a},{b}):0.{(7 * i + len(parts)) % 97 + 3:03d}" for i, (a, b) in enumerate(zip(parts[::2], parts[1::2], strict=False))]
+        parts = pairs + parts[2 * len(pairs) :]
+    nodes = T.nodes(spark.createDataFrame([(0, parts[0].rsplit(":", 1)[0] + ";")], "tree_id long, newick string"))
+    return I.maximize(I.residue_rows(I.tree_arrays(nodes), nodes, seqs), mutations(spark), 10.0, 1.0, 0.0, starts)
+
+
 @query()
 def mcmc_trace(spark, d):
     return I.chains(rows(spark, d, 64), mutations(spark), 10.0, 1.0, 0.0)
 
 
+@query()
+def mcmc_coupled(spark, d):
+    """A cold and two heated chains for each residue, stopped and gone on with half way."""
+    each, c = stored(rows(spark, d, 64)), mutations(spark)
+    half = stored(I.coupled(each, c, 10.0, 1.0, 0.0, 10))
+    rest = I.coupled(I.resumed(each, half), c, 10.0, 1.0, 0.0, 10)
+    return I.window_means(half.unionByName(rest).drop("places"))
+
+
+@query()
+def log_posterior_totals(spark, d):
+    return I.totals(I.probabilities(rows(spark, d, 64), mutations(spark), 10.0, 1.0, 0.0))
+
+
 @query()
 def condense_seqs(spark, d):
     return C.condense(V.proteins(spark, d), 3, (1,))

@@ -270,3 +270,65 @@ def test_trees_of_all_rows(spark):
     for kind in ("UPGMA", "NJ"):
         got = {r.family: r.newick for r in C.distance_trees(aln, kind).collect()}
         assert all(f"s{i}:" in got["f"] for i in range(80)) and got["g"] == "one;"
+
+
+def residue_rows(spark, sites=3):
+    """Rows of a tree of five tips in which one node has two internal children."""
+    tree = ([0, 2, -1, -3], [1, 3, -2, 4], [0.1, 0.25, 0.4, 0.1, 0.2, 0.3, 0.15, 0.5])
+    rows = [(1, i, "AC-DA" if i % 2 else "KLLKI", *tree) for i in range(1, sites + 1)]
+    return spark.createDataFrame(rows, "tree_id long, site int, letters string, left array<int>, right array<int>, lengths array<double>")
+
+
+def even_mutations():
+    c = np.full((20, 20), 0.01)
+    np.fill_diagonal(c, 0)
+    return c
+
+
+def test_levels_come_after_their_children():
+    left, right = [0, 2, -1, -3, 5, -4], [1, 3, -2, 4, 6, -5]
+    seen = set()
+    groups = I.levels(left, right, 2)
+    for g in groups:
+        assert len(g) <= 2 and all(k >= 0 or -1 - k in seen for i in g for k in (left[i], right[i]))
+        seen |= {int(i) for i in g}
+    assert sum(map(len, groups)) == 6 and seen == set(range(6))
+
+
+def test_coupled_chains_resume_exactly(spark):
+    rows, c = residue_rows(spark), even_mutations()
+    whole = {(r.site, r.step): (r.log_posterior, r.swapped) for r in I.coupled(rows, c, 10.0, 1.0, 0.0, 12).collect()}
+    half = I.coupled(rows, c, 10.0, 1.0, 0.0, 5)
+    rest = I.coupled(I.resumed(rows, half), c, 10.0, 1.0, 0.0, 7)
+    parts = {(r.site, r.step): (r.log_posterior, r.swapped) for r in half.unionByName(rest).collect()}
+    assert len(whole) == 36 and whole == parts
+    assert len({r.swapped for r in half.unionByName(rest).collect()}) == 2
+    places = {r.site: r.places for r in rest.filter("step = 12").collect()}
+    assert all(len(p) == 3 and len(p[0]) == 19 for p in places.values())
+    assert rest.filter("step < 12 and places is not null").isEmpty()
+
+
+def test_chain_means_over_the_last_steps(spark):
+    trace = I.chains(residue_rows(spark, 1), even_mutations(), 10.0, 1.0, 0.0, 6)
+    got = I.window_means(trace, 3).orderBy("step").collect()
+    v = [r.log_posterior for r in got]
+    assert np.allclose([r.mean_posterior for r in got], [np.mean(v[max(0, i - 2) : i + 1]) for i in range(6)])
+
+
+def test_given_centers_and_starts(spark):
+    rows, c = residue_rows(spark, 2), even_mutations()
+    given = spark.createDataFrame([(1, "C", 3.0), (1, "D", None), (1, "-", 9.0)], "site int, mut string, ddg double")
+    own = {r.site: r.center for r in I.with_stabilities(rows, given).collect()}
+    assert own[2] is None and own[1] == [0.0, 3.0] + [0.0] * 18
+    flat = I.Posterior(SimpleNamespace(letters="AC", center=own[1]), c, 10.0, 1.0, 0.0)
+    assert flat.center[1] == 3.0 and flat.center[2] == 0.0
+    found = I.maximize(I.with_stabilities(rows, given, "initial"), c, 10.0, 1.0, 0.0, 2).collect()
+    plain = {r.site: r.log_posterior for r in I.maximize(rows, c, 10.0, 1.0, 0.0, 2).collect()}
+    assert all(abs(r.log_posterior - plain[r.site]) < 1e-2 for r in found)
+
+
+def test_totals_of_trees(spark):
+    each = I.probabilities(residue_rows(spark), even_mutations(), 10.0, 1.0, 0.0)
+    rows = each.collect()
+    t = I.totals(each).first()
+    assert t.sites == 3 and abs(t.log_posterior - sum(r.log_likelihood + r.log_prior for r in rows)) < 1e-9
