@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, jaccard_join, language_id, licenses, lm_score, mixing, pii, quality, suffix_dedup
+from . import decontaminate, exact_topk, jaccard_join, language_id, licenses, lm_score, mixing, pii, quality, simhash_dedup, suffix_dedup
 from .common import read
 
 
@@ -65,6 +65,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "declared_in")
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -76,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
+    "op11_simhash_dedup": op11_simhash_dedup,
 }
 ORACLE: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op10_licenses": licenses.ORACLE}
