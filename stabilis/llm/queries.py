@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, jaccard_join, language_id, licenses, lm_score, mixing, pii, quality, simhash_dedup, suffix_dedup
+from . import decontaminate, exact_topk, hard_negatives, jaccard_join, language_id, licenses, lm_score, mixing, pii, quality, simhash_dedup, suffix_dedup
 from .common import read
 
 
@@ -70,6 +70,12 @@ def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -82,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_licenses": op10_licenses,
     "op11_simhash_dedup": op11_simhash_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
-ORACLE: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op10_licenses": licenses.ORACLE}
+ORACLE: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op10_licenses": licenses.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
