@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_topk, hard_negatives, jaccard_join, language_id, licenses, lm_score, mixing, pii, quality, simhash_dedup, suffix_dedup
+from . import decontaminate, exact_topk, hard_negatives, jaccard_join, language_id, licenses, lm_score, mixing, periodic_runs, pii, quality, simhash_dedup, suffix_dedup
 from .common import read
 
 
@@ -76,6 +76,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read(spark, sf_dir, "documents"), change=periodic_runs.repeating)
+    return periodic_runs.digests(found).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
@@ -89,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
     "op11_simhash_dedup": op11_simhash_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_mixing": mixing.ORACLE, "op5_jaccard_join": jaccard_join.ORACLE, "op6_exact_topk": exact_topk.ORACLE, "op10_licenses": licenses.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
