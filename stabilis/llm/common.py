@@ -7,6 +7,7 @@ single text is the smallest unit of work: a row has to fit in memory, as it has
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -131,8 +132,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes of a word from which on it is named by a cryptographic digest.
+LONG_WORD = 256
+
+
+def word_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit names of the words of a byte array, chained over pieces of eight bytes.
+
+    Each step spreads every bit, so words of any structure have names that look independent,
+    which a polynomial modulo a power of two has not.
+    """
+    length = end - start
+    h = mix(length.astype(np.uint64) + U64((seed * 0x9E3779B97F4A7C15 + 1) % (1 << 64)))
+    padded = np.concatenate([np.ascontiguousarray(data), np.zeros(8, np.uint8)])
+    piece_at = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    left, at, todo = length, start, slice(None)
+    while len(left):
+        odd = np.minimum(left, 8).astype(np.uint64) * U64(8)
+        piece = piece_at[at] & np.where(odd < 64, (U64(1) << (odd & U64(63))) - U64(1), ~U64(0))
+        h[todo] = mix(h[todo] * U64(0x9E3779B97F4A7C15) + piece)
+        more = (left > 8) & (left <= LONG_WORD)
+        todo = np.flatnonzero(more) if isinstance(todo, slice) else todo[more]
+        left, at = left[more] - 8, at[more] + 8
+    for i in np.flatnonzero(length > LONG_WORD):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
+#: Bytes of a substring from which on sums modulo 2**64 aren't safe: periodic signs cancel there.
+STRUCTURED = 512
+
+
 class Rolling:
-    """Fingerprints of any substring of a byte array from one prefix sum modulo 2**64.
+    """Fingerprints of substrings of fewer than ``STRUCTURED`` bytes from one prefix sum modulo 2**64.
 
     Byte values go through a table of random words, so a fingerprint depends on a substring
     only, not on where it stands.
@@ -163,6 +196,64 @@ class Rolling:
         return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+PRIME = (1 << 61) - 1
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= U64(PRIME), x - U64(PRIME), x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, by halves of 31 bits."""
+    low = U64((1 << 31) - 1)
+    a1, a0, b1, b0 = a >> U64(31), a & low, b >> U64(31), b & low
+    middle = a0 * b1 + a1 * b0
+    return reduced(reduced(a1 * b1 * U64(2) + (middle >> U64(30)) + ((middle & U64((1 << 30) - 1)) << U64(31))) + reduced(a0 * b0))
+
+
+class PrimeRolling:
+    """As ``Rolling`` for substrings of any length: a prefix sum modulo the prime 2**61 - 1."""
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        rng = np.random.default_rng(104729 + seed)
+        table = rng.integers(1, PRIME, 256, dtype=np.uint64)
+        base = int(rng.integers(1 << 32, PRIME, dtype=np.int64))
+        n = len(data) + 1
+        have = self._powers.get(seed)
+        if have is None or len(have[0]) < n:
+            have = self._powers[seed] = tuple(powers(b, max(n, SLICE_BYTES + 1)) for b in (base, pow(base, -1, PRIME)))
+        self.inverse = have[1]
+        term = product(table[data], have[0][: n - 1])
+        self.prefix = np.zeros(n, np.uint64)
+        high, low = np.cumsum(term >> U64(30)), np.cumsum(term & U64((1 << 30) - 1))
+        self.prefix[1:] = reduced(product(reduced(high), np.full(n - 1, U64(1 << 30))) + reduced(low))
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        difference = reduced(self.prefix[end] + U64(PRIME) - self.prefix[start])
+        return mix(product(difference, self.inverse[start]) + ((end - start).astype(np.uint64) << U64(32)))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo the prime."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, product(out, np.full(len(out), U64(pow(base, len(out), PRIME))))])
+    return out[:n]
+
+
+def rolling(length: int) -> type:
+    """The class whose fingerprints of ``length`` bytes are safe."""
+    return Rolling if length < STRUCTURED else PrimeRolling
+
+
+def as_strings(values: list[bytes | None]) -> pa.Array:
+    """Bytes as a string column, though they may be no UTF-8; Spark's strings can hold such bytes."""
+    return pa.array(values, pa.binary()).view(pa.string())
+
+
 def words(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word ``[^\\x20\\x09-\\x0D]+`` and the row it stands in."""
     if not len(data):

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, Rolling, mix, slices, utf8
+from .common import LOWER, U64, mix, slices, utf8, word_names
 
 TILE, THRESHOLD = 3, 0.6
 BLOCK_TOKENS = 1 << 20
@@ -49,7 +49,7 @@ def tokens(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last = np.concatenate([gap[1:], [True]])
     last[edges - 1] = True
     start, end = np.flatnonzero(first & ~gap), np.flatnonzero(last & ~gap) + 1
-    return Rolling(data, 3).of(start, end), np.searchsorted(off, start, "right") - 1
+    return word_names(data, start, end, 3), np.searchsorted(off, start, "right") - 1
 
 
 def seeds(name: np.ndarray, row: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, Rolling, checkpoint, forget, hot_keys, mix, n_partitions, numbered, renamed, slices, spread_join, utf8, words
+from .common import LOWER, U64, checkpoint, forget, hot_keys, mix, n_partitions, numbered, renamed, slices, spread_join, utf8, word_names, words
 from .components import components
 
 SHINGLE, BITS = 5, 52
@@ -48,7 +48,7 @@ def shingle_sets(off: np.ndarray, data: np.ndarray, k: int = SHINGLE) -> tuple[n
     start, end, row = words(off, data)
     n = len(off) - 1
     per = np.bincount(row, minlength=n)
-    h = Rolling(data).of(start, end)
+    h = word_names(data, start, end)
     first = np.cumsum(per) - per
     count = np.where(per >= k, per - k + 1, 0)
     which = np.repeat(np.arange(n, dtype=np.uint64), count)

@@ -161,12 +161,13 @@ def letter_table() -> np.ndarray:
 
 
 def letters_of(data: np.ndarray) -> np.ndarray:
-    """Which bytes of UTF-8 texts, one after the other, belong to letters."""
+    """Which bytes of UTF-8 texts, one after the other, belong to letters; bytes that are no UTF-8 don't."""
     code = data
     if len(data) and data.max() >= 0x80:
-        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        code = np.frombuffer(data.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letter_table()[code]
-    return letter if code is data else np.repeat(letter, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000))
+    alone = (code >= 0xDC80) & (code <= 0xDCFF)  # stands for one odd byte
+    return letter if code is data else np.repeat(letter, np.where(alone, 1, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)))
 
 
 def fit(docs: DataFrame, s: Settings) -> tuple[ByteGRU | None, list[str]]:

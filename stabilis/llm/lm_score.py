@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, Rolling, checkpoint, crc_mod, forget, n_partitions, numbered, slices, utf8, words
+from .common import LOWER, U64, checkpoint, crc_mod, forget, n_partitions, numbered, slices, utf8, word_names, words
 
 ORDER = 5
 #: Bits of the number of rows in a part, and bytes of text that are sorted at a time.
@@ -314,7 +314,7 @@ def tokens(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     start, end, row = words(off, data)
     n = len(off) - 1
-    name = Rolling(data, 7).of(start, end).view(np.int64)
+    name = word_names(data, start, end, 7).view(np.int64)
     return np.concatenate([name, np.full(n, END)]), np.concatenate([row, np.arange(n)])
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import as_strings, utf8
 
 LEAST, TIMES = 24, 3
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
@@ -130,11 +130,6 @@ def kept(words: list[bytes], found: list[tuple[int, int, int]]) -> list[bytes]:
     return [w for w, s in zip(words, stay.tolist(), strict=True) if s]
 
 
-def as_strings(values: list[bytes]) -> pa.Array:
-    """Bytes as strings, though they may be no UTF-8."""
-    return pa.array(values, pa.binary()).view(pa.string())
-
-
 def searched(least: int, times: int, change: Callable[[int | None, list[bytes]], list[bytes]] | None):
     def run(batches):
         ids, counts, found, left, size = [], [], [], [], 0

@@ -4,9 +4,15 @@ Plain identifiers are found first.  Then transducers rewrite the text and keep,
 character they write, the range of source characters that it stands for: lookalike characters
 become ASCII and invisible ones go, at and dot disguises become ``@`` and ``.``, spelled digits
 become digits.  What the same detectors find in the rewritten text is mapped back to the source;
-it is added where it touches no plain identifier of its kind, so plain ones always stay.
+it is added where it touches no plain identifier of its kind, or holds all of those that it
+touches and more (a disguise inside an address), so plain ones always stay, and what is masked is
+their union.
 
-Offsets count code points and ends are exclusive.  Null texts count as empty and have no spans;
+Disguised addresses have a user of 64 characters at most and hosts of at most nine labels of 63,
+the limits of real addresses, and up to three spaces at each sign; digits mixed with letters that look
+like them are read up to 19 in a group and nine groups.  Plain identifiers have no such bounds.
+
+Offsets count code points and ends are exclusive; a byte that is no UTF-8 counts as one and stays.  Null texts count as empty and have no spans;
 any length of text is read whole, in time linear in its length; equal rows get equal results; an
 empty table gives an empty result; columns other than doc_id and text are ignored.
 """
@@ -14,12 +20,15 @@ empty table gives an empty result; columns other than doc_id and text are ignore
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import as_strings
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -211,7 +220,8 @@ def find(text: str) -> tuple[dict, dict]:
         for b, e in more:
             while i < len(have) and have[i][1] <= b:
                 i += 1
-            if i == len(have) or have[i][0] >= e:
+            held = [h for h in itertools.takewhile(lambda h: h[0] < e, itertools.islice(have, i, None))]  # noqa: B023
+            if (b, e) not in held and all(b <= x and y <= e for x, y in held):
                 new.append((b, e))
         every[kind] = sorted(have + new)
     return base, every
@@ -224,11 +234,17 @@ def listed(spans: dict) -> str:
 SCHEMA = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_all long"
 
 
+def decoded(column: pa.Array):
+    """Texts of a column; a byte that is no UTF-8 becomes one lone surrogate."""
+    for x in column.cast(pa.binary()):
+        yield x.as_py().decode("utf-8", "surrogateescape") if x.is_valid else None
+
+
 def scan(batches):
     for b in batches:
         rows = []
-        for text in b.column("text"):
-            base, every = find(text.as_py() or "")
+        for text in decoded(b.column("text")):
+            base, every = find(text or "")
             rows.append((*(len(base[k]) for k in KINDS), hashlib.sha256(listed(base).encode()).hexdigest(), listed(every), sum(map(len, every.values()))))
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
@@ -255,7 +271,7 @@ def masked(text: str) -> str:
 
 def mask(batches):
     for b in batches:
-        text = pa.array([None if t is None else masked(t) for t in (x.as_py() for x in b.column("text"))], pa.string())
+        text = as_strings([None if t is None else masked(t).encode("utf-8", "surrogateescape") for t in decoded(b.column("text"))])
         yield pa.RecordBatch.from_arrays([text if n == "text" else b.column(n) for n in b.schema.names], names=b.schema.names)
 
 

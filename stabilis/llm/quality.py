@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, Rolling, slices, utf8, words
+from .common import SPACE, slices, utf8, word_names, words
 
 
 @dataclass(frozen=True)
@@ -69,7 +69,7 @@ def content(off: np.ndarray, data: np.ndarray) -> np.ndarray:
         x[:, 258] = np.bincount(at, (upper[end] - upper[start]) == length, n) / per
         x[:, 259] = np.bincount(at, (sign[end] - sign[start]) >= 2, n) / per
         x[:, 260] = np.bincount(at, length == 1, n) / per
-        name = Rolling(data, 5).of(start, end)
+        name = word_names(data, start, end, 5)
         again = np.concatenate([[False], (name[1:] == name[:-1]) & (at[1:] == at[:-1])])
         x[:, 262] = np.bincount(at, again, n) / per
         order = np.lexsort((name, at))

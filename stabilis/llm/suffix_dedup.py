@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Rolling, mix, n_partitions, numbered, slices, utf8
+from .common import U64, Rolling, mix, n_partitions, numbered, rolling, slices, utf8
 
 KGRAM, WINDOW = 24, 128
 #: Widths of the ranges of ``d`` in the recursion; a width of 1 is the merge of single suffixes.
@@ -109,7 +109,7 @@ def sample(length: int):
             uid = b.column("uid").to_numpy()
             for i, j in slices(off):
                 o, d = off[i : j + 1] - off[i], data[off[i] : off[j]]
-                roll = Rolling(d)
+                roll = rolling(length)(d)
                 row, a, lo, hi = cover(o, d, roll, length)
                 if not len(row):
                     continue
@@ -182,7 +182,7 @@ def extents(length: int, width: int):
                 row, a, state = row[which], a[which], state[which]
                 lo, hi = np.maximum(near[which], block * width), np.minimum(far[which], block * width + width - 1)
                 g = a + o[row]
-                one, two = Rolling(d), Rolling(d, 1)
+                one, two = rolling(length)(d), rolling(length)(d, 1)
                 u1, u2 = (r.of(g - hi, g - lo + length).view(np.int64) for r in (one, two))
                 common = np.zeros(len(a), np.int64)  # single suffixes don't go on
                 if width > 1:
