@@ -221,8 +221,8 @@ def whole_longs(score: np.ndarray) -> np.ndarray:
     return score.astype(np.int64)
 
 
-#: Groups whose best entries a task holds at a time.
-HELD = 4
+#: Groups whose best entries a task holds at a time; a few megabytes each.
+HELD = 32
 
 
 def read(same: bool, k: int):
