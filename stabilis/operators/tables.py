@@ -29,3 +29,12 @@ def stored(df: DataFrame) -> DataFrame:
     path = fresh_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+            if path.rpartition("/")[2].startswith("table-"):
+                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import residues as R
 from ..operators import alignment as A
+from ..operators import linkage as L
 from . import views as V
 from .registry import query
 
@@ -204,6 +205,45 @@ def central_sequence(spark, d):
     return A.central(V.proteins(spark, d)).select("family", "pos", F.round("mean_differences", 9).alias("mean_differences"))
 
 
+# Sequences of at most 60 letters have one edit at most here: a half of the shorter one stays as it is.
+SQL_CLUSTERS = f"""WITH RECURSIVE {V.SQL_PROTEINS},
+kinds AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT family, replace(seq, '-', '') AS s, min(pos) AS first, count(*) AS rows FROM prot GROUP BY ALL)),
+keys AS (SELECT id, family, s, m, unnest(['<' || left(s, m // 2), '>' || right(s, m - m // 2)]) AS k
+  FROM (SELECT *, unnest([length(s), length(s) - 1]) AS m FROM kinds) WHERE m >= 0),
+links AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM keys a JOIN keys b ON a.family = b.family AND a.m = b.m AND a.k = b.k AND length(a.s) = a.m AND a.id <> b.id
+  WHERE 1000 * levenshtein(a.s, b.s) <= 20 * length(b.s) AND 1000 * length(a.s) >= 900 * length(b.s)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(id, other) AS (SELECT id, id FROM kinds UNION SELECT id, b FROM reach JOIN both_ways ON a = other),
+groups AS (SELECT r.id, min(k.first) AS cluster, sum(k.rows) AS size FROM reach r JOIN kinds k ON k.id = other GROUP BY r.id),
+clustered AS MATERIALIZED (SELECT prot.family, prot.pos, prot.seq, cluster, size::BIGINT AS size FROM prot JOIN kinds ON prot.family = kinds.family AND replace(seq, '-', '') = s JOIN groups USING (id))"""
+
+
+def clusters(spark, d):
+    return L.single_linkage(V.proteins(spark, d), 0.98, 0.9)
+
+
+@query(f"{SQL_CLUSTERS} SELECT family, pos, cluster, size FROM clustered")
+def cluster_sequences(spark, d):
+    """Blocks of 50 letters and more are linked by one edit, shorter ones if they are equal."""
+    return clusters(spark, d)
+
+
+@query(
+    f"""{SQL_CLUSTERS}, u AS (SELECT family, cluster, seq, min(pos) AS pos FROM clustered GROUP BY ALL),
+s AS (SELECT family, cluster, pos, unnest(range(1, 61)) AS site, unnest(string_split(seq, '')) AS aa FROM u),
+c AS (SELECT family, cluster, site, aa, count(*) AS n FROM s GROUP BY ALL), m AS (SELECT family, cluster, count(*) AS m FROM u GROUP BY ALL),
+t AS (SELECT family, cluster, pos, sum(CASE WHEN aa = 'X' THEN 0 ELSE n - 1 END) AS same FROM s JOIN c USING (family, cluster, site, aa) GROUP BY ALL),
+q AS (SELECT family, cluster, pos, CASE WHEN m > 1 THEN 60 - same / (m - 1) ELSE 0 END AS x FROM t JOIN m USING (family, cluster)),
+r AS (SELECT *, row_number() OVER (PARTITION BY family, cluster ORDER BY x, pos) AS k FROM q)
+SELECT family, cluster, pos, round(x, 9) AS mean_differences FROM r WHERE k = 1"""
+)
+def central_of_clusters(spark, d):
+    """The row of each cluster that is closest to its others, equal rows counted once."""
+    named = V.proteins(spark, d).join(clusters(spark, d), ["family", "pos"]).withColumn("family", F.struct("family", "cluster"))
+    best = A.central(A.first_of_each(named.select("family", "pos", "header", "seq")))
+    return best.select("family.family", "family.cluster", "pos", F.round("mean_differences", 9).alias("mean_differences"))
+
+
 @query(
     f"""WITH {V.SQL_LETTERS}, n AS (SELECT family, doc_id, length(raw) AS n FROM letters), f AS (SELECT family, arg_min(n, doc_id) AS ref FROM n GROUP BY family)
 SELECT family, doc_id, n::INT AS n FROM n JOIN f USING (family) WHERE n >= (0.9::DOUBLE * ref)::DOUBLE // 1"""
