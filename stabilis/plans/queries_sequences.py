@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import residues as R
 from ..operators import alignment as A
 from ..operators import linkage as L
+from ..operators import pairwise as P
 from . import views as V
 from .registry import query
 
@@ -205,6 +206,25 @@ def central_sequence(spark, d):
     return A.central(V.proteins(spark, d)).select("family", "pos", F.round("mean_differences", 9).alias("mean_differences"))
 
 
+@query()
+def aligned_to_reference(spark, d):
+    """Every block, its gaps left out, aligned to the first one of its family, and whether it passes the screen."""
+    placed = P.to_reference(V.proteins(spark, d))
+    like = F.coalesce((F.col("identity") >= 0.4) & (F.col("gaps") <= 0.2), F.lit(False))
+    return placed.select("family", "pos", "seq", "score", F.round("identity", 9).alias("identity"), F.round("gaps", 9).alias("gaps"), like.alias("kept"))
+
+
+@query(
+    f"""WITH {V.SQL_SITES}, c AS (SELECT * FROM seen WHERE aa IN (SELECT aa FROM aas)),
+q AS MATERIALIZED (SELECT a.aa AS x, b.aa AS y, sum(CASE WHEN a.aa = b.aa THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END)::DOUBLE AS q
+  FROM c a JOIN c b ON a.family = b.family AND a.site = b.site AND a.aa <= b.aa GROUP BY ALL HAVING q > 0),
+p AS (SELECT aa, sum(q) / 2 AS p FROM (SELECT x AS aa, q FROM q UNION ALL SELECT y, q FROM q) GROUP BY aa)
+SELECT x, y, round(2 * log2(q * (SELECT sum(q) FROM q) / (a.p * b.p * CASE WHEN x = y THEN 1 ELSE 2 END)))::INT AS score FROM q JOIN p a ON a.aa = x JOIN p b ON b.aa = y"""
+)
+def substitution_scores(spark, d):
+    return P.substitution_scores(V.proteins(spark, d))
+
+
 # Sequences of at most 60 letters have one edit at most here: a half of the shorter one stays as it is.
 SQL_CLUSTERS = f"""WITH RECURSIVE {V.SQL_PROTEINS},
 kinds AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM (SELECT family, replace(seq, '-', '') AS s, min(pos) AS first, count(*) AS rows FROM prot GROUP BY ALL)),
