@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import clusters as C
+from ..operators import distances as D
 from ..operators import inference as I
 from ..operators import model as M
 from ..operators import trees as T
@@ -184,3 +185,31 @@ def upgma(spark, d):
 @query()
 def neighbour_joining(spark, d):
     return C.distance_trees(of_documents(spark, d), "NJ")
+
+
+@query(
+    f"""WITH {V.sql_relatives()},
+r AS (SELECT family, pos, seq, string_split(seq, '') AS c FROM relatives),
+p AS (SELECT family, len(list_filter(x, lambda e: e = 'A')) / len(x) AS a, len(list_filter(x, lambda e: e = 'C')) / len(x) AS c, len(list_filter(x, lambda e: e = 'G')) / len(x) AS g, len(list_filter(x, lambda e: e = 'T')) / len(x) AS t
+  FROM (SELECT family, flatten(list(c)) AS x FROM r GROUP BY family)),
+z AS (SELECT one.family, one.pos AS a, two.pos AS b, list_zip(one.c, two.c) AS z FROM r one JOIN r two ON one.family = two.family AND one.pos < two.pos),
+n AS (SELECT family, z.a AS i, z.b AS j, len(list_filter(z, lambda e: e[1] || e[2] IN ('AG', 'GA', 'CT', 'TC'))) / len(z) AS ts, len(list_filter(z, lambda e: e[1] <> e[2] AND e[1] || e[2] NOT IN ('AG', 'GA', 'CT', 'TC'))) / len(z) AS tv FROM z),
+v AS (SELECT family, i, j, ts, tv, c * t / (c + t) + a * g / (a + g) AS x, c * t + a * g AS y, (a + g) * (c + t) AS z FROM n JOIN p USING (family)),
+w AS (SELECT *, 1 - ts / (2 * x) - (x - y) * tv / (2 * x * z) AS one, 1 - tv / (2 * z) AS two FROM v)
+SELECT family::BIGINT AS family, i::BIGINT AS a, j::BIGINT AS b, round(CASE WHEN one > 0 AND two > 0 THEN greatest(0, -2 * x * ln(one) + 2 * (x - y - z) * ln(two)) END, 9) AS distance FROM w"""
+)
+def f84_distances(spark, d):
+    told = D.f84_distances(V.relatives(spark, d))
+    return told.select(*(F.col(c).cast("long").alias(c) for c in ("family", "a", "b")), F.round("distance", 9).alias("distance"))
+
+
+@query()
+def dna_distances(spark, d):
+    """Distances of greatest likelihood: F84, twice as many transitions, gamma rates of variation 1."""
+    return D.likely_distances(V.relatives(spark, d), "dna")
+
+
+@query()
+def protein_distances(spark, d):
+    """Distances of greatest likelihood by a model of codons, gamma rates of variation 1."""
+    return D.likely_distances(V.relatives(spark, d, "protein"))

@@ -68,6 +68,39 @@ def newicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tips.select("tree_id", F.concat(F.repeat(F.lit("("), F.size("t") - 1), tip(F.col("t")[0]), F.array_join(rest, ":0.05"), F.lit(";")).alias("newick"))
 
 
+#: Letters that stand for the 16 hex digits of a digest, for bases and for residues.
+RELATIVE_CODES = {"dna": "ATGCATGCATGCATGC", "protein": "ACDEFGHIKLMNPQRS"}
+
+
+def relatives(spark: SparkSession, sf_dir: str, kind: str = "dna") -> DataFrame:
+    """(family, pos, header, seq): the suppliers of a nation as relatives of its first one.
+
+    A supplier has the digest of a document of its own at three sites in sixteen, and that of the first
+    supplier at the others.
+    """
+    t = F.coalesce("text", F.lit(""))
+    hexes = F.concat(*[F.md5(F.concat(t, F.lit(x)).cast("binary")) for x in ("", "1", "2")]) if kind == "dna" else F.sha2(t.cast("binary"), 256)
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null").select("doc_id", hexes.alias("h"))
+    # one row
+    s = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(docs.agg((F.max("doc_id") + 1).alias("n"))))
+    own = s.select(F.col("s_nationkey").alias("family"), F.col("s_suppkey").alias("pos"), (F.col("s_suppkey") % F.col("n")).alias("doc_id")).join(docs, "doc_id")
+    first = own.groupBy("family").agg(F.min_by("h", "pos").alias("first"))
+    at = lambda c, i: F.substring(c, i, 1)
+    mixed = F.transform(F.sequence(F.lit(1), F.length("h")), lambda i: F.when(at(F.reverse("h"), i).isin("0", "1", "2"), at(F.col("h"), i)).otherwise(at(F.col("first"), i)))
+    seq = F.translate(F.array_join(mixed, ""), "0123456789abcdef", RELATIVE_CODES[kind])
+    return own.join(first, "family").select("family", "pos", F.concat(F.lit("S"), F.col("pos").cast("string")).alias("header"), seq.alias("seq"))
+
+
+def sql_relatives(kind: str = "dna") -> str:
+    t = "coalesce(text, '')"
+    hexes = f"md5({t}) || md5({t} || '1') || md5({t} || '2')" if kind == "dna" else f"sha256({t})"
+    return f"""hexes AS (SELECT doc_id, {hexes} AS h FROM documents),
+own AS (SELECT s_nationkey AS family, s_suppkey AS pos, h FROM supplier JOIN hexes ON doc_id = s_suppkey % (SELECT max(doc_id) + 1 FROM documents)),
+firsts AS (SELECT family, arg_min(h, pos) AS first FROM own GROUP BY family),
+relatives AS (SELECT family, pos, translate(array_to_string(list_transform(range(1, length(h)::INT + 1), lambda i: CASE WHEN substr(reverse(h), i::INT, 1) IN ('0', '1', '2') THEN substr(h, i::INT, 1) ELSE substr(first, i::INT, 1) END), ''),
+  '0123456789abcdef', '{RELATIVE_CODES[kind]}') AS seq FROM own JOIN firsts USING (family))"""
+
+
 AA_VALUES = ", ".join(f"('{a}')" for a in R.AMINO_ACIDS)
 # DuckDB forms of the views, as members of a WITH list.
 SQL_LETTERS = "letters AS (SELECT lang AS family, doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS raw FROM documents WHERE lang IS NOT NULL)"
