@@ -49,6 +49,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of finished steps: it follows the driver's
+    garbage collection, which a loop of large shuffles and little work on the driver seldom sets off."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(df: DataFrame | None) -> None:
     """Deletes the table behind a result of checkpoint() that nothing reads any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():

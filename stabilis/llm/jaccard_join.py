@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, U64, checkpoint, forget, hot_keys, mix, n_partitions, numbered, renamed, slices, spread_join, utf8, word_names, words
+from .common import LOWER, U64, checkpoint, forget, hot_keys, mix, n_partitions, numbered, renamed, slices, spread_join, sweep, utf8, word_names, words
 from .components import components
 
 SHINGLE, BITS = 5, 52
@@ -415,6 +415,7 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     level = levels(sketch)
     texts = docs.select("text")
     groups = checkpoint(texts.mapInArrow(prefixes(level, t), TOKENS).repartition(n, "key").mapInArrow(shared(t), "token long, cls long, n int, rank int"))
+    sweep(spark)
     share = groups.groupBy("cls").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * t / 100) + 1)).alias("share"))
     g = groups.join(share, "cls").withColumn("label", F.col("cls"))
     links = tested = label = kept = None
@@ -443,6 +444,7 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         pairs = checkpoint(pairs)
         if pairs.isEmpty():
             continue
+        sweep(spark)
         tested = pairs if tested is None else tested.union(pairs)
         wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
         sets = checkpoint(texts.mapInArrow(token_rows(level, t, wanted), "cls long, head binary, tokens binary"))
@@ -452,6 +454,7 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         full = sets.select("cls", "tokens").mapInArrow(in_map(both), "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
         found = checkpoint(with_both(close, full, "tokens").mapInArrow(verify(level, t), "u long, v long"))
         forget(sets)
+        sweep(spark)
         links = found if links is None else links.union(found)
         label = checkpoint(components(links))
     forget(kept)
