@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import alignment as A
 from ..operators import clusters as C
 from ..operators import distances as D
+from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import model as M
 from ..operators import trees as T
@@ -213,3 +215,55 @@ def dna_distances(spark, d):
 def protein_distances(spark, d):
     """Distances of greatest likelihood by a model of codons, gamma rates of variation 1."""
     return D.likely_distances(V.relatives(spark, d, "protein"))
+
+
+@query()
+def average_linkage(spark, d):
+    """Trees of related suppliers by average linkage of their F84 distances, without a task for each."""
+    family = V.relatives(spark, d)
+    pairs = D.f84_distances(family).withColumn("distance", F.coalesce("distance", F.lit(5.0)))
+    nodes = C.average_linkage(pairs)
+    return nodes.select("family", "first", "size", "parent_first", "parent_size", "side", F.round("branch", 9).alias("branch"), F.round("height", 9).alias("height"))
+
+
+def heaps(spark, d):
+    """(tree_id, node, parent, side, name, branch): each nation's suppliers as a heap, two children or none."""
+    s = V.table(spark, d, "supplier")
+    k = (F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1).cast("long")
+    s = s.select(F.col("s_nationkey").cast("long").alias("tree_id"), k.alias("node"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("name"), ((F.col("s_suppkey") % 100) / 4).alias("length"))
+    n = s.groupBy("tree_id").agg(F.count("*").alias("n"))
+    s = s.join(n, "tree_id").filter("node < n - 1 + n % 2")
+    inner = F.col("node") > 0
+    side = F.when(inner, F.when(F.col("node") % 2 == 1, "left").otherwise("right"))
+    return s.select("tree_id", "node", F.when(inner, F.expr("(node - 1) div 2")).alias("parent"), side.alias("side"), "name", F.when(inner, F.col("length")).alias("branch"))
+
+
+SQL_HEAPS = """heaps AS (
+  SELECT tree_id, k AS node, CASE WHEN k > 0 THEN (k - 1) // 2 END AS parent, CASE WHEN k > 0 THEN CASE WHEN k % 2 = 1 THEN 'left' ELSE 'right' END END AS side, name, CASE WHEN k > 0 THEN length END AS branch
+  FROM (SELECT s_nationkey::BIGINT AS tree_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS k, count(*) OVER (PARTITION BY s_nationkey) AS n, 'S' || s_suppkey AS name, (s_suppkey % 100) / 4 AS length FROM supplier)
+  WHERE k < n - 1 + n % 2),
+above(tree_id, node, ancestor, steps, length) AS (
+  SELECT tree_id, node, parent, 1, branch FROM heaps WHERE parent IS NOT NULL
+  UNION ALL SELECT a.tree_id, a.node, h.parent, steps + 1, length + h.branch FROM above a JOIN heaps h ON h.tree_id = a.tree_id AND h.node = a.ancestor WHERE h.parent IS NOT NULL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_HEAPS},
+tips AS (SELECT tree_id, node FROM heaps h WHERE NOT EXISTS (SELECT 1 FROM heaps c WHERE c.tree_id = h.tree_id AND c.parent = h.node)),
+under AS (SELECT tree_id, ancestor AS node, count(*) AS below, count(*) FILTER (WHERE (tree_id, node) IN (SELECT tree_id, node FROM tips)) AS tips FROM above GROUP BY ALL),
+s AS (SELECT h.*, coalesce(below, 0) + 1 AS size, coalesce(tips, 1) AS tips, below IS NULL AS is_tip FROM heaps h LEFT JOIN under USING (tree_id, node)),
+down(tree_id, node, node_id, parent_id, tip_before, inner_before, depth, path) AS (
+  SELECT tree_id, node, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0, '' FROM s WHERE parent IS NULL
+  UNION ALL
+  SELECT c.tree_id, c.node, d.node_id + 1 + coalesce(r.size, 0), d.node_id, d.tip_before + coalesce(r.tips, 0), d.inner_before + coalesce(r.size - r.tips, 0), d.depth + 1, CASE WHEN d.path = '' THEN c.side ELSE d.path || ',' || c.side END
+  FROM down d JOIN s c ON c.tree_id = d.tree_id AND c.parent = d.node LEFT JOIN s r ON c.side = 'left' AND r.tree_id = c.tree_id AND r.parent = c.parent AND r.side = 'right')
+SELECT tree_id, node, node_id::INT AS node_id, parent_id::INT AS parent_id, side, is_tip, CASE WHEN is_tip THEN name END AS name, branch, CASE WHEN is_tip THEN tip_before END::INT AS tip_no,
+  CASE WHEN NOT is_tip THEN inner_before + size - tips - 1 END::INT AS internal_no, depth::INT AS depth, path FROM down JOIN s USING (tree_id, node)"""
+)
+def edge_tree_nodes(spark, d):
+    return E.numbered(heaps(spark, d)).drop("parent")
+
+
+@query(f"WITH RECURSIVE {SQL_HEAPS} SELECT tree_id, node, ancestor, steps::BIGINT AS steps, length FROM above")
+def edge_tree_ancestors(spark, d):
+    return E.ancestors(heaps(spark, d))
