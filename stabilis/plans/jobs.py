@@ -16,8 +16,11 @@ from ..functions import statistics as S
 from ..operators import alignment as A
 from ..operators import clusters as C
 from ..operators import ddg as D
+from ..operators import distances as N
+from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import model as M
+from ..operators import pairwise as P
 from ..operators import trees as T
 from ..sources import text
 
@@ -66,29 +69,56 @@ def rank_job(spark: SparkSession, selected: str, files: dict[str, str]) -> tuple
     return each, mean
 
 
-def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, identity: float, gaps: float, out: str, kind: str = "UPGMA") -> tuple[DataFrame, str]:
+def family_tree(aln: DataFrame, kind: str = "UPGMA", distance: str = "differences", cv: float = 1.0) -> str:
+    """A Newick text of the one family of ``aln``.
+
+    ``distance``: differences (shares of differing columns), or protein or dna, those of greatest
+    likelihood with rates of variation ``cv``; a pair without one is as far as the farthest.  UPGMA is
+    built by joins and sums on the table of pairs, NJ (from differences) in one task.
+    """
+    if kind != "UPGMA":
+        return C.distance_trees(aln, kind).first()["newick"]
+    if distance == "differences":
+        pairs = N.pairs(aln).select("family", "a", "b", (R.hamming(F.col("seq_a"), F.col("seq_b")) / F.length("seq_a")).alias("distance"))
+    else:
+        pairs = N.likely_distances(aln, distance, cv)
+        farthest = pairs.agg(F.coalesce(F.max("distance"), F.lit(1.0)).alias("most"))
+        pairs = pairs.crossJoin(F.broadcast(farthest)).select("family", "a", "b", F.coalesce("distance", "most").alias("distance"))
+    return E.newicks(C.as_edges(C.average_linkage(pairs), aln.select("family", "pos", "header"))).first()["newick"]
+
+
+def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, identity: float, gaps: float, out: str, kind: str = "UPGMA", align: bool = False, distance: str = "differences") -> tuple[DataFrame, str]:
     """Homologs of a reference, screened, renamed and joined to a tree.
 
-    ``homologs`` are aligned to the reference already, which is the first record of ``alignment``.
-    Distances are shares of differing columns; the tree is built of all sequences, in one task.
-    The names given to the sequences are written beside the alignment, as ``SEQn header`` lines.
+    The reference is the first record of ``alignment``.  ``homologs`` are aligned to it already, or,
+    with ``align``, pair by pair here: what they have between its residues is dropped.  The tree is that of
+    ``family_tree``.  The names given to the sequences are written beside the alignment, as
+    ``SEQn header`` lines.
     """
     ref = one_family(text.read_fasta(spark, alignment))
     first = A.reference(ref).select("family", F.col("ref_pos").alias("pos"), F.lit("PROTSEQ").alias("header"), F.col("ref").alias("seq"))
+    if align:
+        first = first.withColumn("seq", F.replace("seq", F.lit("-"), F.lit("")))
     every = one_family(text.read_fasta(spark, homologs[0]))
     for path in homologs[1:]:
         every = every.unionByName(one_family(text.read_fasta(spark, path)))
     fresh = A.first_of_each(every).join(first.select("seq"), "seq", "left_anti")
-    s = A.pair_statistics(F.col("seq"), F.col("ref"))
-    good = fresh.join(first.select("family", F.col("seq").alias("ref")), "family").withColumn("s", s).filter((F.col("s.identity") >= identity) & (F.col("s.gaps") <= gaps))
+    both = fresh.join(first.select("family", F.col("seq").alias("ref")), "family")
+    if align:
+        done = P.aligned(both.withColumn("a", F.replace("seq", F.lit("-"), F.lit(""))), "a", "ref")
+        share = F.col("identical") / F.nullif(F.col("columns") - F.col("gaps"), F.lit(0))
+        good = done.filter((share >= identity) & (F.col("gaps") / F.col("columns") <= gaps)).withColumn("seq", F.col("placed"))
+        good = A.first_of_each(good.select("family", "pos", "header", "seq"))
+    else:
+        s = A.pair_statistics(F.col("seq"), F.col("ref"))
+        good = both.withColumn("s", s).filter((F.col("s.identity") >= identity) & (F.col("s.gaps") <= gaps))
     place = F.row_number().over(Window.partitionBy("family").orderBy("pos"))
     named = good.withColumn("pos", place.cast("long")).withColumn("name", F.concat(F.lit("SEQ"), F.col("pos").cast("string")))
     named.orderBy("pos").select(F.concat_ws(" ", "name", "header")).coalesce(1).write.mode("overwrite").text(out + ".names")
     named = named.select("family", "pos", F.col("name").alias("header"), "seq")
     aln = first.withColumn("pos", F.lit(0).cast("long")).unionByName(named)
     text.write_fasta(aln, out, "overwrite")
-    newick = C.distance_trees(aln, kind).first()["newick"]
-    return aln, newick
+    return aln, family_tree(aln, kind, distance)
 
 
 def inference_job(spark: SparkSession, alignment: str, newick: str, out: str, mutrate: float = 5.0, ratio: float = 4.0, scale: float = 1.0, shift: float = 0.0, starts: int = 5, priors: str | None = None, initial: str | None = None) -> DataFrame:

@@ -27,3 +27,14 @@ def test_jobs(spark, tmp_path):
     mapping = spark.createDataFrame([(1, 11, "A"), (3, 13, "E")], "structure_r int, r int, prot string")
     s = {(r.r, r.mut): r.ddg for r in jobs.structure_job(spark, out, mapping, str(tmp_path / "s")).collect()}
     assert s[13, "D"] == pytest.approx(-math.log(3 / 2), abs=1e-5) and s[11, "G"] == pytest.approx(math.log(2), abs=1e-5)
+
+
+def test_alignment_of_unaligned_homologs(spark, tmp_path):
+    (tmp_path / "ref.fasta").write_text(">ref\nMKVLAWGTRE\n")
+    (tmp_path / "h.fasta").write_text(">near\nMKVLAWWWGTRE\n>far\nCCCCCCCC\n>short\nMKVLGTRE\n>same\nMKVLAWGTRE\n>other\nMKVIAWGTRQ\n")
+    where = [str(tmp_path / "h.fasta")], str(tmp_path / "ref.fasta"), 0.7, 0.3, str(tmp_path / "aln")
+    aln, newick = jobs.alignment_job(spark, *where, align=True, distance="protein")
+    got = {r.header: r.seq for r in aln.collect()}
+    assert {len(s) for s in got.values()} == {10} and got["PROTSEQ"] == "MKVLAWGTRE" and sorted(got) == ["PROTSEQ", "SEQ1", "SEQ2", "SEQ3"]
+    assert got["SEQ1"] == "MKVLAWGTRE" and got["SEQ2"].replace("-", "") == "MKVLGTRE" and got["SEQ3"] == "MKVIAWGTRQ"
+    assert newick.count("SEQ") == 4 and "PROTSEQ" in newick and newick.endswith(";")
