@@ -121,11 +121,12 @@ def alignment_job(spark: SparkSession, homologs: list[str], alignment: str, iden
     return aln, family_tree(aln, kind, distance)
 
 
-def inference_job(spark: SparkSession, alignment: str, newick: str, out: str, mutrate: float = 5.0, ratio: float = 4.0, scale: float = 1.0, shift: float = 0.0, starts: int = 5, priors: str | None = None, initial: str | None = None) -> DataFrame:
+def inference_job(spark: SparkSession, alignment: str, newick: str, out: str, mutrate: float = 5.0, ratio: float = 4.0, scale: float = 1.0, shift: float = 0.0, starts: int = 5, priors: str | None = None, initial: str | None = None, done: str | None = None) -> DataFrame:
     """Posterior stabilities of the first sequence of an alignment, along a tree of its headers.
 
     Prior centres come from hydropathies or from a stability file ``priors``; the first start is the
-    centre or that of a stability file ``initial``.
+    centre or that of a stability file ``initial``.  Finished searches are kept in the folder ``done``, if
+    one is given, and a job that was stopped goes on from there.
     """
     aln = stripped(one_family(text.read_fasta(spark, alignment)))
     nodes = T.nodes(spark.createDataFrame([(0, newick)], "tree_id long, newick string"))
@@ -134,7 +135,7 @@ def inference_job(spark: SparkSession, alignment: str, newick: str, out: str, mu
         if path:
             rows = I.with_stabilities(rows, text.read_ddgs(spark, path).select(F.col("r").alias("site"), "mut", "ddg"), name)
     table = M.mutation_table(spark, "TRANSITION_TRANSVERSION_RATIO", F.lit(float(ratio)))
-    best = I.maximize(rows, M.mutation_array(table), mutrate, scale, shift, starts)
+    best = I.maximize(rows, M.mutation_array(table), mutrate, scale, shift, starts, folder=done)
     aas = F.array(*map(F.lit, R.AMINO_ACIDS))
     ddg = best.select(F.col("site").alias("r"), "wt", F.posexplode("ddg").alias("i", "ddg")).select("r", "wt", F.element_at(aas, F.col("i") + 1).alias("mut"), "ddg").filter("mut <> wt")
     text.ddg_lines(ddg, "posterior").coalesce(1).write.mode("overwrite").text(out)
@@ -157,7 +158,7 @@ FILES = {
     "consensus": text.JobFile({"ALIGNMENT": 1, "PSEUDOCOUNTS": 1, "OUTFILE": 1}),
     "correlate": text.JobFile({"KNOWN": 1, "PREDICTIONS": 2, "OUTFILE": 1}, frozenset({"PREDICTIONS"})),
     "rank": text.JobFile({"SELECTED": 1, "PREDICTIONS": 2, "OUTFILE": 1}, frozenset({"PREDICTIONS"})),
-    "infer": text.JobFile({"ALIGNMENT": 1, "TREE": 1, "MUTRATE": 1, "TRANSITION_TRANSVERSION_RATIO": 1, "PRIORS": 2, "NSTARTS": 1, "OUTFILE": 1}),
+    "infer": text.JobFile({"ALIGNMENT": 1, "TREE": 1, "MUTRATE": 1, "TRANSITION_TRANSVERSION_RATIO": 1, "PRIORS": 2, "NSTARTS": 1, "OUTFILE": 1, "PRIOR_FILE": 1, "INITIAL_FILE": 1, "DONE": 1}, optional=frozenset({"PRIOR_FILE", "INITIAL_FILE", "DONE"})),
 }
 
 
@@ -173,7 +174,8 @@ def main(args: list[str]) -> None:
         with open(one("TREE")) as f:
             newick = f.read()
         scale, shift = map(float, k["PRIORS"][0])
-        inference_job(spark, one("ALIGNMENT"), newick, one("OUTFILE"), float(one("MUTRATE")), float(one("TRANSITION_TRANSVERSION_RATIO")), scale, shift, int(one("NSTARTS")))
+        extra = {name: one(key) for key, name in (("PRIOR_FILE", "priors"), ("INITIAL_FILE", "initial"), ("DONE", "done")) if key in k}
+        inference_job(spark, one("ALIGNMENT"), newick, one("OUTFILE"), float(one("MUTRATE")), float(one("TRANSITION_TRANSVERSION_RATIO")), scale, shift, int(one("NSTARTS")), **extra)
     else:
         files = {name: file for name, file in k["PREDICTIONS"]}
         out = correlate_job(spark, one("KNOWN"), files) if job == "correlate" else rank_job(spark, one("SELECTED"), files)[0]

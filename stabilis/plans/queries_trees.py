@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import residues as R
 from ..operators import alignment as A
+from ..operators import ancestral as B
 from ..operators import clusters as C
 from ..operators import distances as D
 from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import model as M
 from ..operators import trees as T
-from ..operators.tables import stored
+from ..operators.tables import fresh_folder, stored
+from ..sources import outfile
 from . import views as V
 from .registry import query
 
@@ -267,3 +271,52 @@ def edge_tree_nodes(spark, d):
 @query(f"WITH RECURSIVE {SQL_HEAPS} SELECT tree_id, node, ancestor, steps::BIGINT AS steps, length FROM above")
 def edge_tree_ancestors(spark, d):
     return E.ancestors(heaps(spark, d))
+
+
+def related_tips(spark, d):
+    """Trees of suppliers, their nodes, and the letters of related residues at their tips."""
+    nodes = T.nodes(V.newicks(spark, d))
+    seqs = V.relatives(spark, d, "protein").select(F.col("header").alias("name"), "seq")
+    return nodes, seqs, I.residue_rows(I.tree_arrays(nodes), nodes, seqs)
+
+
+def codon_model():
+    return D.Reversible.of(R.AMINO_ACIDS, D.codon_exchange(), np.full(20, 0.05))
+
+
+@query()
+def likely_branch_lengths(spark, d):
+    """Lengths of the branches of each nation's tree, of greatest likelihood for related residues."""
+    _, _, rows = related_tips(spark, d)
+    fitted = B.fitted_lengths(rows, codon_model(), 1.0)
+    each = fitted.select("tree_id", "converged", F.round("log_likelihood", 4).alias("log_likelihood"), F.posexplode("lengths").alias("branch", "length"))
+    return each.withColumn("length", F.round("length", 4))
+
+
+@query()
+def interior_sequences(spark, d):
+    """Reconstructed residues of all interior nodes."""
+    nodes, _, rows = related_tips(spark, d)
+    return B.interior_sequences(rows, nodes, codon_model(), 1.0)
+
+
+@query()
+def reconstructed_changes(spark, d):
+    """Changes along the branches, between reconstructed residues and those of the tips."""
+    nodes, seqs, rows = related_tips(spark, d)
+    inner = B.interior_sequences(rows, nodes, codon_model(), 1.0)
+    tips = nodes.filter("is_tip").join(seqs, "name").select("tree_id", "node_id", "seq")
+    return T.site_changes(nodes, tips.unionByName(inner))
+
+
+@query(
+    f"""{SQL_CHANGES} SELECT e.tree_id::BIGINT AS tree_id, e.node_id::INT AS node_id, e.is_tip,
+  CASE WHEN e.is_tip THEN name ELSE (row_number() OVER (PARTITION BY e.tree_id, e.is_tip ORDER BY e.path))::VARCHAR END AS name, seq FROM every e JOIN s USING (tree_id, node_id)"""
+)
+def outfile_trees(spark, d):
+    """Trees with sequences at all nodes, written as output files of a tree program and read back."""
+    nodes = T.nodes(V.newicks(spark, d))
+    path = fresh_folder(spark)
+    outfile.write_outfile(nodes.join(node_sequences(spark, d, nodes), ["tree_id", "node_id"]), path)
+    rows = outfile.read_outfile(spark, path).withColumn("tree_id", F.regexp_extract("file", "tree_id=(\\d+)/", 1).cast("long"))
+    return outfile.with_sequences(nodes, rows).select("tree_id", "node_id", "is_tip", "name", "seq")
