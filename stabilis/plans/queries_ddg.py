@@ -67,7 +67,12 @@ def mean_median_rank(spark, d):
     return s.groupBy("method", "family").agg(F.round(F.avg("rank"), 6).alias("mean_rank"), F.median("rank").alias("median_rank"), F.count("*").alias("n"))
 
 
-@query(f"WITH {V.SQL_DDG} SELECT family, a.r::INT AS r, wt, mut, round(a.ddg, 8) AS p1, round(b.ddg, 8) AS p5 FROM (FROM ddg WHERE method = 'P1' AND ddg IS NOT NULL) a JOIN (FROM ddg WHERE method = 'P5' AND ddg IS NOT NULL) b USING (family, r, wt, mut)")
+# One pass over the table for each key, in place of joins of the table with itself.
+SQL_BY_METHOD = f"""WITH {V.SQL_DDG}, by_method AS (
+  SELECT family, r, wt, mut, max(ddg) FILTER (WHERE method = 'P1') AS p1, max(ddg) FILTER (WHERE method = 'P5') AS p5 FROM ddg GROUP BY family, r, wt, mut)"""
+
+
+@query(f"{SQL_BY_METHOD} SELECT family, r::INT AS r, wt, mut, round(p1, 8) AS p1, round(p5, 8) AS p5 FROM by_method WHERE p1 IS NOT NULL AND p5 IS NOT NULL")
 def zipped_ddgs(spark, d):
     z = D.zipped({"p1": one(spark, d, "P1"), "p5": one(spark, d, "P5")})
     return z.select("family", "r", "wt", "mut", F.round("p1", 8).alias("p1"), F.round("p5", 8).alias("p5"))
@@ -79,7 +84,7 @@ def correlate_ddgs(spark, d):
     return c.select("family", F.round("corr", 8).alias("corr"), "n")
 
 
-@query(f"WITH {V.SQL_DDG} SELECT family, a.r::INT AS r, wt, mut, CASE WHEN b.ddg > 1 THEN round(a.ddg, 8) END AS ddg FROM ddg a LEFT JOIN (SELECT * FROM ddg WHERE method = 'P5') b USING (family, r, wt, mut) WHERE a.method = 'P1'")
+@query(f"{SQL_BY_METHOD} SELECT family, r::INT AS r, wt, mut, CASE WHEN p5 > 1 THEN round(p1, 8) END AS ddg FROM by_method")
 def restrict_to_partner(spark, d):
     partner = one(spark, d, "P5").withColumn("ddg", F.when(F.col("ddg") > 1, F.col("ddg")))
     return rounded(D.restrict(one(spark, d, "P1").drop("method"), partner)).select("family", "r", "wt", "mut", "ddg")
