@@ -65,11 +65,15 @@ def translate_nt(nt: Column, readthrough_n=False, readthrough_stop=False, trunca
     up = F.upper(nt)
     n = F.length(up)
     fail = lambda why: F.raise_error(F.lit(why)).cast("string")
-    table = literal_map(full_codon_table())
+    plain = codon_table()
+    ambiguous = literal_map({k: v for k, v in full_codon_table().items() if k not in plain})
+    base = lambda i: F.instr(F.lit(BASES), F.substring(up, i, F.lit(1))) - 1
 
     def residue(i):
         codon = F.substring(up, i * 3 + 1, F.lit(3))
-        aa = F.try_element_at(table, codon)
+        place = base(i * 3 + 1) * 16 + base(i * 3 + 2) * 4 + base(i * 3 + 3)
+        # plain codons by their place in the code, only the others are looked up
+        aa = F.when(codon.rlike(f"^[{BASES}]{{3}}$"), F.substring(F.lit(STANDARD_CODE), place + 1, F.lit(1))).otherwise(F.try_element_at(ambiguous, codon))
         gap = F.lit("-") if translate_gaps else fail("gap in a codon")
         n_code = F.lit("X") if readthrough_n else fail("ambiguous codon")
         return F.when(codon.contains("-"), gap).when(aa == "X", n_code).when(aa.isNull(), fail("not a codon")).otherwise(aa)

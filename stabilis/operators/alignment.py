@@ -92,6 +92,14 @@ def first_of_each(aln: DataFrame) -> DataFrame:
     return best.select("family", F.col("x.pos").alias("pos"), F.col("x.header").alias("header"), "seq")
 
 
+def duplicate_pairs(aln: DataFrame) -> DataFrame:
+    """(family, pos, header, first_pos, first_header): rows that ``first_of_each`` leaves out, with the
+    one that is kept in their place."""
+    kept = first_of_each(aln).select("family", F.col("seq").alias("up"), F.col("pos").alias("first_pos"), F.col("header").alias("first_header"))
+    both = aln.withColumn("up", F.upper("seq")).join(kept, ["family", "up"])
+    return both.filter("pos <> first_pos").select("family", "pos", "header", "first_pos", "first_header")
+
+
 def screen(aln: DataFrame, least_identity: float, most_gaps: float) -> DataFrame:
     """Rows that are like enough to the reference of their family."""
     s = pair_statistics(F.col("seq"), F.col("ref"))
@@ -130,13 +138,18 @@ def central(aln: DataFrame) -> DataFrame:
     """(family, pos, mean_differences): the row with the least mean Hamming distance to the others.
 
     The distances of a row to all others add up over sites, so counts by site give them without
-    comparing pairs; X differs from everything, and equal means go to the first row.
+    comparing pairs; X differs from everything, and equal means go to the first row.  The counts of a
+    family are one row, with a small map for each site, so the rows aren't taken apart again.
     """
-    s = sites(aln)
     total = aln.groupBy("family").agg(F.count("*").alias("m"))
-    counts = s.groupBy("family", "site", "aa").agg(F.count("*").alias("n"))
-    same = s.join(counts, ["family", "site", "aa"]).groupBy("family", "pos").agg(F.sum(F.when(F.col("aa") == "X", 0).otherwise(F.col("n") - 1)).alias("same"), F.count("*").alias("w"))
-    mean = same.join(total, "family").withColumn("d", F.when(F.col("m") > 1, F.col("w") - F.col("same") / (F.col("m") - 1)).otherwise(0.0))
+    counts = sites(aln).groupBy("family", "site", "aa").agg(F.count("*").alias("n"))
+    by_site = counts.groupBy("family", "site").agg(F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("site", "n")), lambda x, y: x["site"] - y["site"])
+    each = by_site.groupBy("family").agg(listed.alias("x")).select("family", F.col("x.n").alias("counts"))
+    told = aln.filter(F.length("seq") > 0).select("family", "pos", R.chars(F.col("seq")).alias("aa")).join(each, "family").join(total, "family")
+    shared = F.zip_with("aa", F.slice("counts", F.lit(1), F.size("aa")), lambda a, n: F.when(a == "X", F.lit(0).cast("long")).otherwise(F.element_at(n, a) - 1))
+    same = F.aggregate(shared, F.lit(0).cast("long"), lambda s, x: s + x)
+    mean = told.select("family", "pos", F.when(F.col("m") > 1, F.size("aa") - same / (F.col("m") - 1)).otherwise(0.0).alias("d"))
     best = mean.groupBy("family").agg(F.min(F.struct("d", "pos")).alias("x"))
     return best.select("family", F.col("x.pos").alias("pos"), F.col("x.d").alias("mean_differences"))
 

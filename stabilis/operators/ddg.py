@@ -13,13 +13,29 @@ from ..functions import statistics as S
 KEY = ["family", "r", "wt", "mut"]
 
 
+def mutation_counts(counts: DataFrame, refs: DataFrame) -> DataFrame:
+    """(family, r, wt, mut, n_wt, n): counts of both residues of each mutation of the reference."""
+    wt = counts.join(refs, ["family", "site"]).filter("aa = wt").select("family", "site", "wt", F.col("n").alias("n_wt"))
+    both = counts.join(wt, ["family", "site"]).filter("aa <> wt")
+    return both.select("family", F.col("site").alias("r"), "wt", F.col("aa").alias("mut"), "n_wt", "n")
+
+
+def log_odds(pseudocount: Column, threshold: Column) -> Column:
+    """ln(n_wt / n) of counts with a pseudocount; null below a threshold."""
+    n, n_wt = F.col("n") + pseudocount, F.col("n_wt") + pseudocount
+    return F.when((n >= threshold) & (n_wt >= threshold) & (n > 0) & (n_wt > 0), F.log(n_wt / n))
+
+
 def consensus(counts: DataFrame, refs: DataFrame, pseudocount: float = 1, threshold: float = 0) -> DataFrame:
     """ln(n_wt / n_mut) for each mutation of the reference; null below ``threshold`` counts."""
-    n = counts.withColumn("n", F.col("n") + pseudocount)
-    wt = n.join(refs, ["family", "site"]).filter("aa = wt").select("family", "site", "wt", F.col("n").alias("n_wt"))
-    both = n.join(wt, ["family", "site"]).filter("aa <> wt")
-    value = F.when((F.col("n") >= threshold) & (F.col("n_wt") >= threshold) & (F.col("n") > 0) & (F.col("n_wt") > 0), F.log(F.col("n_wt") / F.col("n")))
-    return both.select("family", F.col("site").alias("r"), "wt", F.col("aa").alias("mut"), value.alias("ddg"))
+    return mutation_counts(counts, refs).select("family", "r", "wt", "mut", log_odds(F.lit(pseudocount), F.lit(threshold)).alias("ddg"))
+
+
+def consensus_by(counts: DataFrame, refs: DataFrame, methods: dict[str, tuple[float, float]]) -> DataFrame:
+    """(method, family, r, wt, mut, ddg) for several (pseudocount, threshold), from one pass over the counts."""
+    kinds = F.array(*(F.struct(F.lit(k).alias("method"), F.lit(float(p)).alias("p"), F.lit(float(t)).alias("t")) for k, (p, t) in methods.items()))
+    each = mutation_counts(counts, refs).withColumn("m", F.explode(kinds))
+    return each.select("m.method", "family", "r", "wt", "mut", log_odds(F.col("m.p"), F.col("m.t")).alias("ddg"))
 
 
 def code() -> Column:
@@ -151,12 +167,23 @@ def rescaled(ddg: DataFrame, kind: str, value: float, recenter: float | None = N
     return ddg.join(scales, by).withColumn("ddg", out).drop("shift", "shifted", "scale")
 
 
-def rebased(ddg: DataFrame, residues: DataFrame) -> DataFrame:
+def rebased(ddg: DataFrame, residues: DataFrame, strict: bool = False) -> DataFrame:
     """Values measured on a structure, for the protein's own residues.
 
     ``residues``: (family, r, prot, wt) pairs the residue of the protein with that of the
-    structure; where they differ, the value of the protein's residue is taken off.
+    structure; where they differ, the value of the protein's residue is taken off.  With
+    ``strict``, a residue without any value, one whose own value is missing where it is needed, and
+    two values of one mutation are errors.
     """
+    if strict:
+        fail = lambda why: F.raise_error(F.concat_ws(" ", F.lit(why), F.col("family").cast("string"), F.col("r").cast("string"))).cast("string")
+        n = ddg.groupBy("family", "r", "mut").agg(F.count("*").alias("k"), F.count("ddg").alias("known"), F.first("wt").alias("wt_of"))
+        ddg = ddg.join(n, ["family", "r", "mut"]).withColumn("mut", F.when(F.col("k") == 1, F.col("mut")).otherwise(fail("a mutation has two values:"))).drop("k", "known", "wt_of")
+        base = n.select("family", "r", F.col("mut").alias("prot"), "known")
+        any_ = ddg.select("family", "r", "wt").distinct()
+        told = residues.select("family", "r", "prot").distinct().join(any_, ["family", "r"], "left").join(base, ["family", "r", "prot"], "left")
+        good = F.col("wt").isNotNull() & ((F.col("wt") == F.col("prot")) | (F.coalesce("known", F.lit(0)) > 0))
+        residues = told.select("family", "r", F.when(good, F.col("prot")).otherwise(fail("no value for the residue:")).alias("prot"))
     own = ddg.select("family", "r", F.col("mut").alias("prot"), F.col("ddg").alias("base"))
     every = ddg.select("family", "r", "wt", "mut", "ddg").unionByName(ddg.select("family", "r", "wt", F.col("wt").alias("mut"), F.lit(0.0).alias("ddg")).distinct())
     out = every.join(residues.select("family", "r", "prot"), ["family", "r"]).join(own, ["family", "r", "prot"], "left")

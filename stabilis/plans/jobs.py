@@ -149,7 +149,7 @@ def structure_job(spark: SparkSession, measured: str, mapping: DataFrame, out: s
     """
     ddg = text.read_ddgs(spark, measured).withColumnRenamed("r", "structure_r").join(mapping, "structure_r").withColumn("family", F.lit("all"))
     pairs = ddg.select("family", "r", "prot", "wt").distinct()
-    based = D.rebased(ddg.select("family", "r", "wt", "mut", "ddg"), pairs)
+    based = D.rebased(ddg.select("family", "r", "wt", "mut", "ddg"), pairs, strict=True)
     text.ddg_lines(based, "structure").coalesce(1).write.mode("overwrite").text(out)
     return based
 

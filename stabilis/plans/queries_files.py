@@ -11,7 +11,7 @@ from ..functions import residues as R
 from ..operators import alignment as A
 from ..operators import ddg as D
 from ..operators.tables import fresh_folder
-from ..sources import text
+from ..sources import table_functions, text
 from . import views as V
 from .queries_ddg import SQL_SELECTED, one, rounded, selected
 from .registry import query
@@ -29,6 +29,16 @@ def fasta_files(spark, d):
     return fasta(spark, d).select("header", "seq")
 
 
+@query(f"WITH {V.SQL_PROTEINS} SELECT pos // 1000000 AS doc_id, (pos % 1000000)::INT AS place, header, seq FROM prot")
+def fasta_table_function(spark, d):
+    """A FASTA text for each document, taken apart by SQL alone."""
+    table_functions.register(spark)
+    records = V.proteins(spark, d).withColumn("value", text.fasta_text(F.col("header"), F.col("seq")))
+    texts = records.groupBy(F.expr("pos div 1000000").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("x"))
+    texts.select("doc_id", F.array_join("x.value", "\n").alias("fasta")).createOrReplaceTempView("given_fasta")
+    return spark.sql("SELECT t.doc_id, r.place, r.header, r.seq FROM given_fasta t, LATERAL fasta_records(t.fasta) r")
+
+
 @query(f"WITH {V.SQL_PROTEINS} SELECT doc_id AS place, header AS name, header, seq FROM prot JOIN letters ON pos = doc_id * 1000000")
 def fasta_entries(spark, d):
     wanted = V.letters(spark, d).select(F.col("doc_id").alias("place"), F.format_string("D%d_0", "doc_id").alias("name"))

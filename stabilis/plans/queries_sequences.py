@@ -206,6 +206,14 @@ def central_sequence(spark, d):
     return A.central(V.proteins(spark, d)).select("family", "pos", F.round("mean_differences", 9).alias("mean_differences"))
 
 
+@query(
+    f"""WITH {V.SQL_PROTEINS}, f AS (SELECT *, min(pos) OVER (PARTITION BY family, upper(seq)) AS first_pos FROM prot)
+SELECT f.family, f.pos, f.header, first_pos, p.header AS first_header FROM f JOIN prot p ON p.family = f.family AND p.pos = first_pos WHERE f.pos <> first_pos"""
+)
+def duplicate_pairs(spark, d):
+    return A.duplicate_pairs(V.proteins(spark, d))
+
+
 @query()
 def aligned_to_reference(spark, d):
     """Every block, its gaps left out, aligned to the first one of its family, and whether it passes the screen."""

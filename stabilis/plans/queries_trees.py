@@ -16,7 +16,7 @@ from ..operators import inference as I
 from ..operators import model as M
 from ..operators import trees as T
 from ..operators.tables import fresh_folder, stored
-from ..sources import outfile
+from ..sources import outfile, table_functions
 from . import views as V
 from .registry import query
 
@@ -40,6 +40,14 @@ def newick_nodes(spark, d):
     return T.nodes(V.newicks(spark, d)).select("tree_id", "node_id", "parent_id", "side", "is_tip", "name", "branch")
 
 
+@query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, node_id::INT AS node_id, parent_id::INT AS parent_id, name, branch::DOUBLE AS branch, path FROM every")
+def newick_table_function(spark, d):
+    """The nodes of all trees by SQL alone."""
+    table_functions.register(spark)
+    V.newicks(spark, d).createOrReplaceTempView("given_newicks")
+    return spark.sql("SELECT CAST(t.tree_id AS BIGINT) AS tree_id, n.node_id, n.parent_id, n.name, n.branch, n.path FROM given_newicks t, LATERAL newick_nodes(t.newick) n")
+
+
 @query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, path, is_tip, name FROM every")
 def tree_paths(spark, d):
     return T.nodes(V.newicks(spark, d)).select("tree_id", "path", "is_tip", "name")

@@ -51,12 +51,7 @@ def stabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(method, family, r, wt, mut, ddg) for some pseudocounts, wild type from the reference row."""
     counts = alignment.site_counts(proteins(spark, sf_dir))
     refs = alignment.reference_sites(proteins(spark, sf_dir))
-    one = lambda name, p: ddg.consensus(counts, refs, p, threshold=3 + p).withColumn("method", F.lit(name))
-    parts = [one(k, p) for k, p in METHODS.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("method", "family", "r", "wt", "mut", "ddg")
+    return ddg.consensus_by(counts, refs, {k: (p, 3 + p) for k, p in METHODS.items()})
 
 
 def newicks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,3 +81,27 @@ def test_components(spark):
     want = groups({n for p in real for n in p}, real)
     assert got == want
     assert graphs.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_strict_values_of_a_structure(spark):
+    from stabilis.operators import ddg as D
+
+    ddg = [("f", 1, "A", "C", 1.0), ("f", 1, "A", "D", 2.0), ("f", 2, "K", "C", 0.5)]
+    table = lambda rows: spark.createDataFrame(rows, "family string, r int, wt string, mut string, ddg double")
+    pairs = lambda rows: spark.createDataFrame(rows, "family string, r int, prot string, wt string")
+    good = D.rebased(table(ddg), pairs([("f", 1, "C", "A"), ("f", 2, "K", "K")]), strict=True)
+    assert sorted((r.r, r.wt, r.mut, r.ddg) for r in good.collect()) == [(1, "C", "A", -1.0), (1, "C", "D", 1.0), (2, "K", "C", 0.5)]
+    for rows, wanted, why in ((ddg + ddg[:1], [("f", 1, "A", "A")], "two values"), (ddg, [("f", 3, "A", "A")], "no value"), (ddg, [("f", 1, "W", "A")], "no value")):
+        with pytest.raises(Exception, match=why):
+            D.rebased(table(rows), pairs(wanted), strict=True).collect()
+
+
+def test_consensus_of_several_methods(spark):
+    from stabilis.operators import ddg as D
+
+    counts = spark.createDataFrame([("f", 1, a, n) for a, n in (("A", 9), ("C", 3), ("D", 0))], "family string, site int, aa string, n long")
+    refs = spark.createDataFrame([("f", 1, "A")], "family string, site int, wt string")
+    every = {(r.method, r.mut): r.ddg for r in D.consensus_by(counts, refs, {"x": (1, 0), "y": (0, 1), "z": (2, 4)}).collect()}
+    for name, p, t in (("x", 1, 0), ("y", 0, 1), ("z", 2, 4)):
+        assert {r.mut: r.ddg for r in D.consensus(counts, refs, p, t).collect()} == {m: v for (k, m), v in every.items() if k == name}
+    assert every["y", "D"] is None and every["z", "C"] is not None and every["z", "D"] is None
