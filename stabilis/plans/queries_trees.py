@@ -13,6 +13,7 @@ from ..operators import clusters as C
 from ..operators import distances as D
 from ..operators import edges as E
 from ..operators import inference as I
+from ..operators import leastsquares as Q
 from ..operators import model as M
 from ..operators import trees as T
 from ..operators.tables import fresh_folder, stored
@@ -238,6 +239,17 @@ def average_linkage(spark, d):
     return nodes.select("family", "first", "size", "parent_first", "parent_size", "side", F.round("branch", 9).alias("branch"), F.round("height", 9).alias("height"))
 
 
+@query()
+def least_squares_lengths(spark, d):
+    """The same trees with branch lengths by weighted least squares of the distances."""
+    family = V.relatives(spark, d)
+    pairs = stored(D.f84_distances(family).withColumn("distance", F.coalesce("distance", F.lit(5.0))))
+    edges = stored(C.as_edges(C.average_linkage(pairs), family).withColumn("tree_id", F.col("tree_id").cast("long")))
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    told = pairs.select(F.col("family").cast("long").alias("tree_id"), name("a").alias("a"), name("b").alias("b"), "distance")
+    return Q.fitted(edges, told).withColumn("branch", F.round("branch", 6))
+
+
 def heaps(spark, d):
     """(tree_id, node, parent, side, name, branch): each nation's suppliers as a heap, two children or none."""
     s = V.table(spark, d, "supplier")
