@@ -74,12 +74,14 @@ def single_linkage(seqs: DataFrame, identity: float = 0.9, coverage: float = 0.9
     if not 0.5 <= identity <= 1 or not 0 <= coverage <= 1:
         raise ValueError("identity is within 0.5 and 1, coverage within 0 and 1")
     rows = seqs.select("family", "pos", F.upper(F.regexp_replace(F.coalesce("seq", F.lit("")), "-", "")).alias("letters"))
-    kinds = rows.groupBy("family", "letters").agg(F.min("pos").alias("first"), F.count("*").alias("rows")).withColumn("n", F.length("letters"))
+    # 128 bits in place of the letters as a key, so that these are shuffled once
+    rows = rows.withColumn("h", F.xxhash64("letters")).withColumn("g", F.xxhash64(F.lit(1), "letters"))
+    kinds = rows.groupBy("family", "h", "g").agg(F.min("pos").alias("first"), F.count("*").alias("rows"), F.any_value("letters").alias("letters")).withColumn("n", F.length("letters"))
     kinds = stored(kinds.withColumn("uid", F.monotonically_increasing_id()))
     edges = stored(linked(kinds, identity, coverage).select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = components(edges)
     grouped = kinds.join(label.withColumnRenamed("node", "uid"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     group = grouped.groupBy("label").agg(F.min("first").alias("cluster"), F.sum("rows").alias("size"))
-    known = stored(grouped.join(group, "label").select("family", "letters", "cluster", "size"))
+    known = stored(grouped.join(group, "label").select("family", "h", "g", "cluster", "size"))
     dropped(kinds, edges, label)
-    return rows.join(known, ["family", "letters"]).select("family", "pos", "cluster", "size")
+    return rows.select("family", "pos", "h", "g").join(known, ["family", "h", "g"]).select("family", "pos", "cluster", "size")
