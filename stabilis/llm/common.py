@@ -7,6 +7,7 @@ single text is the smallest unit of work: a row has to fit in memory, as it has
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import tempfile
 import uuid
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes and rows of text that a task turns into arrays at a time.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 4000
+#: Spark's setting by which the shuffle files of a query are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,14 +48,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with released_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete the shuffle files of finished steps: it follows the driver's
-    garbage collection, which a loop of large shuffles and little work on the driver seldom sets off."""
-    spark.sparkContext._jvm.System.gc()
+@contextlib.contextmanager
+def released_shuffles(spark: SparkSession):
+    """Shuffle files of what is executed inside go at its end, as nothing reads a finished write's again;
+    otherwise they stay until the driver happens to collect garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def forget(df: DataFrame | None) -> None:
