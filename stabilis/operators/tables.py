@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of a query are deleted at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def fresh_folder(spark: SparkSession) -> str:
     """A path for a new table below ``spark.checkpoint.dir``.
@@ -24,10 +27,18 @@ def fresh_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table and read again, its lineage cut."""
+    """``df`` written as a table and read again, its lineage cut; its shuffle files go at once."""
     spark = df.sparkSession
     path = fresh_folder(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
