@@ -4,9 +4,9 @@ Plain identifiers are found first.  Then transducers rewrite the text and keep,
 character they write, the range of source characters that it stands for: lookalike characters
 become ASCII and invisible ones go, at and dot disguises become ``@`` and ``.``, spelled digits
 become digits.  What the same detectors find in the rewritten text is mapped back to the source;
-it is added where it touches no plain identifier of its kind, or holds all of those that it
-touches and more (a disguise inside an address), so plain ones always stay, and what is masked is
-their union.
+it is added where it touches no plain identifier of its kind, or is an address that holds all of those
+that it touches and more (a disguise inside its user), so plain ones always stay, and what is masked
+is their union.
 
 Disguised addresses have a user of 64 characters at most and hosts of at most nine labels of 63,
 the limits of real addresses, and up to three spaces at each sign; digits mixed with letters that look
@@ -221,7 +221,7 @@ def find(text: str) -> tuple[dict, dict]:
             while i < len(have) and have[i][1] <= b:
                 i += 1
             held = [h for h in itertools.takewhile(lambda h: h[0] < e, itertools.islice(have, i, None))]  # noqa: B023
-            if (b, e) not in held and all(b <= x and y <= e for x, y in held):
+            if not held or kind == "email" and (b, e) not in held and all(b <= x and y <= e for x, y in held):
                 new.append((b, e))
         every[kind] = sorted(have + new)
     return base, every
