@@ -21,6 +21,7 @@ from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import model as M
 from ..operators import pairwise as P
+from ..operators import stepwise as W
 from ..operators import trees as T
 from ..sources import text
 
@@ -73,10 +74,10 @@ def family_tree(aln: DataFrame, kind: str = "UPGMA", distance: str = "difference
     """A Newick text of the one family of ``aln``.
 
     ``distance``: differences (shares of differing columns), or protein or dna, those of greatest
-    likelihood with rates of variation ``cv``; a pair without one is as far as the farthest.  UPGMA is
-    built by joins and sums on the table of pairs, NJ (from differences) in one task.
+    likelihood with rates of variation ``cv``; a pair without one is as far as the farthest.  UPGMA and
+    FITCH (weighted least squares) are built by joins and sums on the table of pairs, NJ (from differences) in one task.
     """
-    if kind != "UPGMA":
+    if kind not in ("UPGMA", "FITCH"):
         return C.distance_trees(aln, kind).first()["newick"]
     if distance == "differences":
         pairs = N.pairs(aln).select("family", "a", "b", (R.hamming(F.col("seq_a"), F.col("seq_b")) / F.length("seq_a")).alias("distance"))
@@ -84,6 +85,10 @@ def family_tree(aln: DataFrame, kind: str = "UPGMA", distance: str = "difference
         pairs = N.likely_distances(aln, distance, cv)
         farthest = pairs.agg(F.coalesce(F.max("distance"), F.lit(1.0)).alias("most"))
         pairs = pairs.crossJoin(F.broadcast(farthest)).select("family", "a", "b", F.coalesce("distance", "most").alias("distance"))
+    if kind == "FITCH":
+        name = lambda end: aln.select("family", F.col("pos").alias(end), F.col("header").alias(f"name_{end}"))
+        named = pairs.join(name("a"), ["family", "a"]).join(name("b"), ["family", "b"])
+        return E.newicks(W.least_squares_trees(named.select(F.lit(0).alias("tree_id"), F.col("name_a").alias("a"), F.col("name_b").alias("b"), "distance"))).first()["newick"]
     return E.newicks(C.as_edges(C.average_linkage(pairs), aln.select("family", "pos", "header"))).first()["newick"]
 
 

@@ -15,6 +15,7 @@ from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import leastsquares as Q
 from ..operators import model as M
+from ..operators import stepwise as W
 from ..operators import trees as T
 from ..operators.tables import fresh_folder, stored
 from ..sources import outfile, table_functions
@@ -250,6 +251,15 @@ def least_squares_lengths(spark, d):
     return Q.fitted(edges, told).withColumn("branch", F.round("branch", 6))
 
 
+@query()
+def least_squares_trees(spark, d):
+    """Trees of related suppliers, shapes and lengths, by weighted least squares of their F84 distances."""
+    pairs = D.f84_distances(V.relatives(spark, d)).withColumn("distance", F.coalesce("distance", F.lit(5.0)))
+    name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    told = stored(pairs.select(F.col("family").cast("long").alias("tree_id"), name("a").alias("a"), name("b").alias("b"), "distance"))
+    return W.least_squares_trees(told).withColumn("branch", F.round("branch", 6))
+
+
 def heaps(spark, d):
     """(tree_id, node, parent, side, name, branch): each nation's suppliers as a heap, two children or none."""
     s = V.table(spark, d, "supplier")
