@@ -2,14 +2,16 @@
 
 The content view sees the bytes of a text: how often each occurs, how words are made up.  The
 metadata view sees source, language and length.  Each view is a logistic regression; over some
-rounds each gives the other the labels that it is most sure of on documents without labels, at
+rounds each gives the other the labels that it is most sure of on all documents without labels, at
 a calibrated confidence of ``sure`` or more.  Both views are then calibrated on labelled
 documents that neither has learned from, and a regression on the two calibrated scores combines
 them.  A document is kept if the combined probability of quality is at least one half.
 
-Learning fits on at most ``Settings.labelled`` labelled documents and ``Settings.unlabelled``
-others, those with the least hashes of their ids, one row of each id (that of the least text);
-this is the documented bound of the sample.
+Learning fits on at most ``Settings.labelled`` labelled documents, those with the least hashes of their
+ids, one row of each id (that of the least text); this is the documented bound of the sample.  Documents
+without labels all take part, one row of each id, and each row without an id: their features are a table, and
+what a view learns from those that it has been told of are sums over it, of slopes and curvatures, for
+``newton`` steps in each round.  A told label stays.
 Scores are of whole texts of all documents.  Null and empty texts get score 0 and are not kept;
 null metadata counts as a value of its own; rows that repeat get equal scores; an empty table
 gives an empty result; without labels of
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, slices, utf8, word_names, words
+from .common import SPACE, checkpoint, forget, slices, utf8, word_names, words
 
 
 @dataclass(frozen=True)
 class Settings:
     labelled: int = 6000
-    unlabelled: int = 4000
     rounds: int = 3
+    newton: int = 2
     sure: float = 0.97
     penalty: float = 1e-3
     steps: int = 300
@@ -139,6 +141,60 @@ def one(z: np.ndarray) -> np.ndarray:
 PLAIN = Settings(penalty=1e-3, steps=400, balanced=False)
 
 
+#: The models of a round with their calibrations.
+Round = tuple[list[Logistic], list[Logistic]]
+#: Size of a part of the sums of a task, in numbers.
+PART = 1 << 13
+#: No step of Newton's moves the logit of a labelled row by more.
+REACH = 4.0
+
+
+def told_labels(others: list[np.ndarray], history: list[Round], sure: float) -> list[np.ndarray]:
+    """What each view has been told of each row over the rounds, -1 for nothing."""
+    labels = [np.full(len(others[0]), -1) for _ in others]
+    for models, scale in history:
+        for i in range(len(others)):
+            p = sigmoid(scale[i](one(models[i](others[i]))))
+            for j in range(len(others)):
+                if j != i:
+                    new = (np.maximum(p, 1 - p) >= sure) & (labels[j] < 0)
+                    labels[j][new] = (p[new] >= 0.5).astype(int)
+    return labels
+
+
+def slopes(m: Logistic, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For both kinds, in one row: number of rows, slope and curvature of their loss by weights and bias."""
+    out = []
+    for kind in (0, 1):
+        z = ((x[y == kind] - m.mean) / m.scale).astype(np.float32)
+        z = np.concatenate([z, np.ones((len(z), 1), np.float32)], axis=1)
+        p = sigmoid(z @ np.append(m.weight, m.bias).astype(np.float32)).astype(np.float32)
+        h = (z * (p * (1 - p))[:, None]).T @ z
+        out += [[len(z)], (p - kind) @ z, h.ravel()]
+    return np.concatenate(out).astype(float)
+
+
+def told_slopes(others: list[np.ndarray], history: list[Round], models: list[Logistic], sure: float) -> np.ndarray:
+    """Those of all views, over the rows that each has been told of."""
+    labels = told_labels(others, history, sure)
+    return np.concatenate([slopes(m, x[y >= 0], y[y >= 0]) for m, x, y in zip(models, others, labels, strict=True)])
+
+
+def stepped(m: Logistic, x: np.ndarray, y: np.ndarray, more: np.ndarray, s: Settings) -> Logistic:
+    """One step of Newton's for labelled rows and sums of others."""
+    d = len(m.weight) + 1
+    both = (slopes(m, x, y) + more).reshape(2, 1 + d + d * d)
+    n = both[:, 0]
+    share = 0.5 / np.maximum(1, n) if s.balanced else np.full(2, 1 / n.sum())
+    pull = np.append(np.full(d - 1, s.penalty), 1e-9)
+    at = np.append(m.weight, m.bias)
+    slope = share @ both[:, 1 : 1 + d] + pull * at
+    step = np.linalg.solve((share @ both[:, 1 + d :]).reshape(d, d) + np.diag(pull), slope)
+    far = np.abs((x - m.mean) / m.scale @ step[:-1] + step[-1]).max(initial=0)
+    at = at - step * min(1.0, REACH / max(far, 1e-12))
+    return Logistic(m.mean, m.scale, at[:-1], float(at[-1]))
+
+
 @dataclass
 class CoTrained:
     views: list[Logistic]
@@ -147,28 +203,25 @@ class CoTrained:
     added: list[int]
 
     @classmethod
-    def fit(cls, views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, others: list[np.ndarray], s: Settings) -> CoTrained:
-        """``fold`` marks the labelled rows kept for calibration; ``others`` have no labels."""
+    def fit(cls, views: list[np.ndarray], y: np.ndarray, fold: np.ndarray, others, s: Settings) -> CoTrained:
+        """``fold`` marks the labelled rows kept for calibration; ``others`` have no labels: their features, or
+        a function of the rounds so far and the models that gives ``told_slopes`` of all."""
         learn = ~fold
-        labels = [np.full(len(others[0]), -1) for _ in views]  # what each view has been told
-        added = []
+        told = others if callable(others) else lambda history, models: told_slopes(others, history, models, s.sure)
+        models = [Logistic.fit(x[learn], y[learn], s) for x in views]
+        history, added = [], []
         for r in range(s.rounds + 1):
-            models = []
-            for x, o, told in zip(views, others, labels, strict=True):
-                has = told >= 0
-                models.append(Logistic.fit(np.concatenate([x[learn], o[has]]), np.concatenate([y[learn], told[has]]), s))
             scale = [Logistic.fit(one(m(x[fold])), y[fold], PLAIN) for m, x in zip(models, views, strict=True)]
             if r == s.rounds:
                 break
-            told = 0
-            for i in range(len(views)):
-                p = sigmoid(scale[i](one(models[i](others[i]))))
-                for j in range(len(views)):
-                    if j != i:
-                        sure = (np.maximum(p, 1 - p) >= s.sure) & (labels[j] < 0)
-                        labels[j][sure] = (p[sure] >= 0.5).astype(int)
-                        told += int(sure.sum())
-            added.append(told)
+            history.append((models, scale))
+            for step in range(s.newton):
+                more = told(history, models)
+                sizes = [2 * (1 + d + d * d) for d in (x.shape[1] + 1 for x in views)]
+                parts = np.split(more, np.cumsum(sizes)[:-1])
+                models = [stepped(m, x[learn], y[learn], p, s) for m, x, p in zip(models, views, parts, strict=True)]
+                if not step:
+                    added.append(int(sum(p[0] + p[len(p) // 2] for p in parts)) - sum(added))
         both = np.stack([c(one(m(x[fold]))) for c, m, x in zip(scale, models, views, strict=True)], axis=1)
         return cls(models, scale, Logistic.fit(both, y[fold], PLAIN), added)
 
@@ -178,43 +231,90 @@ class CoTrained:
         return [sigmoid(v) for v in z] + [sigmoid(self.joint(np.stack(z, axis=1)))]
 
 
-def featured(batches):
+def featured(keep: tuple[str, ...]):
+    """Tasks that give the columns ``keep`` and the features of both views."""
+
+    def run(batches):
+        for b in batches:
+            off, data = utf8(b.column("text"))
+            out = []
+            for i, j in slices(off):
+                out.append(content(off[i : j + 1] - off[i], data[off[i] : off[j]]))
+            x = np.concatenate(out) if out else np.zeros((0, N_CONTENT), np.float32)
+            m = metadata(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
+            rows = [pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, m)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *rows], names=[*keep, "content", "metadata"])
+
+    return run
+
+
+def features(column) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1)
+
+
+def summed(history: list[Round], models: list[Logistic], sure: float):
+    """Tasks that give ``told_slopes`` of their rows, in parts."""
+
+    def run(batches):
+        total = 0.0
+        for b in batches:
+            if b.num_rows:
+                total = total + told_slopes([features(b.column(c)) for c in ("content", "metadata")], history, models, sure)
+        if not np.isscalar(total):
+            parts = [total[i : i + PART].tobytes() for i in range(0, len(total), PART)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
+
+    return run
+
+
+def added_up(batches):
+    """Sums of equal parts, one row each."""
+    have: dict[int, np.ndarray] = {}
     for b in batches:
-        off, data = utf8(b.column("text"))
-        out = []
-        for i, j in slices(off):
-            out.append(content(off[i : j + 1] - off[i], data[off[i] : off[j]]))
-        x = np.concatenate(out) if out else np.zeros((0, N_CONTENT), np.float32)
-        m = metadata(*(b.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-        rows = [pa.array([r.tobytes() for r in v], pa.binary()) for v in (x, m)]
-        yield pa.RecordBatch.from_arrays([b.column("o"), b.column("quality"), *rows], names=["o", "quality", "content", "metadata"])
+        for k, v in zip(b.column("part").to_pylist(), b.column("sums").to_pylist(), strict=True):
+            have[k] = have.get(k, 0) + np.frombuffer(v)
+    if have:
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([v.tobytes() for v in have.values()], pa.binary())], names=["part", "sums"])
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings) -> CoTrained | None:
-    """The co-trained views, from documents whose ids have a label and others."""
+    """The co-trained views, from documents whose ids have a label and all others."""
     order = lambda c: F.xxhash64(F.lit("quality"), F.col(c))
     told = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     told = told.withColumn("o", order("doc_id"))
     some = told.orderBy("o", "doc_id").limit(s.labelled).select(F.col("doc_id").alias("l_id"), "quality")
     docs = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("text is not null and text <> ''").withColumn("o", order("doc_id"))
     mine = docs.join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
-    rest = docs.join(told.select(F.col("doc_id").alias("l_id")), F.col("doc_id") == F.col("l_id"), "left_anti").select("doc_id", "o")
-    rest = rest.orderBy("o", "doc_id").limit(s.unlabelled).select(F.col("doc_id").alias("l_id"), F.lit(-1).alias("quality"))
-    more = docs.join(F.broadcast(rest), F.col("doc_id") == F.col("l_id"))
-    one = F.min(F.struct("text", "source", "lang", "n_chars")).alias("d")
-    some = mine.unionByName(more).groupBy("l_id", "o", "quality").agg(one).select("o", "quality", "d.*")
-    rows = some.mapInArrow(featured, "o long, quality int, content binary, metadata binary").toPandas()
+    first = F.min(F.struct("text", "source", "lang", "n_chars")).alias("d")
+    some = mine.groupBy("l_id", "o", "quality").agg(first).select("o", "quality", "d.*")
+    rows = some.mapInArrow(featured(("o", "quality")), "o long, quality int, content binary, metadata binary").toPandas()
     if rows.empty:
         return None
     rows = rows.sort_values(["o", "quality", "content"])
     views = [np.array([np.frombuffer(v, np.float32) for v in rows[c]], np.float64).reshape(len(rows), -1) for c in ("content", "metadata")]
     y = rows["quality"].to_numpy()
-    labelled = y >= 0
-    fold = rows["o"].to_numpy()[labelled] % 4 == 0
-    y = y[labelled]
+    fold = rows["o"].to_numpy() % 4 == 0
     if min(len(set(y[fold])), len(set(y[~fold]))) < 2:
         return None
-    return CoTrained.fit([v[labelled] for v in views], y, fold, [v[~labelled] for v in views], s)
+    # ids are shuffled beside features and not beside texts
+    made = docs.mapInArrow(featured(("doc_id",)), T.StructType([docs.schema["doc_id"], T.StructField("content", T.BinaryType()), T.StructField("metadata", T.BinaryType())]))
+    made = made.join(told.select("doc_id"), "doc_id", "left_anti")
+    apart = F.when(F.col("doc_id").isNull(), F.xxhash64("content", "metadata", F.monotonically_increasing_id()))
+    one_each = made.withColumn("apart", apart).groupBy("doc_id", "apart").agg(F.min(F.struct("content", "metadata")).alias("d"))
+    rest = checkpoint(one_each.select("d.*"))
+    spread = docs.sparkSession.sparkContext.defaultParallelism
+
+    def sums(history: list[Round], models: list[Logistic]) -> np.ndarray:
+        each = rest.mapInArrow(summed(history, models, s.sure), "part int, sums binary").repartition(spread, "part").mapInArrow(added_up, "part int, sums binary")
+        got = {r["part"]: np.frombuffer(r["sums"]) for r in each.toLocalIterator()}
+        if got:
+            return np.concatenate([got[k] for k in sorted(got)])
+        return np.zeros(sum(2 * (1 + d + d * d) for d in (x.shape[1] + 1 for x in views)))
+
+    model = CoTrained.fit(views, y, fold, sums, s)
+    forget(rest)
+    return model
 
 
 def scorer(model: bytes):
