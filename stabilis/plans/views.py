@@ -25,18 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(family, doc_id, raw): the upper-case ASCII letters of each text."""
     docs = table(spark, sf_dir, "documents").filter("lang is not null")
-    return docs.select(F.col("lang").alias("family"), "doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")).alias("raw"))
+    return docs.select(F.col("lang").alias("family"), "doc_id", F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")).alias("raw"))
 
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(family, pos, header, seq): aligned sequences of 60 columns, with gaps for odd letters."""
-    s = letters(spark, sf_dir).withColumn("s", F.translate("raw", "BJOUXZ", "------"))
-    s = s.withColumn("b", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length("s") / BLOCK).cast("int")) - 1)))
+    """(family, pos, header, seq): aligned sequences of 60 columns, with gaps for odd letters.
+
+    A text is cut in one pass; taking each block from the whole text anew would grow with the square of its length.
+    """
+    s = letters(spark, sf_dir).withColumn("s", F.regexp_replace("raw", "[BJOUXZ]", "-"))
+    blocks = F.regexp_extract_all("s", F.lit(f"^$|.{{1,{BLOCK}}}"), F.lit(0))  # one of no letters for an empty text
+    s = s.select("family", "doc_id", F.posexplode(blocks).alias("b", "block"))
     return s.select(
         "family",
         (F.col("doc_id") * 1000000 + F.col("b")).alias("pos"),
-        F.format_string("D%d_%d", "doc_id", "b").alias("header"),
-        F.rpad(F.substring("s", F.col("b") * BLOCK + 1, F.lit(BLOCK)), BLOCK, "-").alias("seq"),
+        F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("_"), F.col("b").cast("string")).alias("header"),
+        F.rpad("block", BLOCK, "-").alias("seq"),
     )
 
 
