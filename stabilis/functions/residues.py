@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 # The alphabet, the standard code in TCAG order, base codes, names, hydropathies.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -116,13 +120,46 @@ def random_sequence(length: Column, seed: int = 0) -> Column:
     return F.when(length > 0, F.array_join(draw, "")).when(length == 0, "")
 
 
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All characters of a column as numbers, and where each row's begin; nulls count as empty."""
+    rows = ["" if x is None else x for x in texts.to_pylist()]
+    return np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)]).astype(np.int64)
+
+
+def strings(points: np.ndarray, begin: np.ndarray) -> list[str]:
+    text, at = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass"), begin.tolist()
+    return [text[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def upper_points(x: np.ndarray) -> np.ndarray:
+    return np.where((x >= ord("a")) & (x <= ord("z")), x - 32, x)
+
+
+def with_other(letter):
+    """A function of two columns that makes each letter of the first from it and the one over it in the second."""
+
+    def run(one: pa.Array, two: pa.Array) -> pa.Array:
+        (x, at), (y, other) = code_points(one), code_points(two)
+        size = np.diff(at)
+        row, place = np.repeat(np.arange(len(size)), size), np.arange(len(x)) - np.repeat(at[:-1], size)
+        inside = place < np.diff(other)[row]
+        over = np.where(inside, y[np.where(inside, other[row] + place, 0)] if len(y) else 0, 0)
+        made, kept = letter(x, over, inside)
+        begin = np.concatenate([[0], np.cumsum(kept)])[at]
+        return pa.array(strings(made[kept], begin), pa.string(), mask=np.asarray(pc.or_(one.is_null(), two.is_null())))
+
+    return run
+
+
 def add_dots(seq: Column, ref: Column) -> Column:
     """Residues that equal the reference's, but for its gaps, become dots."""
-    return F.array_join(F.zip_with(chars(seq), chars(ref), lambda a, b: F.when((F.upper(a) == F.upper(b)) & (b != "-"), ".").otherwise(a)), "")
+    letter = lambda x, y, inside: (np.where(inside & (upper_points(x) == upper_points(y)) & (y != ord("-")), ord("."), x), np.ones(len(x), bool))
+    return arrow_udf(with_other(letter), "string")(seq, ref)
 
 
 def remove_dots(seq: Column, ref: Column) -> Column:
-    return F.array_join(F.zip_with(chars(seq), chars(ref), lambda a, b: F.when(a == ".", b).otherwise(a)), "")
+    letter = lambda x, y, inside: (np.where(x == ord("."), y, x), (x != ord(".")) | inside)
+    return arrow_udf(with_other(letter), "string")(seq, ref)
 
 
 def strip_to_reference(seq: Column, ref: Column) -> Column:

@@ -5,8 +5,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..functions import residues as R
 
@@ -18,8 +22,9 @@ def reference(aln: DataFrame) -> DataFrame:
 
 
 def with_reference(aln: DataFrame) -> DataFrame:
-    """Rows with the reference of their family; there is one small row for each family."""
-    return aln.join(reference(aln), "family")
+    """Rows with the reference of their family; there is one small row for each family, which goes to all tasks,
+    as rows dealt by family would be few large groups."""
+    return aln.join(F.broadcast(reference(aln)), "family")
 
 
 def reference_sites(aln: DataFrame) -> DataFrame:
@@ -32,12 +37,63 @@ def sites(aln: DataFrame) -> DataFrame:
     return aln.select("family", "pos", F.posexplode(R.chars(F.col("seq"))).alias("i", "aa")).select("family", "pos", (F.col("i") + 1).alias("site"), "aa")
 
 
+#: Cells of counts that a task holds before it hands them on.
+CELLS, ASCII = 1 << 22, 128
+
+
+def added_up(batches):
+    """Counts of each letter at each site of each family, of as many rows as ``CELLS`` allows."""
+    held: dict[str, tuple] = {}
+
+    def rows(kind):
+        for family, n in held.values():
+            at = np.flatnonzero(n)
+            columns = [pa.array([family] * len(at), kind), pa.array(at // ASCII + 1, pa.int32()), pa.array([chr(x) for x in at % ASCII], pa.string()), pa.array(n[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["family", "site", "aa", "n"])
+        held.clear()
+
+    kind = None
+    for b in batches:
+        kind, families = b.schema.field("family").type, b.column("family").to_pylist()
+        names = np.array([repr(x) for x in families], object)
+        points, begin = R.code_points(b.column("seq"))
+        size = np.diff(begin)
+        site = np.arange(len(points)) - np.repeat(begin[:-1], size)
+        distinct, first, which = np.unique(names, return_index=True, return_inverse=True)
+        which = np.repeat(which, size)
+        order = np.argsort(which, kind="stable") if len(distinct) > 1 else np.arange(len(points))
+        ends = np.cumsum(np.bincount(which, minlength=len(distinct)))
+        for name, i, x, y in zip(distinct, first, [0, *ends[:-1]], ends, strict=True):
+            some = order[x:y]
+            some, odd = some[points[some] < ASCII], some[points[some] >= ASCII]
+            n = np.bincount(site[some] * ASCII + points[some])
+            if name in held:
+                old = held[name][1]
+                n, old = (n, old) if len(n) > len(old) else (old, n)
+                n = n.copy()
+                n[: len(old)] += old
+            held[name] = families[i], n
+            if len(odd):
+                columns = [pa.array([families[i]] * len(odd), kind), pa.array(site[odd] + 1, pa.int32()), pa.array([chr(p) for p in points[odd]], pa.string()), pa.array(np.ones(len(odd), np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["family", "site", "aa", "n"])
+            if len(held) % 64 == 0 and sum(len(n) for _, n in held.values()) > CELLS:
+                yield from rows(kind)
+    yield from rows(kind)
+
+
+def letter_counts(aln: DataFrame) -> DataFrame:
+    """(family, site, aa, n) of the letters and gaps that there are; a task adds up its own rows, without a row for each letter."""
+    rows = aln.select("family", "seq")
+    kind = rows.schema["family"].dataType.simpleString()
+    return rows.mapInArrow(added_up, f"family {kind}, site int, aa string, n long").groupBy("family", "site", "aa").agg(F.sum("n").alias("n"))
+
+
 def site_counts(aln: DataFrame) -> DataFrame:
     """(family, site, aa, n) for all 20 residues at each site; gaps don't count.
 
     Counts are added up before the shuffle; the grid has 20 rows for a family's site.
     """
-    seen = sites(aln).filter(F.col("aa") != "-").groupBy("family", "site", "aa").agg(F.count("*").alias("n"))
+    seen = letter_counts(aln).filter(F.col("aa") != "-")
     width = aln.groupBy("family").agg(F.max(F.length("seq")).alias("w"))
     aas = F.array(*map(F.lit, R.AMINO_ACIDS))
     grid = width.filter("w > 0").select("family", F.explode(F.sequence(F.lit(1), "w")).alias("site")).select("family", "site", F.explode(aas).alias("aa"))
@@ -51,38 +107,53 @@ def frequencies(aln: DataFrame, pseudocount: float = 0.0) -> DataFrame:
     return site_counts(aln).withColumn("freq", F.when(total > 0, n / total))
 
 
-def pair_statistics(a, b, double_gaps: bool = True):
-    """Struct (identity, gaps) of two aligned strings; null if nothing can be compared."""
-    # one letter for each column, made once and bound by the transform of a single element
-    kind = lambda x, y: F.when((x == "-") & (y == "-"), "2").when((x == "-") | (y == "-"), "1").when(x == y, "=").otherwise("/")
-    columns = F.array_join(F.zip_with(R.chars(F.upper(a)), R.chars(F.upper(b)), kind), "")
-    count = lambda c, of: F.length(c) - F.length(F.translate(c, of, ""))
+def shares(one: pa.Array, two: pa.Array) -> pa.Array:
+    """(identity, gaps, both) of the pairs of two columns; ``both`` counts columns of two gaps."""
+    (x, at), (y, other) = R.code_points(one), R.code_points(two)
+    good = (np.diff(at) == np.diff(other)) & np.asarray(pc.and_(one.is_valid(), two.is_valid()))
+    if not good.all():  # only pairs of one length are compared
+        (x, at), (y, other) = (R.code_points(c.filter(pa.array(good))) for c in (one, two))
+    a, b = x == ord("-"), y == ord("-")
+    told = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[at])
+    n, gaps, both, same = np.diff(at), told(a | b), told(a & b), told((R.upper_points(x) == R.upper_points(y)) & ~(a | b))
+    out = np.zeros((3, len(good)))
+    out[0, good], out[1, good], out[2, good] = same / np.maximum(n - gaps, 1), gaps / np.maximum(n, 1), both
+    known, some = good.copy(), good.copy()
+    known[good], some[good] = n > gaps, n > 0
+    fields = [pa.array(out[0], mask=~known), pa.array(out[1], mask=~some), pa.array(out[2].astype(np.int64))]
+    return pa.StructArray.from_arrays(fields, names=["identity", "gaps", "both"], mask=pa.array(~good))
 
-    def shares(c):
-        gaps = count(c, "12")
-        out = F.struct((count(c, "=") / F.nullif(F.length(c) - gaps, F.lit(0))).alias("identity"), (gaps / F.nullif(F.length(c), F.lit(0))).alias("gaps"))
-        if double_gaps:
-            return out
-        return F.when(c.contains("2"), F.raise_error(F.lit("both sequences have a gap")).cast("struct<identity:double,gaps:double>")).otherwise(out)
 
-    return F.when(F.length(a) == F.length(b), F.transform(F.array(columns), shares)[0])
+def pair_statistics(a, b, double_gaps: bool = True):
+    """Struct (identity, gaps) of two aligned strings; null if nothing can be compared."""
+    s = arrow_udf(shares, "identity double, gaps double, both long")(a, b)
+    out = F.when(s.isNotNull(), F.struct(s["identity"].alias("identity"), s["gaps"].alias("gaps")))
+    if double_gaps:
+        return out
+    return F.when(s["both"] > 0, F.raise_error(F.lit("both sequences have a gap")).cast("struct<identity:double,gaps:double>")).otherwise(out)
 
 
 def glycan_sites(aln: DataFrame) -> DataFrame:
     """(family, pos, site0): starts of N-X-[ST], X not P, over gaps; 0-based, gaps counted."""
-    w = Window.partitionBy("family", "pos").orderBy("site")
-    s = sites(aln).filter(F.col("aa") != "-").withColumn("x", F.lead("aa", 1).over(w)).withColumn("z", F.lead("aa", 2).over(w))
-    return s.filter("aa = 'N' and x <> 'P' and z in ('S', 'T')").select("family", "pos", (F.col("site") - 1).alias("site0"))
+    # what stands between the starts; only these are looked at, a row is not taken apart
+    parts = aln.select("family", "pos", F.split("seq", "N(?=-*[^P-]-*[ST])", -1).alias("parts")).filter(F.size("parts") > 1)
+    starts = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), i - 1, lambda n, x: n + F.length(x)))
+    return parts.select("family", "pos", F.explode(starts).alias("site0"))
 
 
 def corresponding_residues(aln: DataFrame) -> DataFrame:
     """(family, pos, ref_i, seq_i): ungapped 0-based indices of the reference and of each row;
-    seq_i is null at its gaps."""
-    pairs = with_reference(aln).select("family", "pos", F.posexplode(F.arrays_zip(R.chars(F.col("seq")).alias("a"), R.chars(F.col("ref")).alias("b"))).alias("i", "x"))
-    w = Window.partitionBy("family", "pos").orderBy("i")
-    index = lambda c: F.sum((F.col(c) != "-").cast("int")).over(w) - 1
-    out = pairs.withColumn("seq_i", F.when(F.col("x.a") != "-", index("x.a"))).withColumn("ref_i", index("x.b"))
-    return out.filter(F.col("x.b") != "-").select("family", "pos", F.col("ref_i").cast("int"), F.col("seq_i").cast("int"))
+    seq_i is null at its gaps.
+
+    A residue's index is told from the letters before it, so nothing is sorted or dealt by row.
+    """
+    refs = reference(aln).select("family", F.col("ref"), F.posexplode(R.chars(F.col("ref"))).alias("i", "b")).filter("b <> '-'")
+    before = lambda c: F.length(F.replace(F.substring(c, F.lit(1), F.col("site")), F.lit("-"), F.lit(""))) - 1
+    refs = refs.withColumn("site", F.col("i") + 1).select("family", "site", before(F.col("ref")).alias("ref_i"))
+    rows = aln.select("family", "pos", "seq", F.instr("seq", "-").alias("gap"))
+    index = F.when((F.col("gap") == 0) | (F.col("site") < F.col("gap")), F.col("site") - 1).otherwise(before(F.col("seq")))
+    letter = F.substring(F.col("seq"), F.col("site"), F.lit(1))
+    return rows.join(F.broadcast(refs), "family").select("family", "pos", F.col("ref_i").cast("int"), F.when((letter != "-") & (letter != ""), index).cast("int").alias("seq_i"))
 
 
 def first_of_each(aln: DataFrame) -> DataFrame:
@@ -134,23 +205,33 @@ def family_identity(aln: DataFrame, most: int = 100) -> DataFrame:
     return to_ref.join(within, "family", "left").select("family", "within", "to_ref")
 
 
+#: Rows of a family that one task of ``central`` compares with the family's counts.
+COMPARED = 10_000
+
+
 def central(aln: DataFrame) -> DataFrame:
     """(family, pos, mean_differences): the row with the least mean Hamming distance to the others.
 
     The distances of a row to all others add up over sites, so counts by site give them without
     comparing pairs; X differs from everything, and equal means go to the first row.  The counts of a
-    family are one row, with a small map for each site, so the rows aren't taken apart again.
+    family are one row, with a small map for each site, so the rows aren't taken apart again.  Counts of a large
+    family are handed to several tasks, each with a part of its rows.
     """
     total = aln.groupBy("family").agg(F.count("*").alias("m"))
-    counts = sites(aln).groupBy("family", "site", "aa").agg(F.count("*").alias("n"))
+    counts = letter_counts(aln)
     by_site = counts.groupBy("family", "site").agg(F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("n"))
     listed = F.array_sort(F.collect_list(F.struct("site", "n")), lambda x, y: x["site"] - y["site"])
-    each = by_site.groupBy("family").agg(listed.alias("x")).select("family", F.col("x.n").alias("counts"))
-    told = aln.filter(F.length("seq") > 0).select("family", "pos", R.chars(F.col("seq")).alias("aa")).join(each, "family").join(total, "family")
+    parts = F.ceil(F.col("m") / COMPARED).cast("int")
+    each = by_site.groupBy("family").agg(listed.alias("x")).join(total, "family").select("family", F.col("x.n").alias("counts"), "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    # one row for so many rows of the table at least
+    large = total.filter(parts > 1).select("family", parts.alias("parts"))
+    told = aln.filter(F.length("seq") > 0).join(F.broadcast(large), "family", "left")
+    told = told.select("family", F.pmod(F.xxhash64("pos"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "pos", "seq").join(each, ["family", "part"])
+    told = told.withColumn("aa", R.chars(F.col("seq")))
     shared = F.zip_with("aa", F.slice("counts", F.lit(1), F.size("aa")), lambda a, n: F.when(a == "X", F.lit(0).cast("long")).otherwise(F.element_at(n, a) - 1))
     same = F.aggregate(shared, F.lit(0).cast("long"), lambda s, x: s + x)
-    mean = told.select("family", "pos", F.when(F.col("m") > 1, F.size("aa") - same / (F.col("m") - 1)).otherwise(0.0).alias("d"))
-    best = mean.groupBy("family").agg(F.min(F.struct("d", "pos")).alias("x"))
+    mean = told.select("family", "part", "pos", F.when(F.col("m") > 1, F.size("aa") - same / (F.col("m") - 1)).otherwise(0.0).alias("d"))
+    best = mean.groupBy("family", "part").agg(F.min(F.struct("d", "pos")).alias("x")).groupBy("family").agg(F.min("x").alias("x"))
     return best.select("family", F.col("x.pos").alias("pos"), F.col("x.d").alias("mean_differences"))
 
 

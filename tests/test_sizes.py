@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from stabilis.operators import alignment as A
 from stabilis.plans import catalog
 from stabilis.plans import views as V
 
@@ -35,3 +36,22 @@ def test_blocks_are_cut_in_one_pass(spark, folder):
     assert rows == sorted(blocks + empty)
     # no block is taken by its place from a copy of the whole text
     assert "substring(" not in V.proteins(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_letters_are_counted_without_rows_for_them(spark):
+    rows = [("f", 1, "a", "AC-é"), ("f", 2, "b", "AD-"), ("g", 3, "c", ""), ("h", 4, "d", "K")]
+    d = spark.createDataFrame(rows, "family string, pos long, header string, seq string")
+    got = {tuple(r) for r in A.letter_counts(d).collect()}
+    assert got == {("f", 1, "A", 2), ("f", 2, "C", 1), ("f", 2, "D", 1), ("f", 3, "-", 2), ("f", 4, "é", 1), ("h", 1, "K", 1)}
+    for plan in (A.site_counts(d), A.central(d), A.glycan_sites(d), A.corresponding_residues(d)):
+        assert "posexplode(split(seq" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_large_family_is_compared_in_parts(spark, monkeypatch):
+    rows = [("f", i, "", "ACDX"[i % 3 :] + "K" * (i % 3)) for i in range(50)] + [("g", 99, "", "A")]
+    d = spark.createDataFrame(rows, "family string, pos long, header string, seq string")
+    whole = sorted(map(tuple, A.central(d).collect()))
+    monkeypatch.setattr(A, "COMPARED", 7)
+    assert sorted(map(tuple, A.central(d).collect())) == whole
+    mean = {p: sum(sum(x != y or x == "X" for x, y in zip(s, t, strict=True)) for _, q, _, t in rows[:50] if q != p) / 49 for _, p, _, s in rows[:50]}
+    assert whole[0][:2] == ("f", min(mean, key=lambda p: (round(mean[p], 9), p))) and whole[1] == ("g", 99, 0.0)
