@@ -91,13 +91,12 @@ def letter_counts(aln: DataFrame) -> DataFrame:
 def site_counts(aln: DataFrame) -> DataFrame:
     """(family, site, aa, n) for all 20 residues at each site; gaps don't count.
 
-    Counts are added up before the shuffle; the grid has 20 rows for a family's site.
+    Every site has a letter or a gap, so the grid of 20 rows for a family's site comes from the counts
+    themselves, in one pass over the rows.
     """
-    seen = letter_counts(aln).filter(F.col("aa") != "-")
-    width = aln.groupBy("family").agg(F.max(F.length("seq")).alias("w"))
-    aas = F.array(*map(F.lit, R.AMINO_ACIDS))
-    grid = width.filter("w > 0").select("family", F.explode(F.sequence(F.lit(1), "w")).alias("site")).select("family", "site", F.explode(aas).alias("aa"))
-    return grid.join(seen, ["family", "site", "aa"], "left").select("family", "site", "aa", F.coalesce("n", F.lit(0)).alias("n"))
+    each = letter_counts(aln).groupBy("family", "site").agg(F.map_from_entries(F.collect_list(F.struct("aa", "n"))).alias("told"))
+    grid = each.select("family", "site", "told", F.explode(F.array(*map(F.lit, R.AMINO_ACIDS))).alias("aa"))
+    return grid.select("family", "site", "aa", F.coalesce(F.try_element_at("told", F.col("aa")), F.lit(0)).alias("n"))
 
 
 def frequencies(aln: DataFrame, pseudocount: float = 0.0) -> DataFrame:
