@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from stabilis.operators import clusters as C
 from stabilis.operators import graphs, linkage
 
 
@@ -105,3 +106,18 @@ def test_consensus_of_several_methods(spark):
     for name, p, t in (("x", 1, 0), ("y", 0, 1), ("z", 2, 4)):
         assert {r.mut: r.ddg for r in D.consensus(counts, refs, p, t).collect()} == {m: v for (k, m), v in every.items() if k == name}
     assert every["y", "D"] is None and every["z", "C"] is not None and every["z", "D"] is None
+
+
+def test_average_linkage_in_a_task_and_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f, i, j, rng.randint(1, 9) / 8) for f, n in ((1, 9), (2, 5), (3, 2)) for i in range(n) for j in range(i + 1, n)]
+    d = spark.createDataFrame(rows, "family long, a long, b long, distance double")
+    told = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select("family", "first", "size", "side", "parent_first", "parent_size", "branch", "height").na.fill("").na.fill(-1).collect())
+    one = told(C.average_linkage(d))
+    with monkeypatch.context() as m:
+        m.setattr(C, "HELD", 4)  # only the last family is held
+        assert told(C.average_linkage(d)) == one
+    # rounds without jobs: the plan is one of groups
+    m = monkeypatch
+    m.setattr(C, "linked_by_joins", None)
+    assert len(told(C.average_linkage(d))) == 17 + 9 + 3
