@@ -36,6 +36,8 @@ SHINGLE, BITS = 5, 52
 CELLS, BLOCK, ROUNDS = 1 << 17, 1 << 11, 2
 #: Bits of the map of classes that texts are read again for.
 MAP_BITS = 1 << 24
+#: Parts of the tokens that are shuffled one after the other.
+PARTS = 2
 #: Seeds of the token orders; the first one groups candidates, the others filter them.
 ORDERS = (0, 101, 202)
 KNOWN, DEALT = 1, 2
@@ -139,8 +141,11 @@ def prefix(token: np.ndarray, begin: np.ndarray, level: np.ndarray, seed: int, t
     return name[keep], rank[keep], row[keep]
 
 
-def prefixes(level: np.ndarray, t: int):
-    """A row for each prefix token of each class of a slice, a token with company here settled."""
+def prefixes(level: np.ndarray, t: int, part: int = 0, parts: int = 1):
+    """A row for each prefix token of each class of a slice, a token with company here settled.
+
+    Only tokens of one of some parts: what becomes of a token depends on its own rows alone.
+    """
 
     def run(batches):
         for b in batches:
@@ -152,7 +157,7 @@ def prefixes(level: np.ndarray, t: int):
                 _, one = np.unique(h, return_index=True)
                 mine = np.zeros(len(n), bool)
                 mine[one] = True
-                mine = mine[row]
+                mine = mine[row] & (name % U64(parts) == U64(part))
                 row = row[mine]
                 yield company(name[mine].view(np.int64), h[row], n[row].astype(np.int32), rank[mine].astype(np.int32))
 
@@ -414,7 +419,11 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         sketch[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] += np.frombuffer(r["counts"], np.int64)
     level = levels(sketch)
     texts = docs.select("text")
-    groups = checkpoint(texts.mapInArrow(prefixes(level, t), TOKENS).repartition(n, "key").mapInArrow(shared(t), "token long, cls long, n int, rank int"))
+    # a part of the tokens at a time, as their shuffle is the largest one and goes when the part is written
+    groups = None
+    for part in range(PARTS):
+        some = checkpoint(texts.mapInArrow(prefixes(level, t, part, PARTS), TOKENS).repartition(n, "key").mapInArrow(shared(t), "token long, cls long, n int, rank int"))
+        groups = some if groups is None else groups.union(some)
     share = groups.groupBy("cls").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * t / 100) + 1)).alias("share"))
     g = groups.join(share, "cls").withColumn("label", F.col("cls"))
     links = tested = label = kept = None

@@ -71,3 +71,15 @@ def test_bytes_that_are_no_utf8(spark):
     assert (got.n_email, got.spans) == (1, "email:4:18") and got.base_sha256 == hashlib.sha256(b"email:4:18").hexdigest()
     assert pii.mask_pii(d).select(F.hex(F.col("text").cast("binary"))).first()[0] == "68E9FF203C656D61696C3EFF"
     assert language_id.letters_of(np.frombuffer(b"h\xe9\xff \xc3\xa9\xf0\x9d\x94\xb8", np.uint8)).tolist() == [True, False, False, False, True, True, True, True, True, True]
+
+
+def test_prefix_tokens_in_parts():
+    import pyarrow as pa
+
+    from stabilis.llm import jaccard_join as J
+
+    texts = pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i % k}" for i in range(40)) for k in range(7, 40)]})
+    level = np.zeros(J.CELLS, np.uint64)
+    told = lambda *part: sorted(r for b in J.prefixes(level, 75, *part)(iter([texts])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    halves = [told(k, 2) for k in range(2)]
+    assert sorted(halves[0] + halves[1]) == told() and min(map(len, halves)) > 0
