@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distances import Reversible
-from .inference import dealt, levels
+from .inference import TOGETHER, dealt, levels
 from .tables import dropped, stored
 
 #: Lengths of branches that are tried, in changes a site.
 SHORTEST, LONGEST = 1e-6, 20.0
+#: Interior nodes of all sites that are held at once.
+STATES = 1 << 17
 
 
 class Passes:
@@ -85,10 +87,17 @@ class Passes:
         return p / p.sum(axis=2, keepdims=True)
 
 
+def dealt_together(rows: DataFrame) -> DataFrame:
+    """Rows dealt with some sites of a tree side by side, as a pass over a tree costs little more for several sites than for one."""
+    return dealt(rows.withColumn("group", F.floor(F.col("site") / TOGETHER)), "tree_id", "group").drop("group")
+
+
 def by_tree(df: pd.DataFrame):
-    """The rows of each tree in a batch."""
+    """The rows of each tree in a batch, as many at a time as ``STATES`` allows."""
     for tree, rows in df.groupby("tree_id", sort=False):
-        yield tree, rows, rows.iloc[0]
+        most = max(1, STATES // max(1, len(rows["left"].iloc[0])))
+        for k in range(0, len(rows), most):
+            yield tree, rows.iloc[k : k + most], rows.iloc[0]
 
 
 def evaluated(rows: DataFrame, trees: DataFrame, model: Reversible, shape: float | None) -> DataFrame:
@@ -117,7 +126,7 @@ def fitted_lengths(rows: DataFrame, model: Reversible, shape: float | None = Non
     Newton's step on all branches at once, with a factor that is halved where the likelihood would fall
     and doubled, to 1, where it grows.  A tree has converged when a whole step gains next to nothing.
     """
-    bare = stored(dealt(rows.select("tree_id", "site", "letters", "left", "right"), "tree_id", "site"))
+    bare = stored(dealt_together(rows.select("tree_id", "site", "letters", "left", "right")))
     start = rows.groupBy("tree_id").agg(F.first("lengths").alias("lengths"))
     start = start.withColumn("lengths", F.transform("lengths", lambda t: F.greatest(t.cast("double"), F.lit(0.01))))
     now = stored(evaluated(bare, start, model, shape).withColumn("factor", F.lit(1.0)).withColumn("converged", F.lit(False)))
@@ -160,7 +169,7 @@ def interior_states(rows: DataFrame, model: Reversible, shape: float | None = No
                 out.append(pd.DataFrame({"tree_id": tree, "site": np.repeat(some["site"].to_numpy(), nodes), "internal_no": np.tile(np.arange(nodes), sites), "state": letters, "chance": chance.ravel()}))
             yield pd.concat(out) if out else pd.DataFrame(columns=["tree_id", "site", "internal_no", "state", "chance"])
 
-    return dealt(rows, "tree_id", "site").mapInPandas(run, "tree_id long, site int, internal_no int, state string, chance double")
+    return dealt_together(rows).mapInPandas(run, "tree_id long, site int, internal_no int, state string, chance double")
 
 
 def interior_sequences(rows: DataFrame, nodes: DataFrame, model: Reversible, shape: float | None = None) -> DataFrame:
@@ -173,6 +182,6 @@ def interior_sequences(rows: DataFrame, nodes: DataFrame, model: Reversible, sha
 
 def named_interiors(nodes: DataFrame) -> DataFrame:
     """(tree_id, node_id, place): interior nodes from 1 in preorder, left before right, as programs number
-    the rows of their reconstructions."""
+    the rows of their reconstructions: the postorder of their numbers, right before left, seen from its end."""
     inner = nodes.filter("not is_tip")
-    return inner.select("tree_id", "node_id", F.row_number().over(Window.partitionBy("tree_id").orderBy("path")).alias("place"))
+    return inner.select("tree_id", "node_id", F.row_number().over(Window.partitionBy("tree_id").orderBy(F.desc("internal_no"))).alias("place"))

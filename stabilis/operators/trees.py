@@ -16,9 +16,13 @@ TOKEN = re.compile(r"[(),;]|:\s*[-+0-9.eE]+|[^(),:;\s][^(),:;]*")
 NODE = "tree_id long, node_id int, parent_id int, side string, is_tip boolean, name string, branch double, tip_no int, internal_no int, path string"
 
 
-def parse(text: str, scale: float = 1.0) -> list[tuple]:
+#: Node rows that are handed on at once.
+ROWS = 10_000
+
+
+def parse(text: str, scale: float = 1.0, paths: bool = True) -> list[tuple]:
     """Nodes in preorder, right before left, root 0: (node, parent, side, is_tip, name, branch,
-    tip number, internal number, path from the root)."""
+    tip number, internal number, path from the root, which is empty without ``paths``)."""
     open_: list[list] = [[]]  # the children so far of each open parenthesis
     for token in TOKEN.findall(text):
         if token == "(":
@@ -47,8 +51,8 @@ def parse(text: str, scale: float = 1.0) -> list[tuple]:
         nodes.append([at, parent, side, not node[0], node[1], node[2] if parent is not None else None, None, None, path])
         if node[0]:
             step = f"{path}," if path else ""
-            todo.append((node[0][0], at, "left", step + "left"))
-            todo.append((node[0][1], at, "right", step + "right"))
+            todo.append((node[0][0], at, "left", step + "left" if paths else ""))
+            todo.append((node[0][1], at, "right", step + "right" if paths else ""))
     # tips and internal nodes are numbered in postorder, right first: children before parents
     order: list[int] = []
     kids: dict[int, list[int]] = {}
@@ -72,18 +76,29 @@ def parse(text: str, scale: float = 1.0) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
-def _nodes(batches):
+def _nodes(paths: bool):
     names = [x.split()[0] for x in NODE.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.string()]
-    for b in batches:
-        for tree, text in zip(b.column("tree_id").to_pylist(), b.column("newick").to_pylist(), strict=True):
-            rows = [(tree, *n) for n in parse(text)] if text else []
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 10, kinds, strict=True)], names=names)
+    width = len(names) - (not paths)
+
+    def run(batches):
+        for b in batches:
+            for tree, text in zip(b.column("tree_id").to_pylist(), b.column("newick").to_pylist(), strict=True):
+                told = parse(text, paths=paths) if text else []
+                for k in range(0, len(told), ROWS):
+                    columns = list(zip(*((tree, *n) for n in told[k : k + ROWS]), strict=True))[:width]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds[:width], strict=True)], names=names[:width])
 
+    return run
 
-def nodes(newicks: DataFrame) -> DataFrame:
-    """Node rows of (tree_id, newick) rows; a malformed text is an error."""
-    return newicks.select(F.col("tree_id").cast("long").alias("tree_id"), "newick").mapInArrow(_nodes, NODE)
+
+def nodes(newicks: DataFrame, paths: bool = True) -> DataFrame:
+    """Node rows of (tree_id, newick) rows; a malformed text is an error.
+
+    Without ``paths`` there is no column of that name: the paths of a deep tree grow with the square of its tips.
+    """
+    some = newicks.select(F.col("tree_id").cast("long").alias("tree_id"), "newick")
+    return some.mapInArrow(_nodes(paths), NODE if paths else NODE.removesuffix(", path string"))
 
 
 def no_negative_branches(newick: Column) -> Column:

@@ -39,7 +39,7 @@ every AS (
 
 @query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, node_id::INT AS node_id, parent_id::INT AS parent_id, side, is_tip, name, branch::DOUBLE AS branch FROM every")
 def newick_nodes(spark, d):
-    return T.nodes(V.newicks(spark, d)).select("tree_id", "node_id", "parent_id", "side", "is_tip", "name", "branch")
+    return T.nodes(V.newicks(spark, d), paths=False).select("tree_id", "node_id", "parent_id", "side", "is_tip", "name", "branch")
 
 
 @query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, node_id::INT AS node_id, parent_id::INT AS parent_id, name, branch::DOUBLE AS branch, path FROM every")
@@ -57,7 +57,7 @@ def tree_paths(spark, d):
 
 @query(f"WITH {SQL_NODES} SELECT tree_id::BIGINT AS tree_id, node_id::INT AS node_id, tip_no::INT AS tip_no, internal_no::INT AS internal_no FROM every")
 def tip_internal_numbers(spark, d):
-    return T.nodes(V.newicks(spark, d)).select("tree_id", "node_id", "tip_no", "internal_no")
+    return T.nodes(V.newicks(spark, d), paths=False).select("tree_id", "node_id", "tip_no", "internal_no")
 
 
 @query(f"WITH {V.SQL_NEWICK} SELECT tree_id, regexp_replace(replace(newick, ':0.', ':-0.'), ':-[^,);]*', ':0.0', 'g') AS newick FROM newicks")
@@ -112,13 +112,13 @@ def node_sequences(spark, d, nodes):
 
 @query(f"{SQL_CHANGES} SELECT tree_id::BIGINT AS tree_id, x[1]::INT AS site, x[2] AS from_aa, x[3] AS to_aa, count(*) AS n FROM p WHERE x[2] <> x[3] GROUP BY ALL")
 def site_change_tally(spark, d):
-    nodes = T.nodes(V.newicks(spark, d))
+    nodes = T.nodes(V.newicks(spark, d), paths=False)
     return T.site_changes(nodes, node_sequences(spark, d, nodes))
 
 
 @query(f"{SQL_CHANGES} SELECT tree_id::BIGINT AS tree_id, x[1]::INT AS site, count(*) FILTER (WHERE x[2] <> x[3]) AS n FROM p GROUP BY ALL")
 def site_change_totals(spark, d):
-    nodes = T.nodes(V.newicks(spark, d))
+    nodes = T.nodes(V.newicks(spark, d), paths=False)
     seqs = node_sequences(spark, d, nodes)
     return T.site_totals(T.site_changes(nodes, seqs), seqs)
 
@@ -133,7 +133,7 @@ def tree_dump(spark, d):
 
 
 def rows(spark, d, width):
-    nodes = T.nodes(V.newicks(spark, d))
+    nodes = T.nodes(V.newicks(spark, d), paths=False)
     return I.residue_rows(I.tree_arrays(nodes), nodes, tip_names(nodes, digests(spark, d, width)))
 
 
@@ -305,7 +305,7 @@ def edge_tree_ancestors(spark, d):
 
 def related_tips(spark, d):
     """Trees of suppliers, their nodes, and the letters of related residues at their tips."""
-    nodes = T.nodes(V.newicks(spark, d))
+    nodes = T.nodes(V.newicks(spark, d), paths=False)
     seqs = V.relatives(spark, d, "protein").select(F.col("header").alias("name"), "seq")
     return nodes, seqs, I.residue_rows(I.tree_arrays(nodes), nodes, seqs)
 
@@ -345,7 +345,7 @@ def reconstructed_changes(spark, d):
 )
 def outfile_trees(spark, d):
     """Trees with sequences at all nodes, written as output files of a tree program and read back."""
-    nodes = T.nodes(V.newicks(spark, d))
+    nodes = T.nodes(V.newicks(spark, d), paths=False)
     path = fresh_folder(spark)
     outfile.write_outfile(nodes.join(node_sequences(spark, d, nodes), ["tree_id", "node_id"]), path)
     rows = outfile.read_outfile(spark, path).withColumn("tree_id", F.regexp_extract("file", "tree_id=(\\d+)/", 1).cast("long"))

@@ -1,10 +1,13 @@
 """Steps whose work or memory grew faster than their input."""
 
+import random
 from types import SimpleNamespace
 
 import numpy as np
 
+from stabilis.operators import ancestral as B
 from stabilis.operators import inference as I
+from stabilis.operators import trees as T
 
 
 def caterpillar(tips):
@@ -44,3 +47,28 @@ def test_sites_are_dealt_together(spark):
     run = lambda df: df[["tree_id", "site"]].assign(n=len(df))
     got = I.worked(rows, run, "tree_id long, site int, n long").collect()
     assert len(got) == 640 and max(r.n for r in got) == I.TOGETHER and min(r.n for r in got if r.site < 64) == I.TOGETHER - 1
+    parts = B.dealt_together(rows.drop("tips")).selectExpr("tree_id", "spark_partition_id() as p").distinct().count()
+    assert parts <= 50  # at most five groups of each tree
+
+
+def random_tree(rng, names):
+    if len(names) == 1:
+        return f"{names[0]}:0.1"
+    k = rng.randint(1, len(names) - 1)
+    return f"({random_tree(rng, names[:k])},{random_tree(rng, names[k:])}):0.1"
+
+
+def test_nodes_without_paths(spark):
+    """A deep tree has no column that grows with the square of its tips, and interior nodes keep their order."""
+    rng = random.Random(3)
+    texts = [(k, random_tree(rng, [f"t{i}" for i in range(n)]).removesuffix(":0.1") + ";") for k, n in enumerate([2, 3, 9, 30])]
+    given = spark.createDataFrame(texts, "tree_id long, newick string")
+    whole, bare = T.nodes(given), T.nodes(given, paths=False)
+    assert sorted(map(tuple, whole.drop("path").collect())) == sorted(map(tuple, bare.collect()))
+    for k, n in enumerate([2, 3, 9, 30]):
+        paths = {r.node_id: r.path for r in whole.filter(f"tree_id = {k} and not is_tip").collect()}
+        place = {r.node_id: r.place for r in B.named_interiors(bare).filter(f"tree_id = {k}").collect()}
+        assert sorted(paths, key=paths.get) == sorted(place, key=place.get) and len(place) == n - 1
+    deep = "(" * 29_999 + "t0:1" + "".join(f",t{i}:1):1" for i in range(1, 30_000)).removesuffix(":1") + ";"
+    sizes = [b.num_rows for b in T._nodes(False)([SimpleNamespace(column=lambda c: SimpleNamespace(to_pylist=lambda: [1 if c == "tree_id" else deep]))])]
+    assert sum(sizes) == 59_999 and max(sizes) == T.ROWS
