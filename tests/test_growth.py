@@ -1,10 +1,13 @@
 """Steps whose work or memory grew faster than their input."""
 
+import itertools
 import random
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
+from stabilis.operators import alignment as A
 from stabilis.operators import ancestral as B
 from stabilis.operators import inference as I
 from stabilis.operators import trees as T
@@ -72,3 +75,26 @@ def test_nodes_without_paths(spark):
     deep = "(" * 29_999 + "t0:1" + "".join(f",t{i}:1):1" for i in range(1, 30_000)).removesuffix(":1") + ";"
     sizes = [b.num_rows for b in T._nodes(False)([SimpleNamespace(column=lambda c: SimpleNamespace(to_pylist=lambda: [1 if c == "tree_id" else deep]))])]
     assert sum(sizes) == 59_999 and max(sizes) == T.ROWS
+
+
+def test_only_windows_that_may_be_meant_are_handed_on(spark, monkeypatch):
+    """Rows of 60 letters that hold none of the others have few windows to shuffle, not one for each place."""
+    rng = random.Random(4)
+    seqs = ["".join(rng.choice("ACDEFGHIKL") for _ in range(60 - i % 9)) for i in range(300)]
+    seqs += [seqs[0][5:53], seqs[1][:50], seqs[2][20:27], "ZZ", "Z", "", None, "é" + seqs[3][30:44], seqs[3][30:44]]
+    batch = pa.RecordBatch.from_pydict({"uid": list(range(len(seqs))), "letters": seqs, "h": [7] * len(seqs), "family": ["f"] * len(seqs)})
+    keys = [k for b in A.heads([batch]) for k in zip(b.column("key").to_pylist(), b.column("w").to_pylist(), strict=True)]
+    wanted = np.zeros(A.MAP_BITS // 64, np.int64)
+    for k, _ in keys:
+        wanted[k % A.MAP_BITS // 64] |= np.array(1 << (k % A.MAP_BITS % 64), np.uint64).view(np.int64)
+    sizes = sorted({w for _, w in keys})
+    assert sizes == [0, 1, 2, 7, 12, 48]
+    assert sum(b.num_rows for b in A.looked_for(sizes, wanted)([batch])) < 2 * len(seqs)
+    monkeypatch.setattr(A, "NAMED", 100)  # slices of few rows give the same
+    rows = [(f, i, f"h{i}", s) for f, (i, s) in itertools.product(("f", "g", None), enumerate(seqs))]
+    got = A.contained(spark.createDataFrame(rows, "family string, pos long, header string, seq string")).collect()
+    gone = {i for i, s in enumerate(seqs) if s is not None and any(o is not None and s != o and s in o for o in seqs)}
+    assert len(gone) == 6
+    every = set(range(len(seqs)))
+    assert {r.pos for r in got if r.family == "f"} == {r.pos for r in got if r.family == "g"} == every - gone
+    assert {r.pos for r in got if r.family is None} == every
