@@ -265,7 +265,7 @@ def to_reference(seqs: DataFrame, how: Scoring | None = None) -> DataFrame:
     """
     bare = seqs.select("family", "pos", "header", F.upper(F.regexp_replace("seq", "-", "")).alias("a"))
     ref = reference(bare.withColumnRenamed("a", "seq")).select("family", F.col("ref").alias("b"))
-    done = aligned(bare.join(ref, "family"), how=how)
+    done = aligned(bare.join(F.broadcast(ref), "family"), how=how)  # a row for each family; rows dealt by family would be few large groups
     paired = F.nullif(F.col("columns") - F.col("gaps"), F.lit(0))
     share = F.col("gaps") / F.nullif(F.col("columns"), F.lit(0))
     return done.select("family", "pos", "header", F.col("placed").alias("seq"), "score", (F.col("identical") / paired).alias("identity"), share.alias("gaps"))
