@@ -9,6 +9,7 @@ import pyarrow as pa
 
 from stabilis.operators import alignment as A
 from stabilis.operators import ancestral as B
+from stabilis.operators import clusters as C
 from stabilis.operators import inference as I
 from stabilis.operators import trees as T
 
@@ -98,3 +99,39 @@ def test_only_windows_that_may_be_meant_are_handed_on(spark, monkeypatch):
     every = set(range(len(seqs)))
     assert {r.pos for r in got if r.family == "f"} == {r.pos for r in got if r.family == "g"} == every - gone
     assert {r.pos for r in got if r.family is None} == every
+
+
+def plain_tree(names, d, kind):
+    """The joins by looking at all pairs in each step."""
+    d, text, size, height = d.copy(), list(names), [1] * len(names), [0.0] * len(names)
+    for n in range(len(names), 1, -1):
+        total = d.sum(0)
+        q = d.copy() if kind == "UPGMA" or n == 2 else (n - 2) * d - total - total[:, None]
+        np.fill_diagonal(q, np.inf)
+        i, j = sorted(divmod(int(q.argmin()), n))
+        if kind == "UPGMA":
+            a, b, row = d[i, j] / 2 - height[i], d[i, j] / 2 - height[j], (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            height[i] = d[i, j] / 2
+        else:
+            turn = (total[i] - total[j]) / (2 * (n - 2)) if n > 2 else 0.0
+            a, b, row = d[i, j] / 2 + turn, d[i, j] / 2 - turn, (d[i] + d[j] - d[i, j]) / 2
+        text[i] = f"({text[i]}:{max(a, 0.0):.6f},{text[j]}:{max(b, 0.0):.6f})"
+        size[i] += size[j]
+        d[i], d[:, i] = row, row
+        d[i, i] = 0
+        d = np.delete(np.delete(d, j, 0), j, 1)
+        for x in (text, size, height):
+            del x[j]
+    return text[0] + ";"
+
+
+def test_joins_look_at_few_pairs(monkeypatch):
+    """Trees are those of looking at all pairs, ties too; by averages a join looks anew at few rows, and joining takes some rows at a time."""
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(C, "NEAR", 64)
+    for n in (1, 2, 3, 5, 20, 60):
+        a = rng.choice(4, (n, 12))
+        d = np.stack([(a != x).mean(1) for x in a])
+        for kind in ("UPGMA", "NJ"):
+            assert C.joined_tree([f"s{i}" for i in range(n)], d, kind) == plain_tree([f"s{i}" for i in range(n)], d, kind)
+    assert C.least_joining(d, np.zeros(60, bool), d.sum(0), 60)[0] < 60
