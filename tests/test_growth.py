@@ -11,6 +11,7 @@ from stabilis.operators import alignment as A
 from stabilis.operators import ancestral as B
 from stabilis.operators import clusters as C
 from stabilis.operators import inference as I
+from stabilis.operators import stepwise as W
 from stabilis.operators import trees as T
 
 
@@ -135,3 +136,19 @@ def test_joins_look_at_few_pairs(monkeypatch):
         for kind in ("UPGMA", "NJ"):
             assert C.joined_tree([f"s{i}" for i in range(n)], d, kind) == plain_tree([f"s{i}" for i in range(n)], d, kind)
     assert C.least_joining(d, np.zeros(60, bool), d.sum(0), 60)[0] < 60
+
+
+def test_trees_of_least_squares_in_a_task_each(spark, monkeypatch):
+    """Those of small families are the same as by rounds of jobs, with missing and equal distances too."""
+    rng = random.Random(2)
+    far = [(k, f"t{a}", f"t{b}", rng.choice([0.0, None, 0.5, rng.uniform(0.1, 2), rng.uniform(0.1, 2)])) for k, n in enumerate([2, 3, 5, 6]) for a, b in itertools.combinations(range(n), 2)]
+    far = spark.createDataFrame(far, "tree_id long, a string, b string, distance double")
+    told = lambda: {r[:2]: r[2:] for r in W.least_squares_trees(far).select("tree_id", "node", "parent", "side", "name", "branch").collect()}
+    with monkeypatch.context() as m:
+        m.setattr(W, "grown_by_joins", lambda *_: 1 / 0)
+        got = told()
+    monkeypatch.setattr(W, "HELD", 4)
+    want = told()
+    assert got.keys() == want.keys()
+    for k in got:
+        assert got[k][:3] == want[k][:3] and np.allclose(*(np.array([x[k][3]], float) for x in (got, want)), atol=1e-7, equal_nan=True), (k, got[k], want[k])
