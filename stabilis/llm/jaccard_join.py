@@ -37,7 +37,7 @@ CELLS, BLOCK, ROUNDS = 1 << 17, 1 << 11, 2
 #: Bits of the map of classes that texts are read again for.
 MAP_BITS = 1 << 24
 #: Parts of the tokens that are shuffled one after the other.
-PARTS = 2
+PARTS = 3
 #: Seeds of the token orders; the first one groups candidates, the others filter them.
 ORDERS = (0, 101, 202)
 KNOWN, DEALT = 1, 2
