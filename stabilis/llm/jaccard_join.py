@@ -37,7 +37,7 @@ CELLS, BLOCK, ROUNDS = 1 << 17, 1 << 11, 2
 #: Bits of the map of classes that texts are read again for.
 MAP_BITS = 1 << 24
 #: Parts of the tokens that are shuffled one after the other.
-PARTS = 3
+PARTS = 2
 #: Seeds of the token orders; the first one groups candidates, the others filter them.
 ORDERS = (0, 101, 202)
 KNOWN, DEALT = 1, 2
@@ -212,9 +212,8 @@ def shared_rows(batches, least: int):
     yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, cls, n, rank)], names=["token", "cls", "n", "rank"])
 
 
-def token_rows(level: np.ndarray, t: int, wanted: np.ndarray):
-    """Class, prefix names under the second order and tokens, for classes that may be wanted;
-    one row for the equal sets of a slice."""
+def set_rows(column: str, wanted: np.ndarray, of):
+    """Class and ``of`` its tokens, for classes that may be wanted; one row for the equal sets of a slice."""
 
     def run(batches):
         for b in batches:
@@ -224,8 +223,7 @@ def token_rows(level: np.ndarray, t: int, wanted: np.ndarray):
                 _, h = fingerprints(token, begin)
                 _, one = np.unique(h, return_index=True)
                 one = one[maybe(wanted, h[one])]
-                heads = [short_names(token[begin[r] : begin[r + 1]], level, t).tobytes() for r in one]
-                yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array(heads, pa.binary()), pa.array([token[begin[r] : begin[r + 1]].tobytes() for r in one], pa.binary())], names=["cls", "head", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[one]), pa.array([of(token[begin[r] : begin[r + 1]]).tobytes() for r in one], pa.binary())], names=["cls", column])
 
     return run
 
@@ -426,7 +424,7 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         groups = some if groups is None else groups.union(some)
     share = groups.groupBy("cls").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * t / 100) + 1)).alias("share"))
     g = groups.join(share, "cls").withColumn("label", F.col("cls"))
-    links = tested = label = kept = None
+    links = tested = label = kept = heads = None
     for step in range(ROUNDS + 1):
         if label is not None:
             g = g.drop("label").join(label, g["cls"] == label["node"], "left").withColumn("label", F.coalesce("label", "cls")).drop("node")
@@ -453,17 +451,23 @@ def linked(docs: DataFrame, t: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.union(pairs)
+        if heads is None:  # tokens of later rounds are among those of the first
+            heads = checkpoint(texts.mapInArrow(set_rows("head", bitmap(g, "cls"), lambda x: short_names(x, level, t)), "cls long, head binary"))
         wanted = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
-        sets = checkpoint(texts.mapInArrow(token_rows(level, t, wanted), "cls long, head binary, tokens binary"))
-        heads = sets.select("cls", "head").groupBy("cls").agg(F.first("head").alias("head"))
-        close = checkpoint(with_both(pairs, heads, "head").mapInArrow(heads_meet(t), "a long, b long"))
+        some = heads.mapInArrow(in_map(wanted), heads.schema).groupBy("cls").agg(F.first("head").alias("head"))
+        close = checkpoint(with_both(pairs, some, "head").mapInArrow(heads_meet(t), "a long, b long"))
+        if close.isEmpty():
+            continue
+        # whole sets are the largest table, so only those that passed are written, from the texts again
         both = bitmap(close.select(F.explode(F.array("a", "b")).alias("cls")), "cls")
-        full = sets.select("cls", "tokens").mapInArrow(in_map(both), "cls long, tokens binary").groupBy("cls").agg(F.first("tokens").alias("tokens"))
+        sets = checkpoint(texts.mapInArrow(set_rows("tokens", both, lambda x: x), "cls long, tokens binary"))
+        full = sets.groupBy("cls").agg(F.first("tokens").alias("tokens"))
         found = checkpoint(with_both(close, full, "tokens").mapInArrow(verify(level, t), "u long, v long"))
         forget(sets)
         links = found if links is None else links.union(found)
         label = checkpoint(components(links))
     forget(kept)
+    forget(heads)
     if links is None:
         links = spark.createDataFrame([], "u long, v long")
         label = spark.createDataFrame([], "node long, label long")

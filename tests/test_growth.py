@@ -152,3 +152,27 @@ def test_trees_of_least_squares_in_a_task_each(spark, monkeypatch):
     assert got.keys() == want.keys()
     for k in got:
         assert got[k][:3] == want[k][:3] and np.allclose(*(np.array([x[k][3]], float) for x in (got, want)), atol=1e-7, equal_nan=True), (k, got[k], want[k])
+
+
+def test_whole_sets_are_written_of_close_classes_only(spark, monkeypatch):
+    """Texts that share many shingles, but too few, are told apart without a table of their sets."""
+    from stabilis.llm import jaccard_join as J
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    half = [" ".join(word() for _ in range(35)) for _ in range(40)]
+    rows = [(i, f"{half[i]} {half[i - 1]}") for i in range(40)]
+    near = [word() for _ in range(60)]
+    rows += [(50, " ".join(near)), (51, " ".join([*near[:-1], word()]))]
+    sizes, checkpoint = {}, J.checkpoint
+
+    def told(df):
+        out = checkpoint(df)
+        for c in {"tokens", "head"} & set(out.columns):
+            sizes[c] = sizes.get(c, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(J, "checkpoint", told)
+    members, links = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in J.least_ids(members).collect()} == {i: min(i, 50) for i, _ in rows}
+    assert links.count() == 1 and sizes["tokens"] == 2 and sizes["head"] > 20
