@@ -176,3 +176,31 @@ def test_whole_sets_are_written_of_close_classes_only(spark, monkeypatch):
     members, links = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.component_id for r in J.least_ids(members).collect()} == {i: min(i, 50) for i, _ in rows}
     assert links.count() == 1 and sizes["tokens"] == 2 and sizes["head"] > 20
+
+
+def test_condensing_hands_on_only_rows_with_company(spark, monkeypatch):
+    """Rows that agree with no other in a part are neither shuffled with their letters nor part of the rounds; the pass is the greedy one."""
+    rng = random.Random(8)
+    seqs = ["".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(60)) for _ in range(200)]
+    for k, s in enumerate(seqs[:6]):
+        for _ in range(4):
+            i = [rng.randrange(60) for _ in range(k % 3 + 1)]
+            seqs.append("".join(rng.choice("AC") if j in i else c for j, c in enumerate(s)))
+    seqs += [s[:k] + "-" * (60 - k) for k in (1, 2, 5) for s in seqs[:3]]
+    rng.shuffle(seqs)
+    kept: list[tuple[int, str]] = []
+    for p, s in enumerate(seqs):
+        if not any(s[0] == o[0] and sum(x != y for x, y in zip(s, o, strict=True)) <= 3 or s == o for _, o in kept):
+            kept.append((p, s))
+    sizes, stored = [], C.stored
+
+    def told(df):
+        out = stored(df)
+        sizes.append(0 if "header" in out.columns else out.count())
+        return out
+
+    monkeypatch.setattr(C, "stored", told)
+    rows = [(f, p, f"h{p}", s) for f in ("f", "g") for p, s in enumerate(seqs)]
+    got = C.condense(spark.createDataFrame(rows, "family string, pos long, header string, seq string"), 3, (1,)).collect()
+    assert sorted((r.family, r.pos) for r in got) == [(f, p) for f in ("f", "g") for p, _ in kept]
+    assert 0 < max(sizes) < 2 * 200
