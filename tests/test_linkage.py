@@ -66,6 +66,35 @@ def test_clusters_equal_all_pairs(spark, identity, coverage):
     assert sorted(map(tuple, got.collect())) == plain_clusters(rows, identity, coverage)
 
 
+def test_rows_with_one_end_in_common_are_not_compared_in_pairs(spark, monkeypatch):
+    """Many rows begin or end alike, few are linked: what is looked at stays in proportion to the rows."""
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("ACDE") for _ in range(n))
+    head, tail = word(30), word(30)
+    seqs = [head + word(rng.randint(19, 30)) for _ in range(60)] + [word(rng.randint(19, 30)) + tail for _ in range(60)]
+    for s in seqs[::7]:
+        i = rng.randrange(len(s) + 1)
+        seqs += [s[:i] + s[i + 1 :], s[:i] + "K" + s[i:], s[:i] + "K" + s[i + 1 :], s]
+    rows = [("pq"[i % 3 == 0], i + 3, s) for i, s in enumerate(seqs)] + [(None, 1, head)]
+    pairs, met, candidates, by_one = [], [], linkage.candidates, getattr(linkage, "linked_by_one", None)
+
+    def counted(into, f):
+        return lambda *a: (df := f(*a), into.append(df.count()))[0]
+
+    monkeypatch.setattr(linkage, "candidates", counted(pairs, candidates))
+    monkeypatch.setattr(linkage, "linked_by_one", counted(met, by_one), raising=False)
+    got = linkage.single_linkage(spark.createDataFrame(rows, "family string, pos long, seq string"), 0.98, 0.9)
+    assert sorted(map(tuple, got.collect())) == plain_clusters(rows[:-1], 0.98, 0.9)
+    assert sum(pairs) == 0 and 0 < sum(met) < 2 * len(rows)
+
+
+def test_short_rows_of_one_edit_and_more(spark):
+    rows = [("p", i, s) for i, s in enumerate(["", "A", "C", "AC", "CA", "DD", "DDE", "EEE", "EFE", "KLMN", "KMNL", "LLLL"])]
+    for coverage in (0.5, 0.7, 1):
+        got = linkage.single_linkage(spark.createDataFrame(rows, "family string, pos long, seq string"), 0.5, coverage)
+        assert sorted(map(tuple, got.collect())) == plain_clusters(rows, 0.5, coverage)
+
+
 def test_thresholds_and_empty_table(spark):
     empty = spark.createDataFrame([], "family string, pos long, seq string")
     assert linkage.single_linkage(empty).count() == 0
