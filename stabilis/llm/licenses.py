@@ -4,7 +4,7 @@ Each line or sentence of a text, one that is wrapped over lines too, is a possib
 weighed by TF-IDF, with document frequencies counted over all texts, and the line gets the
 template of the highest cosine if that reaches ``threshold``; a file gets that of its best line.
 A line without any of a template's heaviest terms, whose removal leaves too little for the
-threshold, can't reach it, so one pattern of such terms finds the lines to be weighed, exactly.
+threshold, can't reach it, so a few pieces that such terms hold find the lines to be weighed, exactly.
 
 A file is a licence file if its name says so or if at least ``share`` of its terms stand in
 notices.  It declares its licence for its directory; of several in one directory the best cosine
@@ -22,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +66,8 @@ THRESHOLD, SHARE = 0.75, 0.2
 #: Directories with a licence beyond which their table is joined by shuffle.
 BROADCAST_DIRS = 10_000
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: The same terms, without a state for each letter to go back to.
+WHOLE_TERM = "[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 SENTENCE_END = r"([.!?])[ \t]+"
 #: A line that is whole by itself.
 TAG = r"(SPDX-License-Identifier:[^\n]*)\n"
@@ -74,7 +78,7 @@ MADE = ("license", "cosine", "origin", "declared_in")
 
 def terms(text: Column) -> Column:
     """Lower-case terms of letters, digits and inner dots and hyphens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(WHOLE_TERM), F.lit(0))
 
 
 def template_terms() -> dict[tuple[str, int], dict[str, int]]:
@@ -105,32 +109,45 @@ def vectors(n: int, df: dict[str, int]) -> list[tuple[str, dict[str, float]]]:
     return out
 
 
-def needed(v: list[tuple[str, dict[str, float]]], threshold: float) -> list[str]:
-    """Terms of which a line that reaches the threshold with any template must have one."""
-    out = set()
-    for _, weights in v:
-        left = 1.0
-        for x, w in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
-            if math.sqrt(max(left, 0.0)) < threshold:
-                break
-            out.add(x)
-            left -= w * w
-    return sorted(out)
+def needed(v: list[tuple[str, dict[str, float]]], threshold: float, n: int, df: dict[str, int]) -> list[str]:
+    """Pieces of which a line that reaches the threshold with any template must hold one.
 
+    A line without a piece has no term that holds it.  Pieces are terms, chosen one by one by what they take from the templates
+    and by how many texts may hold them; any choice is exact if it leaves no template enough.
+    """
+    left = [dict(w) for _, w in v]
+    over = lambda w: max(0.0, sum(x * x for x in w.values()) - (threshold - 1e-6) ** 2)
+    texts = {x: sum(k for y, k in df.items() if x in y) / max(n, 1) + 10.0 ** (2 - len(x)) for x in df}
+    out = []
+    while any(map(over, left)):
+
+        def worth(piece: str) -> float:
+            return sum(min(over(w), sum(x * x for y, x in w.items() if piece in y)) for w in left) / (1 + 300 * texts[piece])
+
+        out.append(max(sorted(df), key=worth))
+        left = [{y: x for y, x in w.items() if out[-1] not in y} for w in left]
+    return out
 
-def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, share: float = SHARE) -> DataFrame:
-    """``files`` with license, cosine, origin (notice, inherited or null) and declared_in."""
+
+def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
+    """``files`` with license, cosine, origin (notice, inherited or null) and declared_in.
+
+    ``keep``: the columns of ``files`` that are given, all if there is none.  Without the text among them the marks of all files are
+    a table, so lines are weighed once and not again for the result.
+    """
     given = files.select(*[c for c in files.columns if c not in MADE])
+    kept = [c for c in given.columns if keep is None or c in keep]
     files, names = renamed(given)
     files = files.withColumn("text", F.col(names["text"])).withColumn("path", F.col(names[path]))
     path = "path"
     n, df = frequencies(files)
     v = vectors(n, df)
-    hint = r"(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, needed(v, threshold))) + ")"
+    pieces = needed(v, threshold, n, df)
+    hinted = lambda low: reduce(or_, (F.contains(low, F.lit(x)) for x in pieces), F.lit(False))
     weight = F.create_map(*[F.lit(x) for k, c in sorted(df.items()) for x in (k, idf(n, c))])
     rare = F.lit(idf(n, 0))
     joined = F.regexp_replace(F.regexp_replace("text", TAG, "$1.\n"), WRAP, "$1 $2")
-    lines = F.filter(F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n"), lambda x: x.rlike(hint))
+    lines = F.filter(F.split(F.lower(F.regexp_replace(joined, SENTENCE_END, "$1\n")), "\n"), hinted)
     held = F.transform(lines, terms)
     known = F.array(*[F.struct(F.lit(k).alias("name"), F.create_map(*[F.lit(x) for p in sorted(w.items()) for x in p]).alias("w")) for k, w in v])
 
@@ -140,20 +157,32 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
     def count(xs: Column, x: Column) -> Column:
         return F.size(F.filter(xs, lambda y: y == x)).cast("double")
 
+    # each step gives structs of its own, as what a lambda's body names is worked out wherever it stands
+    def weighed(line: Column) -> Column:
+        bag = F.transform(F.array_distinct(line), lambda x: F.struct(x.alias("x"), (count(line, x) * F.coalesce(F.element_at(weight, x), rare)).alias("w")))
+        return F.struct(bag.alias("bag"), F.size(line).alias("terms"))
+
+    def shared(line: Column) -> Column:
+        norm = F.sqrt(total(line["bag"], lambda b: F.pow(b["w"], F.lit(2.0))))
+        return F.struct(F.filter(line["bag"], lambda b: F.map_contains_key(weight, b["x"])).alias("bag"), norm.alias("norm"), line["terms"].alias("terms"))
+
     def best(line: Column) -> Column:
-        distinct = F.array_distinct(line)
-        norm = F.sqrt(total(distinct, lambda x: F.pow(count(line, x) * F.coalesce(F.element_at(weight, x), rare), F.lit(2.0))))
-        dot = F.transform(known, lambda t: F.struct(F.round(-total(distinct, lambda x: count(line, x) * F.coalesce(F.element_at(weight, x), rare) * F.coalesce(F.element_at(t["w"], x), F.lit(0.0))) / norm, 9).alias("cosine"), t["name"].alias("name")))
-        top = F.array_min(dot)
-        return F.struct((-top["cosine"]).alias("cosine"), top["name"].alias("name"), F.size(line).alias("terms"))
-
-    found = F.filter(F.transform(F.filter(held, lambda x: F.size(x) > 0), best), lambda b: b["cosine"] >= threshold)
-    marked = files.withColumn("_found", F.coalesce(F.when(F.col("text").rlike(hint), found), F.array().cast(FOUND)))
+        dot = F.transform(known, lambda t: F.struct(F.round(-total(line["bag"], lambda b: b["w"] * F.coalesce(F.element_at(t["w"], b["x"]), F.lit(0.0))) / line["norm"], 9).alias("cosine"), t["name"].alias("name")))
+        return F.struct(F.array_min(dot).alias("top"), line["terms"].alias("terms"))
+
+    weighty = F.transform(F.transform(F.transform(F.filter(held, lambda x: F.size(x) > 0), weighed), shared), best)
+    told = F.transform(weighty, lambda b: F.struct((-b["top"]["cosine"]).alias("cosine"), b["top"]["name"].alias("name"), b["terms"].alias("terms")))
+    found = F.filter(told, lambda b: b["cosine"] >= threshold)
+    # the lowered text is a column, so it isn't lowered for each piece
+    marked = files.withColumn("_low", F.lower("text")).withColumn("_hinted", hinted(F.col("_low")))
+    marked = marked.withColumn("_found", F.coalesce(F.when(F.col("_hinted"), found), F.array().cast(FOUND)))
     top = F.array_min(F.transform("_found", lambda b: F.struct((-b["cosine"]).alias("c"), b["name"].alias("name"))))
     in_notices = F.aggregate("_found", F.lit(0), lambda a, b: a + b["terms"])
     mostly = F.when(F.size("_found") > 0, in_notices >= F.lit(share) * F.size(terms(F.col("text")))).otherwise(False)
     marked = marked.withColumn("_own", top["name"]).withColumn("_cosine", -top["c"]).withColumn("_dir", F.regexp_replace(path, "/?[^/]*$", ""))
     marked = marked.withColumn("_file", F.col("_own").isNotNull() & (F.element_at(F.split(path, "/"), -1).rlike(LICENCE_FILE) | mostly)).drop("_found")
+    if "text" not in kept:
+        marked = checkpoint(marked.select(*{names[c]: None for c in kept}, path, "_own", "_cosine", "_dir", "_file"))
     declares = F.when(F.col("_file"), F.struct((-F.col("_cosine")).alias("c"), F.col(path).alias("p"), F.col("_own").alias("name")))
     dirs = checkpoint(marked.groupBy("_dir").agg(F.min(declares).alias("_t"), F.max(F.col("_own").isNull()).alias("_bare")))
     declared = dirs.filter("_t is not null").select(F.col("_dir").alias("_from"), F.col("_t.name").alias("_name"))
@@ -162,7 +191,7 @@ def scan(files: DataFrame, path: str = "path", threshold: float = THRESHOLD, sha
         inherited = F.broadcast(inherited)
     out = marked.join(inherited.withColumnRenamed("_dir", "_of"), F.col("_own").isNull() & (F.col("_dir") == F.col("_of")), "left")
     return out.select(
-        *(F.col(names[c]).alias(c) for c in given.columns),
+        *(F.col(names[c]).alias(c) for c in kept),
         F.coalesce("_own", "_name").alias("license"),
         F.col("_cosine").alias("cosine"),
         F.when(F.col("_own").isNotNull(), "notice").when(F.col("_name").isNotNull(), "inherited").alias("origin"),

@@ -62,7 +62,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = licenses.document_paths(read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
-    return licenses.scan(files).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "declared_in")
+    return licenses.scan(files, keep=["doc_id", "path"]).select("doc_id", "path", "license", F.round("cosine", 6).alias("cosine"), "origin", "declared_in")
 
 
 def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

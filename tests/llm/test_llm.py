@@ -462,6 +462,23 @@ def test_licenses(spark):
     assert licenses.scan(no_rows(spark, "path string, text string")).count() == 0
 
 
+def test_license_texts_are_scanned_once(spark, sf):
+    plan = queries.op10_licenses(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "cosine" in plan
+
+
+def test_license_pieces(spark):
+    texts = ["Copyright (c) 2024. Released under the MIT-License.", "UNDER THE MIT LICENSE, RELEASED!", "re-released under the mit license", "published, modify and distribute", None, ""]
+    n, df = licenses.frequencies(spark.createDataFrame([(x,) for x in texts], "text string"))
+    v = licenses.vectors(n, df)
+    pieces = licenses.needed(v, licenses.THRESHOLD, n, df)
+    for _, weights in v:
+        assert sum(w * w for x, w in weights.items() if not any(p in x for p in pieces)) < licenses.THRESHOLD**2
+    rows = [(f"a/{i}", x) for i, x in enumerate(texts)]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string"), keep=["path"]).collect()}
+    assert got["a/1"] == "MIT" and len(got) == len(texts)
+
+
 def test_license_cosines(spark, sf):
     """Every line of every text, by hand."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source", "lang")
